@@ -1 +1,3 @@
+"""Importing the package registers every query."""
 
+from tapegrid.catalog import features, ladder  # noqa: F401

@@ -66,11 +66,11 @@ def fill_grid(bars: DataFrame, cfg: SessionConfig, value: str = "spot") -> DataF
     """
     step = cfg.bar_minutes
     w = by_bar()
-    nxt = F.coalesce(F.lead("bar").over(w), F.lit(cfg.length + step))
-    first = F.lag("bar").over(w).isNull()
     spans = bars.select(
         *SESSION, F.col("bar").alias("src_bar"), F.col(value).alias("_v"),
-        F.explode(F.sequence(F.when(first, 0).otherwise(F.col("bar")), nxt - step, F.lit(step))).alias("bar"))
+        F.when(F.lag("bar").over(w).isNull(), 0).otherwise(F.col("bar")).alias("_from"),
+        (F.coalesce(F.lead("bar").over(w), F.lit(cfg.length + step)) - step).alias("_to"))
+    spans = spans.select(*SESSION, "src_bar", "_v", F.explode(F.sequence("_from", "_to", F.lit(step))).alias("bar"))
     seen = F.col("bar") >= F.col("src_bar")
     return spans.select(*SESSION, "bar", F.when(seen, F.col("_v")).alias(value),
                         F.when(seen, F.col("bar") - F.col("src_bar")).alias("age_min"))
