@@ -8,54 +8,100 @@ Results equal linear interpolation on the full data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    names: list[str], accuracy: int = 100_000) -> DataFrame:
-    """keys + one column per prob. Non-NULL values only; linear interpolation."""
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    pad = 3.0 / accuracy
-    lo = [max(0.0, p - pad) for p in probs]
-    hi = [min(1.0, p + pad) for p in probs]
-    sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", lo, accuracy).alias("_lo"),
-        F.percentile_approx("_v", hi, accuracy).alias("_hi"))
-    wanted = F.array(*[
+def _wanted(probs: list[float], pad: float, accuracy: int) -> Column:
+    """One bracket per prob. The sketch is off by at most n / accuracy ranks and the pad is three times
+    that; below 2 * accuracy rows the pad could miss a neighbouring rank, so the bracket is everything
+    (a bounded number of values)."""
+    few = F.col("_n") <= 2 * accuracy
+    return F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"),
-                 (F.col("_min") if lo[i] <= 0.0 else F.col("_lo")[i]).alias("lo"),
-                 (F.col("_max") if hi[i] >= 1.0 else F.col("_hi")[i]).alias("hi"))
+                 F.when(few | F.lit(p <= pad), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
+                 F.when(few | F.lit(p >= 1.0 - pad), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"))
         for i, p in enumerate(probs)])
-    brackets = sketch.select(*keys, "_n", wanted.alias("_q"))
-    # One bracket row per key. Without keys that is one row in all; with keys the join is left
-    # to the optimizer, which broadcasts only below its size threshold and splits skewed keys.
-    near = base.join(brackets, keys) if keys else base.crossJoin(F.broadcast(brackets))
-    hits = near.select(*keys, "_n", "_v", F.explode(F.filter("_q", lambda q: F.col("_v") <= q["hi"])).alias("q"))
-    counts = (hits.select(*keys, "_n", F.col("q.i").alias("i"), F.col("q.p").alias("p"),
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str],
+                    domain: list | None = None, accuracy: int = 100_000) -> DataFrame:
+    """keys + one column per prob. Non-NULL values only; linear interpolation.
+
+    ``domain`` lists every value a single key column can take (horizons, column names: fixed by
+    configuration). The brackets of a domain travel as one row of that many entries, so the data
+    is never shuffled by so coarse a key. Rows outside the domain are ignored.
+    """
+    pad = 3.0 / accuracy
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    by = keys
+    if domain is not None:
+        pos = F.create_map(*[F.lit(x) for i, k in enumerate(domain) for x in (k, i)])
+        base = base.select(pos[F.col(keys[0])].alias("_k"), "_v").filter(F.col("_k").isNotNull())
+        by = ["_k"]
+    sketch = base.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", [max(0.0, p - pad) for p in probs], accuracy).alias("_lo"),
+        F.percentile_approx("_v", [min(1.0, p + pad) for p in probs], accuracy).alias("_hi"))
+    brackets = sketch.select(*by, "_n", _wanted(probs, pad, accuracy).alias("_q"))
+    if domain is not None:
+        found = F.map_from_entries(F.collect_list(F.struct("_k", F.struct("_n", "_q"))))
+        slots = F.transform(F.sequence(F.lit(0), F.lit(len(domain) - 1)), lambda i: F.try_element_at(F.col("_all"), i))
+        one = brackets.agg(found.alias("_all")).select(slots.alias("_slots"))
+        near = base.crossJoin(F.broadcast(one)).withColumn("_s", F.col("_slots")[F.col("_k")]).select(
+            "_k", "_v", F.col("_s._n").alias("_n"), F.col("_s._q").alias("_q"))
+    elif by:
+        # left to the optimizer: broadcast only below its size threshold, skewed keys are split by AQE
+        near = base.join(brackets, by)
+    else:
+        near = base.crossJoin(F.broadcast(brackets))
+    hits = near.select(*by, "_n", "_v", F.explode(F.filter("_q", lambda x: F.col("_v") <= x["hi"])).alias("q"))
+    counts = (hits.select(*by, "_n", F.col("q.i").alias("i"), F.col("q.p").alias("p"),
                           F.when(F.col("_v") >= F.col("q.lo"), F.col("_v")).alias("_v"))
-              .groupBy(*keys, "_n", "i", "p", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = (Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("_v"))
-         .rowsBetween(Window.unboundedPreceding, 0))
+              .groupBy(*by, "_n", "i", "p", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*by, "i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
     pos = F.col("p") * (F.col("_n") - 1)
     ranked = counts.withColumn("_cum", F.sum("_c").over(w))
-    picked = ranked.groupBy(*keys, "i").agg(
-        F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > F.floor(pos)), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > F.ceil(pos)), F.col("_v"))).alias("_b"),
+    inside = F.col("_v").isNotNull()
+    picked = ranked.groupBy(*by, "i").agg(
+        F.min(F.when(inside & (F.col("_cum") > F.floor(pos)), F.col("_v"))).alias("_a"),
+        F.min(F.when(inside & (F.col("_cum") > F.ceil(pos)), F.col("_v"))).alias("_b"),
         F.max(pos - F.floor(pos)).alias("_f"))
     val = F.col("_a") + F.col("_f") * (F.coalesce("_b", "_a") - F.col("_a"))
-    return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("i") == i, val)).alias(n) for i, n in enumerate(names)])
+    wide = picked.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, val)).alias(n) for i, n in enumerate(names)])
+    if domain is None:
+        return wide
+    back = F.array(*[F.lit(k) for k in domain])
+    return wide.select(back[F.col("_k")].alias(keys[0]), *names)
+
+
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Cross join with a table that is one row by construction (a keyless aggregate)."""
+    return df.crossJoin(F.broadcast(one))
+
+
+def as_one_row(params: DataFrame, key: str, domain: list, values: list[str], name: str = "_p") -> DataFrame:
+    """Parameter table keyed by a configured domain -> one row holding an array in domain order."""
+    found = F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*values))))
+    return params.agg(found.alias("_m")).select(
+        F.array(*[F.try_element_at(F.col("_m"), F.lit(k)) for k in domain]).alias(name))
+
+
+def domain_slot(key: str, domain: list) -> Column:
+    pos = F.create_map(*[F.lit(x) for i, k in enumerate(domain) for x in (k, i)])
+    return pos[F.col(key)]
 
 
-def attach(df: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """Join a parameter table. A keyless one is a single row by construction, hence broadcast."""
-    return df.join(params, keys, "left") if keys else df.crossJoin(F.broadcast(params))
+def attach_domain(df: DataFrame, params: DataFrame, key: str, domain: list, values: list[str]) -> DataFrame:
+    """Add parameter columns by a configured key without shuffling ``df``."""
+    one = as_one_row(params, key, domain, values)
+    d = attach_row(df, one).withColumn("_e", F.col("_p")[domain_slot(key, domain)])
+    return d.withColumns({v: F.col(f"_e.{v}") for v in values}).drop("_p", "_e")
 
 
-def medians_of_columns(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 100_000) -> DataFrame:
-    """(column_name, q0, q1, ...) for many columns in one pass over an unpivoted frame."""
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[str],
+                     accuracy: int = 100_000) -> DataFrame:
+    """(column_name, quantiles...) for many columns of a wide frame in one pass."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")
     ).select("s.column_name", "s.v")
-    return exact_quantiles(long, ["column_name"], "v", probs, [f"q{i}" for i in range(len(probs))], accuracy)
+    return exact_quantiles(long, ["column_name"], "v", probs, names, domain=cols, accuracy=accuracy)

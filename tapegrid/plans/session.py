@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "tapegrid", cores: int | None = None, shuffle: int | None = None) -> SparkSession:
@@ -35,3 +35,12 @@ def scratch(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write to the shared scratch folder and read back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
