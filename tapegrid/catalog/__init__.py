@@ -1,3 +1,3 @@
 """Importing the package registers every query."""
 
-from tapegrid.catalog import features, labels, ladder  # noqa: F401
+from tapegrid.catalog import chain, features, labels, ladder  # noqa: F401

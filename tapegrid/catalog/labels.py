@@ -287,7 +287,7 @@ def _(spark, d):
 FLAGS = ["A", "N", "R"]
 
 
-@query("agg13_quantiles", "horizon:s q005:5 q05:5 q50:5 q95:5 q995:5",
+@query("agg13_quantiles", "horizon:s q005:8 q05:8 q50:8 q95:8 q995:8",
        q("""select horizon, quantile_cont(pnl_net, 0.005) as q005, quantile_cont(pnl_net, 0.05) as q05, quantile_cont(pnl_net, 0.5) as q50,
             quantile_cont(pnl_net, 0.95) as q95, quantile_cont(pnl_net, 0.995) as q995 from trades group by 1"""))
 def _(spark, d):
@@ -299,7 +299,7 @@ def _(spark, d):
 define("wz", """select horizon, quantile_cont(pnl_net, 0.005) as lo, quantile_cont(pnl_net, 0.995) as hi from trades group by 1""")
 
 
-@query("scl02_winsor", "horizon:s lo:5 hi:5 mid:5",
+@query("scl02_winsor", "horizon:s lo:8 hi:8 mid:8",
        q("""select t.horizon, max(lo) as lo, max(hi) as hi, median(greatest(lo, least(hi, pnl_net))) as mid
             from trades t join wz on t.horizon = wz.horizon group by 1"""))
 def _(spark, d):

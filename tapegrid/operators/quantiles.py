@@ -11,67 +11,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _wanted(probs: list[float], pad: float, accuracy: int) -> Column:
-    """One bracket per prob. The sketch is off by at most n / accuracy ranks and the pad is three times
-    that; below 2 * accuracy rows the pad could miss a neighbouring rank, so the bracket is everything
-    (a bounded number of values)."""
-    few = F.col("_n") <= 2 * accuracy
-    return F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"),
-                 F.when(few | F.lit(p <= pad), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-                 F.when(few | F.lit(p >= 1.0 - pad), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"))
-        for i, p in enumerate(probs)])
-
-
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str],
-                    domain: list | None = None, accuracy: int = 100_000) -> DataFrame:
+                    domain: list | None = None, accuracy: int = 20_000) -> DataFrame:
     """keys + one column per prob. Non-NULL values only; linear interpolation.
 
     ``domain`` lists every value a single key column can take (horizons, column names: fixed by
     configuration). The brackets of a domain travel as one row of that many entries, so the data
     is never shuffled by so coarse a key. Rows outside the domain are ignored.
+
+    The sketch is off by at most n / accuracy ranks and brackets are padded by three times that.
+    Below 2 * accuracy rows the pad could miss a neighbouring rank, so everything (a bounded number
+    of values) is inside. One task orders about 6 * n / accuracy values per prob.
     """
     pad = 3.0 / accuracy
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     by = keys
     if domain is not None:
-        pos = F.create_map(*[F.lit(x) for i, k in enumerate(domain) for x in (k, i)])
-        base = base.select(pos[F.col(keys[0])].alias("_k"), "_v").filter(F.col("_k").isNotNull())
+        base = base.select(domain_slot(keys[0], domain).alias("_k"), "_v").filter(F.col("_k").isNotNull())
         by = ["_k"]
     sketch = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", [max(0.0, p - pad) for p in probs], accuracy).alias("_lo"),
         F.percentile_approx("_v", [min(1.0, p + pad) for p in probs], accuracy).alias("_hi"))
-    brackets = sketch.select(*by, "_n", _wanted(probs, pad, accuracy).alias("_q"))
+    few = F.col("_n") <= 2 * accuracy
+    bounds = []
+    for i, p in enumerate(probs):
+        bounds.append(F.when(few | F.lit(p <= pad), F.col("_min")).otherwise(F.col("_lo")[i]).alias(f"lo{i}"))
+        bounds.append(F.when(few | F.lit(p >= 1.0 - pad), F.col("_max")).otherwise(F.col("_hi")[i]).alias(f"hi{i}"))
+    brackets = sketch.select(*by, F.struct("_n", *bounds).alias("_q"))
     if domain is not None:
-        found = F.map_from_entries(F.collect_list(F.struct("_k", F.struct("_n", "_q"))))
+        found = F.map_from_entries(F.collect_list(F.struct("_k", "_q")))
         slots = F.transform(F.sequence(F.lit(0), F.lit(len(domain) - 1)), lambda i: F.try_element_at(F.col("_all"), i))
         one = brackets.agg(found.alias("_all")).select(slots.alias("_slots"))
-        near = base.crossJoin(F.broadcast(one)).withColumn("_s", F.col("_slots")[F.col("_k")]).select(
-            "_k", "_v", F.col("_s._n").alias("_n"), F.col("_s._q").alias("_q"))
+        near = base.crossJoin(F.broadcast(one)).select("_k", "_v", F.col("_slots")[F.col("_k")].alias("_q"))
     elif by:
         # left to the optimizer: broadcast only below its size threshold, skewed keys are split by AQE
         near = base.join(brackets, by)
     else:
         near = base.crossJoin(F.broadcast(brackets))
-    hits = near.select(*by, "_n", "_v", F.explode(F.filter("_q", lambda x: F.col("_v") <= x["hi"])).alias("q"))
-    counts = (hits.select(*by, "_n", F.col("q.i").alias("i"), F.col("q.p").alias("p"),
-                          F.when(F.col("_v") >= F.col("q.lo"), F.col("_v")).alias("_v"))
-              .groupBy(*by, "_n", "i", "p", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*by, "i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    pos = F.col("p") * (F.col("_n") - 1)
-    ranked = counts.withColumn("_cum", F.sum("_c").over(w))
-    inside = F.col("_v").isNotNull()
-    picked = ranked.groupBy(*by, "i").agg(
-        F.min(F.when(inside & (F.col("_cum") > F.floor(pos)), F.col("_v"))).alias("_a"),
-        F.min(F.when(inside & (F.col("_cum") > F.ceil(pos)), F.col("_v"))).alias("_b"),
-        F.max(pos - F.floor(pos)).alias("_f"))
-    val = F.col("_a") + F.col("_f") * (F.coalesce("_b", "_a") - F.col("_a"))
-    wide = picked.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, val)).alias(n) for i, n in enumerate(names)])
+    v, qc = F.col("_v"), lambda f: F.col(f"_q.{f}")
+    inside, passed = F.lit(False), F.lit(0)
+    for i in range(len(probs)):
+        inside = inside | ((v >= qc(f"lo{i}")) & (v <= qc(f"hi{i}")))
+        passed = passed + (v > qc(f"hi{i}")).cast("int")
+    # values outside every bracket collapse to one count per gap; their smallest value keeps them in order
+    counts = (near.select(*by, "_v", qc("_n").alias("_n"), F.when(inside, v).alias("_in"), passed.alias("_gap"))
+              .groupBy(*by, "_n", "_in", "_gap").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_rep")))
+    w = Window.partitionBy(*by).orderBy("_rep").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.withColumn("_cum", F.sum("_c").over(w))
+    out = []
+    for p, name in zip(probs, names):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        low = F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_rep")))
+        high = F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_rep")))
+        out.append((low + F.max(pos - F.floor(pos)) * (F.coalesce(high, low) - low)).alias(name))
+    wide = cum.groupBy(*by).agg(*out)
     if domain is None:
         return wide
-    back = F.array(*[F.lit(k) for k in domain])
-    return wide.select(back[F.col("_k")].alias(keys[0]), *names)
+    return wide.select(F.array(*[F.lit(k) for k in domain])[F.col("_k")].alias(keys[0]), *names)
 
 
 def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -99,7 +96,7 @@ def attach_domain(df: DataFrame, params: DataFrame, key: str, domain: list, valu
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[str],
-                     accuracy: int = 100_000) -> DataFrame:
+                     accuracy: int = 20_000) -> DataFrame:
     """(column_name, quantiles...) for many columns of a wide frame in one pass."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")

@@ -22,7 +22,7 @@ def null_audit(df: DataFrame, cols: list[str]) -> DataFrame:
         F.count("v").alias("n_distinct"))
 
 
-def fit_scaler(train: DataFrame, cols: list[str], accuracy: int = 100_000, store=lambda df: df) -> DataFrame:
+def fit_scaler(train: DataFrame, cols: list[str], accuracy: int = 20_000, store=lambda df: df) -> DataFrame:
     """One parameter row per column: fill value, centre, scale, null indicator, binary flag.
 
     Quantiles are taken after filling with the median; a zero range scales by one; a column with no
