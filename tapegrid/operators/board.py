@@ -41,27 +41,90 @@ def per_node(board: DataFrame) -> DataFrame:
         F.sum((F.col("status") == "pruned").cast("bigint")).alias("pruned")).join(med, "node", "left")
 
 
-def records(board: DataFrame, by: list[str], margin: float = 0.0005, test_margin: float | None = None,
-            advance: str = "any") -> DataFrame:
-    """Validation records and promotions.
-
-    A record beats every earlier comparable score by ``margin``. A record is promoted when its test score
-    also beats the earlier test scores that set the test bar: those of all records (``advance='any'``) or
-    those of records with an own improvement only (``advance='promotion'`` keeps failed tests out of it
-    by requiring the test score to be a strict test record as well).
+def promotions(board: DataFrame, by: list[str], margin: float = 0.0005, advance: str = "any",
+               block: int = 4096, levels: int = 2) -> DataFrame:
+    """Trials that earn a test and those that are promoted, in trial order per key.
+
+    A trial is tested when its score beats the bar by ``margin`` and promoted when its test score also
+    beats the champion by ``margin``. ``advance='any'`` moves the bar on every test, ``'promotion'`` only
+    with the champion.
+
+    The rule is sequential, but a trial that an earlier one matches or beats on both scores can never
+    be promoted (bars only fall), and with ``'any'`` one that an earlier score matches is never tested.
+    So blocks of trials first drop those rows locally, level by level, and the ordered walk sees
+    only the records that are left. With ``'promotion'`` only promoted trials are returned.
     """
+    ok = comparable(board).select(*by, F.col("trial").cast("bigint").alias("trial"), "score",
+                                  F.coalesce(finite(F.col("test_score")), F.lit(float("inf"))).alias("test_score"))
+    both = advance == "promotion"
+    types = {f.name: f.dataType.simpleString() for f in ok.schema.fields}
+    schema = ", ".join(f"{c} {t}" for c, t in types.items())
+    d = ok
+    for level in range(1, levels + 1):
+        d = (d.withColumn("_b", F.floor(F.col("trial") / (block ** level)).cast("bigint"))
+             .groupBy(*by, "_b").applyInPandas(_keep_records(both), schema))
+    return d.groupBy(*by).applyInPandas(_walk(by, margin, both), schema + ", promoted boolean")
+
+
+def _keep_records(both: bool):
+    def keep(pdf):
+        import bisect
+
+        pdf = pdf.sort_values("trial")
+        xs: list[float] = []     # scores of the staircase, rising; ts falls along it
+        ts: list[float] = []
+        hit = []
+        for x, t in zip(pdf["score"], pdf["test_score"] if both else [0.0] * len(pdf)):
+            i = bisect.bisect_right(xs, x)
+            if i and ts[i - 1] <= t:
+                hit.append(False)
+                continue
+            hit.append(True)
+            j = bisect.bisect_left(xs, x)
+            k = j
+            while k < len(xs) and ts[k] >= t:
+                k += 1
+            xs[j:k], ts[j:k] = [x], [t]
+        return pdf.loc[hit].drop(columns=[c for c in pdf.columns if c == "_b"])
+
+    return keep
+
+
+def _walk(by: list[str], margin: float, both: bool):
+    def walk(pdf):
+        import math
+
+        pdf = pdf.sort_values("trial")
+        bar = champion = math.inf
+        out = []
+        for x, t in zip(pdf["score"], pdf["test_score"]):
+            tested = x < bar - margin
+            won = tested and t < champion - margin
+            if won:
+                champion = t
+            if won or (tested and not both):
+                bar = x
+            out.append((tested and not both, won))
+        keep = [a or b for a, b in out]
+        res = pdf.loc[keep].copy()
+        res["promoted"] = [b for a, b in out if a or b]
+        return res
+
+    return walk
+
+
+def mark_promotions(board: DataFrame, promoted: DataFrame, by: list[str]) -> DataFrame:
+    flags = promoted.filter("promoted").select(*by, "trial", F.lit(True).alias("promoted"))
+    return board.join(flags, [*by, "trial"], "left").withColumn("promoted", F.coalesce("promoted", F.lit(False)))
+
+
+def records(board: DataFrame, by: list[str], margin: float = 0.0) -> DataFrame:
+    """Trials whose score beats every earlier comparable score of the key by ``margin``."""
     ok = (F.col("status") == "ok") & (F.col("scoring_version") == CURRENT)
     d = board.withColumn("_s", F.when(ok, finite(F.col("score"))))
     d = running(d, by, "trial", {"best_before": ("min", F.col("_s"))})
-    d = d.withColumn("is_record", F.coalesce(F.col("_s") < F.coalesce("best_before", F.lit(float("inf"))) - margin, F.lit(False)))
-    d = running(d, by, "trial", {"test_before": ("min", F.when(F.col("is_record"), F.col("test_score")))})
-    bar = F.coalesce("test_before", F.lit(float("inf")))
-    tm = margin if test_margin is None else test_margin
-    d = d.withColumn("promoted", F.col("is_record") & (F.col("test_score") < bar - tm))
-    if advance == "promotion":
-        d = running(d.drop("test_before"), by, "trial", {"test_before": ("min", F.when(F.col("promoted"), F.col("test_score")))})
-        d = d.withColumn("promoted", F.col("is_record") & (F.col("test_score") < F.coalesce("test_before", F.lit(float("inf"))) - tm))
-    return d.drop("_s")
+    beats = F.col("_s") < F.coalesce("best_before", F.lit(float("inf"))) - margin
+    return d.withColumn("is_record", F.coalesce(beats, F.lit(False))).drop("_s")
 
 
 def plateau(recs: DataFrame, by: list[str], notice: int = 50) -> DataFrame:

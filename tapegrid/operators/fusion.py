@@ -113,11 +113,14 @@ def fuse(df: DataFrame, gc: GateConfig = GC, snap: bool = False) -> DataFrame:
     square = sum((w * w for w in ws), z)
     half = F.coalesce(0.5 * band, 1.2816 * s * F.col("rv_1m") * F.sqrt(_minutes()))
     delta = f - s
-    return d.withColumns({
-        "target": to_grid(f, gc.report_grid), "delta": delta,
-        "direction": F.when(F.abs(delta) > gc.deadband_im * im, F.signum(delta)).otherwise(0.0).cast("int"),
-        "confidence": clip(0.5 * F.coalesce(agree, F.lit(1.0)) + 0.25 * square + 0.25 * band_pen, 0.0, 1.0),
-        "band_lo": f - half, "band_hi": f + half}).drop("raw_target", "fused")
+    # the results leave through a generator: filters on them stay above it instead of being
+    # rewritten, with every weight expression inlined, below the projections
+    res = F.struct(
+        to_grid(f, gc.report_grid).alias("target"), delta.alias("delta"),
+        F.when(F.abs(delta) > gc.deadband_im * im, F.signum(delta)).otherwise(0.0).cast("int").alias("direction"),
+        clip(0.5 * F.coalesce(agree, F.lit(1.0)) + 0.25 * square + 0.25 * band_pen, 0.0, 1.0).alias("confidence"),
+        (f - half).alias("band_lo"), (f + half).alias("band_hi"))
+    return d.select("*", F.inline(F.array(res))).drop("raw_target", "fused")
 
 
 def gate(df: DataFrame, gc: GateConfig = GC, learned: DataFrame | None = None, horizons: list[str] | None = None) -> DataFrame:
