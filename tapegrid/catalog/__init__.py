@@ -1,3 +1,3 @@
 """Importing the package registers every query."""
 
-from tapegrid.catalog import chain, features, labels, ladder, scores  # noqa: F401
+from tapegrid.catalog import chain, features, io, labels, ladder, misc, models, scores, stream  # noqa: F401

@@ -145,9 +145,14 @@ def predict_magnitude(df: DataFrame, table: DataFrame) -> DataFrame:
     d = df.join(table, ["bucket", "rv_decile"], "left")
     mu, md = clip("mu", 0.0, 10.0), clip("md", 0.0, 10.0)
     top = F.greatest(mu, md)
+
+    def tidy(x, digits):
+        # nine digits first: an interpolated 3.95 must not fall to 3.9 through binary noise
+        return F.bround(F.round(x, 9), digits)
+
     return d.withColumns({
-        "pred_up": F.bround(mu, 1), "pred_dn": F.bround(md, 1), "net": F.bround(mu - md, 1),
-        "dollars_up": F.bround(magnitude_to_move(mu, F.col("base")), 2), "dollars_dn": F.bround(magnitude_to_move(md, F.col("base")), 2),
+        "pred_up": tidy(mu, 1), "pred_dn": tidy(md, 1), "net": tidy(mu - md, 1),
+        "dollars_up": tidy(magnitude_to_move(mu, F.col("base")), 2), "dollars_dn": tidy(magnitude_to_move(md, F.col("base")), 2),
         "tag": F.when(top >= 7.5, "move").when(top >= 6.0, "elevated").otherwise("normal")})
 
 

@@ -62,11 +62,11 @@ def gate_report(df: DataFrame, split: str, cols: list[str], min_sessions: int =
                   (F.sum("nulls") / (F.sum("n") * len(cols))).alias("null_frac"))
     s, m = F.col("sessions"), F.col("smallest")
     checks = [
-        F.struct(F.lit("session floor").alias("check"), F.when(s < min_sessions, "FAIL").when(s < thin_sessions, "WARN").otherwise("PASS").alias("status"),
+        F.struct(F.lit("session floor").alias("check_name"), F.when(s < min_sessions, "FAIL").when(s < thin_sessions, "WARN").otherwise("PASS").alias("status"),
                  s.cast("double").alias("value")),
-        F.struct(F.lit("smallest split").alias("check"), F.when(m < min_rows, "FAIL").otherwise("PASS").alias("status"), m.cast("double").alias("value")),
-        F.struct(F.lit("feature count").alias("check"), F.lit("WARN" if len(cols) < min_features else "PASS").alias("status"), F.lit(float(len(cols))).alias("value")),
-        F.struct(F.lit("null share").alias("check"), F.when(F.col("null_frac") > 0.5, "WARN").otherwise("PASS").alias("status"), F.col("null_frac").alias("value")),
+        F.struct(F.lit("smallest split").alias("check_name"), F.when(m < min_rows, "FAIL").otherwise("PASS").alias("status"), m.cast("double").alias("value")),
+        F.struct(F.lit("feature count").alias("check_name"), F.lit("WARN" if len(cols) < min_features else "PASS").alias("status"), F.lit(float(len(cols))).alias("value")),
+        F.struct(F.lit("null share").alias("check_name"), F.when(F.col("null_frac") > 0.5, "WARN").otherwise("PASS").alias("status"), F.col("null_frac").alias("value")),
     ]
     return one.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
 
