@@ -104,17 +104,17 @@ def _(spark, d):
     return g.join(h, list(SESSION), "left").withColumn("pct", F.col("spot") / F.col("hist_prior_close") - 1)
 
 
-@query("tk01_ordered_contracts", "pos:i symbol:s session_date:d strike:1 gex:3",
-       q("""select row_number() over (partition by symbol, session_date order by strike, seq) as pos, symbol, session_date, strike, gex from ladder"""))
+@query("tk01_ordered_rows", "pos:i symbol:s session_date:d seq:i strike:1",
+       q("select row_number() over (partition by symbol, session_date order by ts, strike, seq) as pos, symbol, session_date, seq, strike from ladder"))
 def _(spark, d):
-    """Position in (strike, seq) order of each session: counts per strike give the offset, a local rank the rest."""
+    """Position in (ts, strike, seq) order of each session: counts per minute give the offset, a rank inside the minute the rest."""
     from pyspark.sql import Window
-    lad = fx.ladder(spark, d)
-    per = lad.groupBy(*SESSION, "strike").agg(F.count(F.lit(1)).alias("c"))
-    run = Window.partitionBy(*SESSION).orderBy("strike").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(*SESSION, "strike", F.coalesce(F.sum("c").over(run), F.lit(0)).alias("off"))
-    local = F.row_number().over(Window.partitionBy(*SESSION, "strike").orderBy("seq"))
-    return lad.withColumn("r", local).join(offs, [*SESSION, "strike"]).withColumn("pos", F.col("r") + F.col("off"))
+    lad = fx.ladder(spark, d).withColumn("m", clock.minute_of_day(F.col("ts"), CFG.tz))
+    per = lad.groupBy(*SESSION, "m").agg(F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy(*SESSION).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.select(*SESSION, "m", F.coalesce(F.sum("c").over(run), F.lit(0)).alias("off"))
+    local = F.row_number().over(Window.partitionBy(*SESSION, "m").orderBy("ts", "strike", "seq"))
+    return lad.withColumn("r", local).join(offs, [*SESSION, "m"]).withColumn("pos", F.col("r") + F.col("off"))
 
 
 @query("tk03_top_clusters", KEY + "rank:i abs_gex_sum:4 peak_strike:1", q("""select *, row_number() over (partition by symbol, session_date, bar order by abs_gex_sum desc, cluster_id) as rank

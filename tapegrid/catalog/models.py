@@ -21,7 +21,7 @@ KEYS = [*SESSION, "bar"]
 
 
 def features(spark, d):
-    return asm.build_features(fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d), CFG)
+    return asm.build_features(fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d), CFG, store=materialise)
 
 
 @query("fea08_availability", KEY + "has_gex_snapshot:0 has_flow_prints:0",
@@ -55,9 +55,9 @@ def _(spark, d):
     """Features of the last session up to bar 240 from the full feeds and from feeds cut there: no row may differ."""
     t, lad, pr = fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d)
     day, cut = "2024-01-30", F.lit("2024-01-30 13:30:00").cast("timestamp")
-    full = asm.build_features(t, lad, pr, CFG, lags=False)
+    full = asm.build_features(t, lad, pr, CFG, lags=False, store=materialise)
     cols = asm.feature_columns(full)
-    short = asm.build_features(*[x.filter(F.col("ts") <= cut) for x in (t, lad, pr)], CFG, lags=False)
+    short = asm.build_features(*[x.filter(F.col("ts") <= cut) for x in (t, lad, pr)], CFG, lags=False, store=materialise)
     upto = (F.col("session_date") == F.lit(day).cast("date")) & (F.col("bar") <= 240)
     # the session-wide feed switch is constant in the fixture, so its scope may stay per session
     return qa.causality_violations(full.filter(upto), short.filter(upto), KEYS, cols)
@@ -234,12 +234,12 @@ def _(spark, d):
     h = ph.horizon_rows(g.select(*KEYS, "ret_1m", "ret_5m"))
     preds = h.select(*KEYS, "horizon", F.col("ret_1m").alias("lgb"), F.col("ret_5m").alias("cat"), F.lit(-0.5).alias("q10"),
                      F.lit(0.0).alias("q50"), F.lit(0.5).alias("q90"))
-    return asm.backtest_signals(fx.ticks(spark, d), fx.ladder(spark, d), preds, CFG, cadence_rows=3)
+    return asm.backtest_signals(fx.ticks(spark, d), fx.ladder(spark, d), preds, CFG, cadence_rows=3, store=materialise)
 
 
 @query("training_table", KEY + "split:s ret_1m:5 gex_net_total:5 y_retn_30m:5")
 def _(spark, d):
-    f = asm.build_features(fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d), CFG, lags=False)
+    f = asm.build_features(fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d), CFG, lags=False, store=materialise)
     keep = f.select(*KEYS, "spot", "rv_1m", "ret_1m", "ret_5m", "gex_net_total", "gex_hhi", "inst_block_weight", "dow")
     return asm.training_table(keep, CFG, store=materialise)[0]
 

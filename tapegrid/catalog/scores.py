@@ -15,6 +15,7 @@ from tapegrid.functions.nulls import mean_of, safe_div
 from tapegrid.operators import board as bd, evaluate as ev, fusion as fu, physics as ph, targets as tg
 from tapegrid.operators.windows import SESSION, by_bar, roll
 from tapegrid.plans import fixtures as fx
+from tapegrid.plans.session import materialise
 
 H3 = ["5m", "20m", "eod"]
 KEY = "symbol:s session_date:d bar:i "
@@ -130,7 +131,7 @@ def _(spark, d):
             (select *, case when count(*) over w >= 8 then quantile_cont(screen_score, 0.6) over w end as bar from board
              window w as (partition by node order by trial rows between unbounded preceding and 1 preceding))"""))
 def _(spark, d):
-    return bd.prune_bar(board(spark, d), ["node"])
+    return bd.prune_bar(board(spark, d), ["node"], store=materialise)
 
 
 @query("eva09_prune_stats", "node:s pruned:i trials:i",
@@ -138,7 +139,7 @@ def _(spark, d):
             (select *, case when count(*) over w >= 8 then quantile_cont(screen_score, 0.6) over w end as bar from board
              window w as (partition by node order by trial rows between unbounded preceding and 1 preceding)) group by 1"""))
 def _(spark, d):
-    p = bd.prune_bar(board(spark, d), ["node"])
+    p = bd.prune_bar(board(spark, d), ["node"], store=materialise)
     return p.groupBy("node").agg(F.sum(F.col("prune").cast("bigint")).alias("pruned"), F.count(F.lit(1)).alias("trials"))
 
 

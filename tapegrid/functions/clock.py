@@ -42,6 +42,13 @@ def ceil_bar(ts: Column, cfg: SessionConfig, minutes: int | None = None) -> Colu
     return (label - F.lit(cfg.open_minute)).cast("int")
 
 
+def order_key(ts: Column, seq: Column) -> Column:
+    """(ts, seq) packed into one decimal. Unlike a struct it is a fixed-width aggregation buffer, so
+    max_by / min_by on it stay in hash aggregation instead of sorting the raw rows."""
+    shift = F.lit("10000000000000000000").cast("decimal(20,0)")
+    return F.unix_micros(ts).cast("decimal(17,0)") * shift + seq.cast("decimal(19,0)")
+
+
 def floor_bar(ts: Column, cfg: SessionConfig, minutes: int) -> Column:
     label = F.floor(micros_of_day(ts, cfg.tz) / (minutes * MIN_US)) * minutes
     return (label - F.lit(cfg.open_minute)).cast("int")

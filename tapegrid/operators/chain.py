@@ -32,7 +32,7 @@ def contract_bars(raw: DataFrame, cfg: SessionConfig, label: str = "end") -> Dat
     t = raw.filter(clock.in_session(F.col("ts"), cfg, "left")).withColumns(
         {"session_date": clock.local_date(F.col("ts"), cfg.tz), "bar": bar})
     g = t.groupBy(*CONTRACT, "bar").agg(
-        F.max_by("c", F.struct("ts", "seq")).alias("c"), F.sum("v").alias("v"),
+        F.max_by("c", clock.order_key(F.col("ts"), F.col("seq"))).alias("c"), F.sum("v").alias("v"),
         F.sum(F.col("c") * F.col("v")).alias("_cv"), F.count(F.lit(1)).alias("n"))
     return g.withColumn("vw", F.when(F.col("v") > 0, F.col("_cv") / F.col("v")).otherwise(F.col("c"))).drop("_cv")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapegrid.config import FeatureConfig, SessionConfig
 from tapegrid.functions import clock
@@ -12,7 +12,7 @@ from tapegrid.functions.market import side_sign, type_sign
 from tapegrid.functions.nulls import clip, safe_div
 from tapegrid.operators.grid import onto_grid
 from tapegrid.operators.windows import (SESSION, by_bar, by_day, diff, roll, rolling_z,
-                                        second_diff, so_far)
+                                        second_diff, so_far, whole)
 
 FC = FeatureConfig()
 
@@ -100,8 +100,9 @@ def feed_switch(rows: DataFrame, scope: str = "session") -> DataFrame:
         run = so_far(by_bar())
         flag = bars.select(*SESSION, "bar", share(F.sum("n").over(run), F.sum("k").over(run)).alias("flow_side_weighted"))
         return rows.join(flag, [*SESSION, "bar"])
-    flag = rows.groupBy(*SESSION).agg(share(F.sum("_n"), F.sum("_ok")).alias("flow_side_weighted"))
-    return rows.join(flag, list(SESSION))
+    # rows are (bar, strike) sums here: one session of them per partition
+    w = Window.partitionBy(*SESSION)
+    return rows.withColumn("flow_side_weighted", share(F.sum("_n").over(w), F.sum("_ok").over(w)))
 
 
 def bar_premium(ladder: DataFrame, grid: DataFrame, cfg: SessionConfig, scope: str = "session") -> DataFrame:
@@ -122,10 +123,9 @@ def bar_premium(ladder: DataFrame, grid: DataFrame, cfg: SessionConfig, scope: s
 def premium_block(grid: DataFrame, premium: DataFrame, fc: FeatureConfig = FC) -> DataFrame:
     """Net premium sums, z-scores, velocities, call/put ratio and out-of-the-money acceleration."""
     w = by_bar()
-    d = onto_grid(grid, premium.drop("flow_side_weighted"), PREMIUM_COLS)
-    flags = premium.groupBy(*SESSION).agg(F.max("flow_side_weighted").alias("flow_side_weighted"))
-    d = d.join(flags, list(SESSION), "left").fillna(0.0, subset=["flow_side_weighted"])
+    d = onto_grid(grid, premium, PREMIUM_COLS)
     d = d.withColumns({
+        "flow_side_weighted": F.coalesce(F.max("flow_side_weighted").over(whole(w)), F.lit(0.0)),
         **{f"net_prem_{n}m": roll("net_prem_1m", n, "sum") for n in fc.flow_rows},
         "net_prem_cum_session": F.sum("net_prem_1m").over(so_far(w)),
         "call_put_prem_ratio_15m": clip(safe_div(roll("call_prem_1m", 15, "sum"), F.abs(roll("put_prem_1m", 15, "sum"))),

@@ -28,9 +28,9 @@ GEX_COLUMNS = (
     "max_pain", "max_pain_dist")
 
 
-def last_value_by(value: str, order: tuple[str, ...] = ("ts", "seq")) -> Column:
-    """Last non-NULL value in ``order``; a NULL value never wins because its ordering is NULL."""
-    return F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+def last_value_by(value: str) -> Column:
+    """Last non-NULL value by (ts, seq); a NULL value never wins because its ordering is NULL."""
+    return F.max_by(value, F.when(F.col(value).isNotNull(), clock.order_key(F.col("ts"), F.col("seq"))))
 
 
 def strike_rows(ladder: DataFrame, cfg: SessionConfig, columns: tuple[str, ...] = LEVELS) -> DataFrame:

@@ -37,7 +37,7 @@ def running(df: DataFrame, by: list[str], order: str, spec: dict[str, tuple[str,
 
 
 def running_percentile(df: DataFrame, by: list[str], order: str, value: str, prob: float, name: str,
-                       block: int = 4096, parts: int = 16) -> DataFrame:
+                       block: int = 4096, parts: int = 16, store=lambda x: x) -> DataFrame:
     """Exact percentile of ``value`` over all earlier rows of the key (linear interpolation).
 
     While one block of ``block`` rows passes, the wanted rank of the growing sequence stays within
@@ -45,17 +45,19 @@ def running_percentile(df: DataFrame, by: list[str], order: str, value: str, pro
     earlier values around that rank plus a count of what lies below: fixed value ranges are counted
     per block, the ranges that can hold the rank are chosen, and only their values are fetched,
     already combined to (value, count). Raise ``parts`` and ``block`` together with the row count: a
-    block reads about 3 / parts of the earlier distinct values.
+    block reads about 3 / parts of the earlier distinct values. ``store`` keeps the intermediate tables that
+    are read more than once.
     """
     from tapegrid.operators.quantiles import exact_quantiles
 
+    df = store(df)
     d = df.withColumn("_v", F.col(value).cast("double")).withColumn("_blk", F.floor(F.col(order) / block).cast("bigint"))
     vals = d.filter(F.col("_v").isNotNull())
     cuts = exact_quantiles(vals, by, "_v", [i / parts for i in range(1, parts)], [f"_e{i}" for i in range(1, parts)])
-    edges = cuts.select(*by, F.array(*[f"_e{i}" for i in range(1, parts)]).alias("_edges"))
+    edges = store(cuts.select(*by, F.array(*[f"_e{i}" for i in range(1, parts)]).alias("_edges")))
     part = F.aggregate("_edges", F.lit(0), lambda a, e: a + F.when(F.col("_v") > e, 1).otherwise(0)).alias("_part")
     ranged = (vals.join(edges, by) if by else vals.crossJoin(F.broadcast(edges))).select(*by, "_blk", "_v", part)
-    cells = ranged.groupBy(*by, "_blk", "_part", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cells = store(ranged.groupBy(*by, "_blk", "_part", "_v").agg(F.count(F.lit(1)).alias("_c")))
 
     # Rows of each (block, range) before the block: counts per range, carried over blocks.
     per = cells.groupBy(*by, "_blk", "_part").agg(F.sum("_c").alias("_c"))
@@ -67,6 +69,7 @@ def running_percentile(df: DataFrame, by: list[str], order: str, value: str, pro
             .withColumn("_before", F.coalesce(F.sum("_c").over(over_blocks), F.lit(0)))
             .withColumn("_upto", F.sum("_before").over(over_parts.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("_total", F.sum("_before").over(over_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    hist = store(hist)
     low_rank = F.floor(prob * F.col("_total")) - F.col("_own") - 2
     high_rank = F.ceil(prob * (F.col("_total") + F.col("_own"))) + 2
     need = hist.filter((F.col("_upto") > low_rank) & (F.col("_upto") - F.col("_before") <= high_rank) & (F.col("_before") > 0))

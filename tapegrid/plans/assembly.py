@@ -15,18 +15,20 @@ CLOCK = ("minutes_since_open", "minutes_to_close", "session_frac", "session_sin"
 
 
 def build_features(ticks: DataFrame, ladder: DataFrame | None, prints: DataFrame | None, cfg: SessionConfig, fc: FeatureConfig = FC,
-                   candles: bool = True, lags: bool = True, premium_scope: str = "session") -> DataFrame:
+                   candles: bool = True, lags: bool = True, premium_scope: str = "session", store=lambda d: d) -> DataFrame:
     """Every causal feature block on one grid, one row per (symbol, session_date, bar).
 
     Base features keep NULL, extra blocks (candles, lags) read 0 where nothing is known. All blocks are
-    bar-level tables keyed like the grid; the raw feeds are only ever aggregated.
+    bar-level tables keyed like the grid; the raw feeds are only ever aggregated. ``store`` (for example
+    plans.session.materialise) keeps the reduced tables, so each raw feed is aggregated once however
+    many blocks read it.
     """
-    bars = gr.ticks_to_bars(ticks, cfg)
+    bars = store(gr.ticks_to_bars(ticks, cfg))
     grid = gr.with_clock(gr.fill_grid(bars, cfg), cfg)
     d = fe.prior_session(fe.price_context(grid, cfg, fc))
     spine = grid.select(*KEYS, "spot")
     if ladder is not None:
-        rows = ld.with_spot(ld.strike_rows(ladder, cfg), spine)
+        rows = ld.with_spot(store(ld.strike_rows(ladder, cfg)), spine)
         gex = ld.grid_metrics(spine.drop("spot"), ld.snapshot_metrics(rows, fc), cfg, fc)
         prem = fe.premium_block(spine, fe.bar_premium(ladder, spine, cfg, premium_scope), fc).drop("spot")
         d = d.join(gex, KEYS, "left").join(prem, KEYS, "left")
@@ -60,19 +62,19 @@ def training_table(features: DataFrame, cfg: SessionConfig, store=lambda d: d):
 
 
 def backtest_signals(ticks: DataFrame, ladder: DataFrame, predictions: DataFrame, cfg: SessionConfig, cadence_rows: int = 1,
-                     kind: str = "retn", learned: DataFrame | None = None) -> DataFrame:
+                     kind: str = "retn", learned: DataFrame | None = None, store=lambda d: d) -> DataFrame:
     """Set-based replay: as-of ladder per bar x predictions -> physics -> fusion -> realised direction.
 
     ``predictions``: (symbol, session_date, bar, horizon, lgb, cat, q10, q50, q90). ``cadence_rows`` keeps
     every n-th bar as a decision point, as the live cycle does.
     """
-    g = fe.price_context(gr.session_grid(ticks, cfg), cfg).filter("spot is not null")
+    g = store(fe.price_context(gr.session_grid(ticks, cfg), cfg).filter("spot is not null"))
     t = tg.horizon_targets(g, cfg)
     points = g.filter(F.col("bar") % (cadence_rows * cfg.bar_minutes) == 0) if cadence_rows > 1 else g
     points = points.select(*KEYS, "spot", "rv_1m", "minutes_to_close")
     cols = (*ld.LEVELS, "call_vol", "put_vol")
     at = ld.thick_snapshots(asof.snapshot_asof(points, ld.strike_rows(ladder, cfg, cols)))
-    state = ph.profile(ph.attractor_masses(ph.implied_move(ph.ladder_state(at))))
+    state = store(ph.profile(ph.attractor_masses(ph.implied_move(ph.ladder_state(at)))))
     d = ph.horizon_rows(state.withColumn("net_prem_z", F.lit(0.0))).drop("horizon_no").join(predictions, [*KEYS, "horizon"], "left")
     d = fu.expert_prices(d, kind)
     phys = ph.targets(state, d.select(*KEYS, "horizon", F.col("consensus").alias("start")))
