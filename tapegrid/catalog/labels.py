@@ -89,7 +89,7 @@ define("mags", f"select *, case when up is not null then {_MAG.format('up')} end
 
 
 def mags(spark, d):
-    return tg.magnitude_targets(exc(spark, d))
+    return tg.magnitude_targets(exc(spark, d), store=materialise)
 
 
 @query("tgt03_tod_baseline", KEY + "bucket:i base:5 mag_up:1 mag_dn:1", q("select * from mags"))

@@ -78,14 +78,14 @@ define("tboard", "select *, screen_score + (seconds - 300.0) / 5000.0 as test_sc
 
 
 @query("eva05_seed_bar", "bar:6 n_comparable:i",
-       q("select coalesce(min(score), 'inf'::double) as bar, count(*) as n_comparable from board where status = 'ok' and scoring_version = 'pre11'"))
+       q("select coalesce(min(score), 'inf'::double) as bar, count(*) as n_comparable from board where status = 'ok' and scoring_version = 'eod_pre11'"))
 def _(spark, d):
     return bd.seed_bar(board(spark, d))
 
 
 @query("eva06_records", "node:s trial:i score:6 is_record:b",
        q("""select node, trial, score, coalesce(s < coalesce(min(s) over w, 'inf'::double) - 0.001, false) as is_record from
-            (select *, case when status = 'ok' and scoring_version = 'pre11' then score end as s from board)
+            (select *, case when status = 'ok' and scoring_version = 'eod_pre11' then score end as s from board)
             window w as (partition by node order by trial rows between unbounded preceding and 1 preceding)"""))
 def _(spark, d):
     return bd.records(board(spark, d), ["node"], margin=0.001)
@@ -93,7 +93,7 @@ def _(spark, d):
 
 _WALK = q("""select 1 from tboard""").replace("select 1 from tboard", "").rstrip().replace("with ", "with recursive ", 1) + """,
     seqd as (select node, trial, score, test_score, row_number() over (partition by node order by trial) as rn from tboard
-             where status = 'ok' and scoring_version = 'pre11' and score is not null),
+             where status = 'ok' and scoring_version = 'eod_pre11' and score is not null),
     walk as (select node, 0::bigint as rn, 0::bigint as trial, 'inf'::double as bar, 'inf'::double as champ, false as tested, false as promoted
              from (select distinct node from seqd)
         union all

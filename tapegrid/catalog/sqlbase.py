@@ -70,7 +70,7 @@ CTES: dict[str, str] = {
         case o_orderstatus when 'O' then 'ok' when 'F' then 'pruned' else 'failed' end as status,
         case when o_orderstatus = 'O' then o_totalprice / 1000000.0 end as score,
         o_totalprice / 1000000.0 as screen_score, cast(o_custkey % 600 as double) as seconds,
-        case when o_custkey % 10 = 0 then 'full_session' else 'pre11' end as scoring_version from orders""",
+        case when o_custkey % 10 = 0 then 'full_session' else 'eod_pre11' end as scoring_version from orders""",
 }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: list[str],
-                  seq: str = "seq", ts: str = "ts", bucket_minutes: int = 60) -> DataFrame:
+                  seq: str = "seq", ts: str = "ts", bucket_minutes: int = 5) -> DataFrame:
     """Each left row with ``values`` of the newest right row at or before its ``ts`` (NULL if none).
 
     Ties on ``ts`` resolve to the highest right ``seq``.

@@ -12,7 +12,7 @@ from tapegrid.functions.nulls import finite
 from tapegrid.operators.quantiles import exact_quantiles
 from tapegrid.operators.running import running, running_percentile
 
-CURRENT = "pre11"
+CURRENT = "eod_pre11"
 
 
 def comparable(board: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -33,8 +33,8 @@ def best_trials(board: DataFrame, k: int) -> DataFrame:
     return board.filter(F.col("score").isNotNull()).orderBy("score", "trial").limit(k)
 
 
-def per_node(board: DataFrame) -> DataFrame:
-    med = exact_quantiles(board, ["node"], "seconds", [0.5], ["median_seconds"])
+def per_node(board: DataFrame, store=lambda d: d) -> DataFrame:
+    med = exact_quantiles(board, ["node"], "seconds", [0.5], ["median_seconds"], store=store)
     ok = F.col("status") == "ok"
     return board.groupBy("node").agg(
         F.count(F.lit(1)).alias("trials"), F.sum(ok.cast("bigint")).alias("ok"), F.min(F.when(ok, F.col("score"))).alias("best_score"),

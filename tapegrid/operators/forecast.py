@@ -132,11 +132,11 @@ def volatility_decile(df: DataFrame, col: str = "rv_1m") -> DataFrame:
     return d.withColumn("rv_decile", F.coalesce(dec, F.lit(0))).drop(*[f"_c{i}" for i in range(1, 10)])
 
 
-def magnitude_table(train: DataFrame, prob: float = 0.75) -> DataFrame:
+def magnitude_table(train: DataFrame, prob: float = 0.75, store=lambda d: d) -> DataFrame:
     """Conditional quantile of both magnitudes by time bucket and volatility decile."""
     keys = ["bucket", "rv_decile"]
-    up = exact_quantiles(train, keys, "mag_up", [prob], ["mu"])
-    dn = exact_quantiles(train, keys, "mag_dn", [prob], ["md"])
+    up = exact_quantiles(train, keys, "mag_up", [prob], ["mu"], store=store)
+    dn = exact_quantiles(train, keys, "mag_dn", [prob], ["md"], store=store)
     return up.join(dn, keys, "full_outer")
 
 

@@ -50,8 +50,9 @@ def ticks_to_bars(ticks: DataFrame, cfg: SessionConfig) -> DataFrame:
     """(symbol, session_date, bar) with the last, first, high, low price and volume of each non-empty bar."""
     t = (regular_hours(ticks, cfg)
          .withColumn("session_date", clock.local_date(F.col("ts"), cfg.tz))
-         .withColumn("bar", clock.ceil_bar(F.col("ts"), cfg)))
-    at = clock.order_key(F.col("ts"), F.col("seq"))
+         .withColumn("bar", clock.ceil_bar(F.col("ts"), cfg))
+         .withColumn("_at", clock.order_key(F.col("ts"), F.col("seq"))))
+    at = F.col("_at")
     aggs = [F.max_by("spot", at).alias("spot"), F.min_by("spot", at).alias("open"),
             F.max("spot").alias("high"), F.min("spot").alias("low"), F.count(F.lit(1)).alias("n_ticks")]
     if "volume" in t.columns:

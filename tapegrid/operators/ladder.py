@@ -29,14 +29,15 @@ GEX_COLUMNS = (
 
 
 def last_value_by(value: str) -> Column:
-    """Last non-NULL value by (ts, seq); a NULL value never wins because its ordering is NULL."""
-    return F.max_by(value, F.when(F.col(value).isNotNull(), clock.order_key(F.col("ts"), F.col("seq"))))
+    """Last non-NULL value by ``_at``; a NULL value never wins because its ordering is NULL."""
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at")))
 
 
 def strike_rows(ladder: DataFrame, cfg: SessionConfig, columns: tuple[str, ...] = LEVELS) -> DataFrame:
     """Last non-NULL value per (snapshot, strike); the snapshot is labelled at its end."""
     return (ladder.withColumns({"session_date": clock.local_date(F.col("ts"), cfg.tz),
-                                "bar": clock.ceil_bar(F.col("ts"), cfg, cfg.snap_minutes)})
+                                "bar": clock.ceil_bar(F.col("ts"), cfg, cfg.snap_minutes),
+                                "_at": clock.order_key(F.col("ts"), F.col("seq"))})
             .filter(F.col("bar").between(0, cfg.length) & F.col("strike").isNotNull())
             .groupBy(*SNAP, "strike").agg(*[last_value_by(c).alias(c) for c in columns]))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str],
-                    domain: list | None = None, accuracy: int = 20_000) -> DataFrame:
+                    domain: list | None = None, accuracy: int = 20_000, store=lambda d: d) -> DataFrame:
     """keys + one column per prob. Non-NULL values only; linear interpolation.
 
     ``domain`` lists every value a single key column can take (horizons, column names: fixed by
@@ -22,6 +22,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     The sketch is off by at most n / accuracy ranks and brackets are padded by three times that.
     Below 2 * accuracy rows the pad could miss a neighbouring rank, so everything (a bounded number
     of values) is inside. One task orders about 6 * n / accuracy values per prob.
+
+    ``store`` (for example plans.session.materialise) keeps the bracket table of a keyed call, so that
+    the optimizer knows its real size: small enough it is broadcast and the rows stay where they are.
     """
     pad = 3.0 / accuracy
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -31,13 +34,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         by = ["_k"]
     sketch = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [max(0.0, p - pad) for p in probs], accuracy).alias("_lo"),
-        F.percentile_approx("_v", [min(1.0, p + pad) for p in probs], accuracy).alias("_hi"))
+        F.percentile_approx("_v", [max(0.0, p - pad) for p in probs] + [min(1.0, p + pad) for p in probs], accuracy).alias("_at"))
     few = F.col("_n") <= 2 * accuracy
     bounds = []
     for i, p in enumerate(probs):
-        bounds.append(F.when(few | F.lit(p <= pad), F.col("_min")).otherwise(F.col("_lo")[i]).alias(f"lo{i}"))
-        bounds.append(F.when(few | F.lit(p >= 1.0 - pad), F.col("_max")).otherwise(F.col("_hi")[i]).alias(f"hi{i}"))
+        bounds.append(F.when(few | F.lit(p <= pad), F.col("_min")).otherwise(F.col("_at")[i]).alias(f"lo{i}"))
+        bounds.append(F.when(few | F.lit(p >= 1.0 - pad), F.col("_max")).otherwise(F.col("_at")[len(probs) + i]).alias(f"hi{i}"))
     brackets = sketch.select(*by, F.struct("_n", *bounds).alias("_q"))
     if domain is not None:
         found = F.map_from_entries(F.collect_list(F.struct("_k", "_q")))
@@ -46,7 +48,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         near = base.crossJoin(F.broadcast(one)).select("_k", "_v", F.col("_slots")[F.col("_k")].alias("_q"))
     elif by:
         # left to the optimizer: broadcast only below its size threshold, skewed keys are split by AQE
-        near = base.join(brackets, by)
+        near = base.join(store(brackets), by)
     else:
         near = base.crossJoin(F.broadcast(brackets))
     v, qc = F.col("_v"), lambda f: F.col(f"_q.{f}")

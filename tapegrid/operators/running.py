@@ -53,7 +53,8 @@ def running_percentile(df: DataFrame, by: list[str], order: str, value: str, pro
     df = store(df)
     d = df.withColumn("_v", F.col(value).cast("double")).withColumn("_blk", F.floor(F.col(order) / block).cast("bigint"))
     vals = d.filter(F.col("_v").isNotNull())
-    cuts = exact_quantiles(vals, by, "_v", [i / parts for i in range(1, parts)], [f"_e{i}" for i in range(1, parts)])
+    cuts = exact_quantiles(vals, by, "_v", [i / parts for i in range(1, parts)], [f"_e{i}" for i in range(1, parts)],
+                           store=store)
     edges = store(cuts.select(*by, F.array(*[f"_e{i}" for i in range(1, parts)]).alias("_edges")))
     part = F.aggregate("_edges", F.lit(0), lambda a, e: a + F.when(F.col("_v") > e, 1).otherwise(0)).alias("_part")
     ranged = (vals.join(edges, by) if by else vals.crossJoin(F.broadcast(edges))).select(*by, "_blk", "_v", part)

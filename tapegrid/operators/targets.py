@@ -71,10 +71,11 @@ def tod_baseline(medians: DataFrame, sessions: int = BASE_SESSIONS, least: int =
     return d.select(*SESSION, "bucket", base.alias("base"))
 
 
-def magnitude_targets(exc: DataFrame, fallback: float = 0.5) -> DataFrame:
-    """Excursions on the 0-10 scale relative to the time-of-day baseline."""
-    d = exc.join(tod_baseline(bucket_medians(exc)), [*SESSION, "bucket"], "left")
-    med = exact_quantiles(d, ["symbol"], "base", [0.5], ["_med"])
+def magnitude_targets(exc: DataFrame, fallback: float = 0.5, store=lambda d: d) -> DataFrame:
+    """Excursions on the 0-10 scale relative to the time-of-day baseline; ``store`` keeps the rows read twice."""
+    exc = store(exc)
+    d = store(exc.join(tod_baseline(bucket_medians(exc)), [*SESSION, "bucket"], "left"))
+    med = exact_quantiles(d, ["symbol"], "base", [0.5], ["_med"], store=store)
     d = d.join(med, "symbol", "left")
     d = d.withColumn("base", F.greatest(F.coalesce("base", "_med", F.lit(fallback)), F.lit(BASE_FLOOR))).drop("_med")
     return d.withColumns({"mag_up": magnitude(F.col("up"), F.col("base")), "mag_dn": magnitude(F.col("dn"), F.col("base"))})

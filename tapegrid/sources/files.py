@@ -71,6 +71,16 @@ def finalise(df: DataFrame, cfg: SessionConfig) -> DataFrame:
     return keep_last(d, ["symbol", "ts"], [order])
 
 
+def stored_schema(keys: str, doubles: tuple[str, ...], texts: tuple[str, ...] = ()) -> str:
+    """DDL of a stored table. Reading with it fills absent columns with NULL and opens no extra footers."""
+    return ", ".join([keys, *(f"{c} double" for c in doubles), *(f"{c} string" for c in texts)])
+
+
+LADDER_SCHEMA = stored_schema("symbol string, session_date date, ts timestamp, seq bigint", LADDER_DOUBLES, ("gex_source",))
+PRINT_SCHEMA = stored_schema("symbol string, session_date date, ts timestamp, seq bigint", PRINT_DOUBLES, ("option_type", "side", "trade_type"))
+SPOT_SCHEMA = "symbol string, session_date date, ts timestamp, spot double"
+
+
 def pad(df: DataFrame, doubles: tuple[str, ...], texts: tuple[str, ...] = ()) -> DataFrame:
     """Add absent columns: NULL numbers, text 'unknown' for the gamma source."""
     have = set(df.columns)
@@ -86,7 +96,7 @@ def read_history(spark: SparkSession, root: str, start: str | None = None, end:
     The session list comes from partition directories alone. Sessions without a price file take the
     last ladder price per timestamp.
     """
-    ladder = spark.read.option("mergeSchema", "true").parquet(f"{root}/ladder")
+    ladder = spark.read.schema(LADDER_SCHEMA).parquet(f"{root}/ladder").withColumn("gex_source", F.coalesce("gex_source", F.lit("unknown")))
     day = F.col("session_date")
     keep: Column = F.lit(True)
     if start:
@@ -98,9 +108,9 @@ def read_history(spark: SparkSession, root: str, start: str | None = None, end:
         first = newest.agg(F.min("session_date")).first()[0]      # one date
         if first is not None:
             keep = keep & (day >= F.lit(first))
-    lad = pad(ladder.filter(keep), LADDER_DOUBLES, ("gex_source",))
-    prints = pad(spark.read.option("mergeSchema", "true").parquet(f"{root}/prints").filter(keep), PRINT_DOUBLES)
-    spot = spark.read.parquet(f"{root}/spot").filter(keep).select("symbol", "session_date", "ts", "spot")
+    lad = ladder.filter(keep)
+    prints = spark.read.schema(PRINT_SCHEMA).parquet(f"{root}/prints").filter(keep)
+    spot = spark.read.schema(SPOT_SCHEMA).parquet(f"{root}/spot").filter(keep)
     have = spot.select("symbol", "session_date").distinct()
     fallback = (lad.filter(F.col("spot").isNotNull()).join(have, ["symbol", "session_date"], "left_anti")
                 .groupBy("symbol", "session_date", "ts").agg(F.max_by("spot", "strike").alias("spot")))

@@ -10,10 +10,11 @@ from tapegrid.functions.market import side_label
 def write_sessions(df: DataFrame, path: str, sort: tuple[str, ...] = ("ts",)) -> None:
     """Replace exactly the sessions present in ``df``; other partitions stay.
 
-    Rows are spread by (session, symbol) so that a session of many symbols is written by many tasks.
+    The rebalance hint groups rows by (session, symbol) and lets adaptive execution split a hot pair into
+    several tasks and files.
     """
     keys = ["session_date", "symbol"] if "symbol" in df.columns else ["session_date"]
-    (df.repartition(*keys).sortWithinPartitions("session_date", *[c for c in sort if c in df.columns])
+    (df.hint("rebalance", *keys).sortWithinPartitions("session_date", *[c for c in sort if c in df.columns])
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date").parquet(path))
 
 

@@ -85,10 +85,10 @@ def test_seed_bar(spark):
     bar = lambda rows, champ=True: bd.seed_bar(board(spark, rows), champ).first()["bar"]
     inf = float("inf")
     assert bar([]) == inf
-    assert bar([(1, "failed", 0.3, "pre11")]) == inf
-    assert bar([(1, "ok", float("nan"), "pre11"), (2, "ok", inf, "pre11")]) == inf
-    assert bar([(1, "ok", 0.52, "pre11"), (2, "ok", 0.4, "old"), (3, "ok", 0.6, "pre11")]) == 0.52
-    assert bar([(1, "ok", 0.52, "pre11")], champ=False) == inf
+    assert bar([(1, "failed", 0.3, "eod_pre11")]) == inf
+    assert bar([(1, "ok", float("nan"), "eod_pre11"), (2, "ok", inf, "eod_pre11")]) == inf
+    assert bar([(1, "ok", 0.52, "eod_pre11"), (2, "ok", 0.4, "old"), (3, "ok", 0.6, "eod_pre11")]) == 0.52
+    assert bar([(1, "ok", 0.52, "eod_pre11")], champ=False) == inf
 
 
 def test_eod_mask_counts(spark):

@@ -79,13 +79,13 @@ def test_running_min_max_sum_over_blocks(spark):
 def test_promotions_equal_the_sequential_rule(spark, advance):
     rng = random.Random(11)
     rows = [("n", t, "ok" if rng.random() > 0.1 else "failed", 1.0 / (1 + t / 400) + rng.random(), 1.0 / (1 + t / 400) + rng.random(),
-             "pre11" if rng.random() > 0.1 else "old") for t in range(2000)]
+             "eod_pre11" if rng.random() > 0.1 else "old") for t in range(2000)]
     df = spark.createDataFrame(rows, "node string, trial long, status string, score double, test_score double, scoring_version string").repartition(4)
     got = {(r["trial"], r["promoted"]) for r in bd.promotions(df, ["node"], 0.01, advance, block=50, levels=2).collect()}
     bar = champ = float("inf")
     want = set()
     for _, t, status, s, x, ver in rows:
-        if status != "ok" or ver != "pre11":
+        if status != "ok" or ver != "eod_pre11":
             continue
         tested = s < bar - 0.01
         won = tested and x < champ - 0.01
