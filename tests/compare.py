@@ -6,6 +6,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -57,7 +58,7 @@ def main(argv):
     import __spark_entry__ as e
     sf = argv[0] if argv else "0.01"
     want = argv[1:]
-    spark = build_session("compare", cores=8)
+    spark = build_session("compare", cores=8, shared=tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     sf_dir = f"{TESTDATA}/sf{sf}"
     con = duck(sf_dir)
     qs, sqls = e.queries(), e.oracle_sql()

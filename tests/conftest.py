@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -9,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 @pytest.fixture(scope="session")
 def spark():
     from tapegrid.plans.session import build_session
-    s = build_session("tests", cores=4, shuffle=4)
+    s = build_session("tests", cores=4, shuffle=4, shared=tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
