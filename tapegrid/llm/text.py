@@ -45,7 +45,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK) -> I
         lo = hi
 
 
-def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str = "text") -> DataFrame:
     """``fn`` over slices of bounded size."""
 
     def run(batches):
