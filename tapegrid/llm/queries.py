@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapegrid.llm import bpe, licenses, packing, quality, secrets, toxicity
+from tapegrid.llm import bpe, licenses, packing, quality, secrets, toxicity, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(documents(spark, sf_dir), tokenizer())
 
 
+@query
+def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.report(documents(spark, sf_dir))
+
+
 @query
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
