@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapegrid.llm import bpe, licenses, lm, packing, quality, secrets, simhash, toxicity, weighted
+from tapegrid.llm import bpe, licenses, lm, packing, quality, secrets, simhash, substring, toxicity, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(documents(spark, sf_dir))
+
+
 @query
 def op2_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))

@@ -20,6 +20,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 from tapegrid.llm.text import char_index, map_docs, texts
 from tapegrid.plans.session import materialise
@@ -126,37 +127,36 @@ def report(docs: DataFrame) -> DataFrame:
                     F.coalesce(F.array_max(F.transform("spans", lambda x: x["owners"])), F.lit(0)).alias("most_owners"))
 
 
-def redact(docs: DataFrame, example_owners: int = 4, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, example_owners: int = 4, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """Documents with every live credential replaced by ``mark``; copied examples stay. Columns stay as they are.
 
-    Only texts that hold candidates are joined with their spans; all others pass by in place.
+    Only texts that hold candidates are kept aside and joined with their spans, by a hash of id and text; all
+    others pass by in place.
     """
     names = docs.columns
-    has = _has_candidates(docs)
-    flagged = materialise(has.filter("_flag").drop("_flag"), "secrets-texts")
-    keyed = scan(flagged, example_owners=example_owners).groupBy("doc_id").agg(F.first("spans").alias("_spans")) if "doc_id" in names else None
-    live = keyed.select(F.col("doc_id").alias("_id"), F.filter("_spans", lambda x: x["live"]).alias("_live")).filter(F.size("_live") > 0)
-    hit = flagged.join(live, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    # spans never overlap a later one's start after sorting by start: the furthest end so far is where the next piece begins
-    cut = F.expr("""aggregate(_live, named_struct('at', 0L, 'out', ''),
+    has = _has_candidates(docs, text_col)
+    flagged = materialise(has.filter("_flag").drop("_flag").withColumn("_key", F.xxhash64(id_col, text_col)), "secrets-texts")
+    found = scan(flagged, "_key", text_col, owner_col, example_owners).dropDuplicates(["doc_id"])
+    live = found.select(F.col("doc_id").alias("_id"), F.filter("spans", lambda x: x["live"]).alias("_live")).filter(F.size("_live") > 0)
+    hit = flagged.join(live, F.col("_key") == F.col("_id"), "left")
+    # spans by start: `at` is where the next piece of text begins, the furthest end so far
+    cut = F.expr(f"""aggregate(_live, named_struct('at', 0L, 'out', ''),
         (a, s) -> IF(s.end <= a.at, a, named_struct('at', s.end, 'out', IF(s.start < a.at, a.out,
-            concat(a.out, substring(text, int(a.at) + 1, int(s.start - a.at)), '%s')))),
-        a -> concat(a.out, substring(text, int(a.at) + 1)))""" % mark)
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(cut)
-    new = hit.withColumn("text", text)
+            concat(a.out, substring(`{text_col}`, int(a.at) + 1, int(s.start - a.at)), '{mark}')))),
+        a -> concat(a.out, substring(`{text_col}`, int(a.at) + 1)))""")
+    new = hit.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(cut))
     if "n_chars" in names:
-        new = new.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        new = new.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return has.filter("NOT _flag").select(*names).unionByName(new.select(*names))
 
 
-def _has_candidates(docs: DataFrame) -> DataFrame:
+def _has_candidates(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with ``_flag``: whether its text holds any candidate."""
     names = docs.columns
-    at = names.index("text")
+    at = names.index(text_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         flag = pa.array([bool(find(raw)) for raw in texts(b.column(at))], pa.bool_())
         return pa.RecordBatch.from_arrays([*b.columns, flag], names=[*names, "_flag"])
 
-    from pyspark.sql.types import BooleanType, StructType
-    return map_docs(docs, run, StructType([*docs.schema.fields]).add("_flag", BooleanType()))
+    return map_docs(docs, run, StructType([*docs.schema.fields]).add("_flag", BooleanType()), text_col)

@@ -201,13 +201,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: that of its smallest id (of equal ids, the row whose columns sort first).
-
-    Fingerprints are joined by id, so texts are shuffled once; rows without an id stay, each on its own.
-    """
+    """``docs`` with one row of each group: that of its smallest id. Of rows with equal ids one stays, whichever comes first
+    by the hash of its columns; rows without an id stay, each on its own. Texts are shuffled once, by id."""
     names = docs.columns
     found = groups(docs.filter(F.col(id_col).isNotNull()), shingle, id_col=id_col, text_col=text_col)
-    firsts = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("component_id").alias("_keep"))
+    firsts = found.select(F.col("component_id").alias("_keep")).distinct()
     stay = docs.join(firsts, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
-    once = stay.dropDuplicates([id_col])
-    return once.unionByName(docs.filter(F.col(id_col).isNull())).select(*names)
+    once = stay.withColumn("_n", F.row_number().over(Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.xxhash64(*names)))).filter("_n = 1")
+    return once.select(*names).unionByName(docs.filter(F.col(id_col).isNull()))
