@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
-from tapegrid.llm.text import char_index, map_docs, texts
+from tapegrid.llm.text import char_index, fresh, map_docs, texts
 from tapegrid.plans.session import materialise
 
 #: The base patterns, in order of kind.
@@ -134,29 +134,30 @@ def redact(docs: DataFrame, example_owners: int = 4, mark: str = "[secret]", id_
     others pass by in place.
     """
     names = docs.columns
-    has = _has_candidates(docs, text_col)
-    flagged = materialise(has.filter("_flag").drop("_flag").withColumn("_key", F.xxhash64(id_col, text_col)), "secrets-texts")
-    found = scan(flagged, "_key", text_col, owner_col, example_owners).dropDuplicates(["doc_id"])
-    live = found.select(F.col("doc_id").alias("_id"), F.filter("spans", lambda x: x["live"]).alias("_live")).filter(F.size("_live") > 0)
-    hit = flagged.join(live, F.col("_key") == F.col("_id"), "left")
+    flag, key, one, live = fresh(names, "_flag", "_key", "_one", "_live")
+    has = _has_candidates(docs, text_col, flag)
+    flagged = materialise(has.filter(F.col(flag)).drop(flag).withColumn(key, F.xxhash64(id_col, text_col)), "secrets-texts")
+    found = scan(flagged, key, text_col, owner_col, example_owners).dropDuplicates(["doc_id"])
+    spans = found.select(F.col("doc_id").alias(one), F.filter("spans", lambda x: x["live"]).alias(live)).filter(F.size(live) > 0)
+    hit = flagged.join(spans, F.col(key) == F.col(one), "left")
     # spans by start: `at` is where the next piece of text begins, the furthest end so far
-    cut = F.expr(f"""aggregate(_live, named_struct('at', 0L, 'out', ''),
+    cut = F.expr(f"""aggregate(`{live}`, named_struct('at', 0L, 'out', ''),
         (a, s) -> IF(s.end <= a.at, a, named_struct('at', s.end, 'out', IF(s.start < a.at, a.out,
             concat(a.out, substring(`{text_col}`, int(a.at) + 1, int(s.start - a.at)), '{mark}')))),
         a -> concat(a.out, substring(`{text_col}`, int(a.at) + 1)))""")
-    new = hit.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(cut))
+    new = hit.withColumn(text_col, F.when(F.col(live).isNull(), F.col(text_col)).otherwise(cut))
     if "n_chars" in names:
-        new = new.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return has.filter("NOT _flag").select(*names).unionByName(new.select(*names))
+        new = new.withColumn("n_chars", F.when(F.col(live).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+    return has.filter(~F.col(flag)).select(*names).unionByName(new.select(*names))
 
 
-def _has_candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``_flag``: whether its text holds any candidate."""
+def _has_candidates(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: whether its text holds any candidate."""
     names = docs.columns
     at = names.index(text_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         flag = pa.array([bool(find(raw)) for raw in texts(b.column(at))], pa.bool_())
-        return pa.RecordBatch.from_arrays([*b.columns, flag], names=[*names, "_flag"])
+        return pa.RecordBatch.from_arrays([*b.columns, flag], names=[*names, name])
 
-    return map_docs(docs, run, StructType([*docs.schema.fields]).add("_flag", BooleanType()), text_col)
+    return map_docs(docs, run, StructType([*docs.schema.fields]).add(name, BooleanType()), text_col)

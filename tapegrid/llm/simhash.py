@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrid.llm.components import components, local_roots
-from tapegrid.llm.text import map_docs, texts
+from tapegrid.llm.text import fresh, map_docs, texts
 from tapegrid.plans.session import materialise
 
 REACH = 2
@@ -204,8 +204,9 @@ def keep_first(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
     """``docs`` with one row of each group: that of its smallest id. Of rows with equal ids one stays, whichever comes first
     by the hash of its columns; rows without an id stay, each on its own. Texts are shuffled once, by id."""
     names = docs.columns
+    kept, nth = fresh(names, "_kept", "_nth")
     found = groups(docs.filter(F.col(id_col).isNotNull()), shingle, id_col=id_col, text_col=text_col)
-    firsts = found.select(F.col("component_id").alias("_keep")).distinct()
-    stay = docs.join(firsts, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
-    once = stay.withColumn("_n", F.row_number().over(Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.xxhash64(*names)))).filter("_n = 1")
+    firsts = found.select(F.col("component_id").alias(kept)).distinct()
+    stay = docs.join(firsts, F.col(id_col).cast("long") == F.col(kept), "left_semi")
+    once = stay.withColumn(nth, F.row_number().over(Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.xxhash64(*names)))).filter(F.col(nth) == 1)
     return once.select(*names).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.text import STEP, map_docs, mix, shingles, words
+from tapegrid.llm.text import STEP, fresh, map_docs, mix, shingles, words
 from tapegrid.plans.session import materialise
 
 SHINGLE = 5
@@ -318,10 +318,12 @@ def report(docs: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated passages: the first document keeps each, later ones lose its words. Texts left without a
     word are dropped; all other rows keep their columns. Removed words take the white space behind them along."""
-    spans = materialise(repeats(docs, least, similar, id_col=id_col, text_col=text_col).groupBy(F.col("doc_id").alias("_id"))
-                        .agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "substring-spans")
     names, at = docs.columns, docs.columns.index(text_col)
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").select(*names, F.transform("_spans", lambda s: s["start"]).alias("_starts"), F.transform("_spans", lambda s: s["end"]).alias("_ends"))
+    own, held, starting, ending = fresh(names, "_own", "_held", "_starting", "_ending")
+    spans = materialise(repeats(docs, least, similar, id_col=id_col, text_col=text_col).groupBy(F.col("doc_id").alias(own))
+                        .agg(F.collect_set(F.struct("start", "end")).alias(held)), "substring-spans")
+    joined = docs.join(spans, F.col(id_col).cast("long") == F.col(own), "left").select(
+        *names, F.transform(held, lambda s: s["start"]).alias(starting), F.transform(held, lambda s: s["end"]).alias(ending))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         starts, ends = b.column(len(names)), b.column(len(names) + 1)

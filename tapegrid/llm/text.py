@@ -58,6 +58,17 @@ def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the columns has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def offsets(col: pa.Array) -> np.ndarray:
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     raw = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)
