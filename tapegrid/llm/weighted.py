@@ -24,7 +24,7 @@ from tapegrid.plans.session import materialise
 
 #: Rows (terms) whose variates are drawn at once, and texts handled at once.
 BLOCK_TERMS = 1 << 15
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 3 << 20
 
 
 def variates(terms: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
@@ -104,9 +104,8 @@ def compared(ids: list, own: list[str], following: list[str], size: int) -> pa.R
         edited.append((text[: len(text) - half] + other[:half]).encode("utf-8", "surrogatepass"))
     raw = [t.encode("utf-8", "surrogatepass") for t in own]
     last = following[-1].encode("utf-8", "surrogatepass")
-    sig = signatures(raw + [last], size)
-    mine, after = sig[:-1], sig[1:]
-    alt = signatures(edited, size)
+    sig = signatures(raw + [last] + edited, size)  # together: an edit shares most terms with its texts
+    mine, after, alt = sig[: len(raw)], sig[1: len(raw) + 1], sig[len(raw) + 1:]
     return pa.RecordBatch.from_arrays([
         pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
         pa.array([s.astype(">u2").tobytes().hex() for s in mine]), pa.array([s.astype(">u2").tobytes().hex() for s in alt]),
