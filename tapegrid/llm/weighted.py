@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, size: int = 64, id_col: str = "doc_id", text_c
     return map_docs(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fingerprint string")
 
 
-ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
@@ -108,7 +108,7 @@ def compared(ids: list, own: list[str], following: list[str], size: int) -> pa.R
     mine, after, alt = sig[: len(raw)], sig[1: len(raw) + 1], sig[len(raw) + 1:]
     return pa.RecordBatch.from_arrays([
         pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
-        pa.array([s.astype(">u2").tobytes().hex() for s in mine]), pa.array([s.astype(">u2").tobytes().hex() for s in alt]),
+        pa.array([s.astype(">u2").tobytes() for s in mine], pa.binary()), pa.array([s.astype(">u2").tobytes() for s in alt], pa.binary()),
         pa.array((mine == alt).mean(1)), pa.array((mine == after).mean(1))], names=NAMES)
 
 
@@ -142,7 +142,7 @@ def report(docs: DataFrame, size: int = 64, id_col: str = "doc_id", text_col: st
         if held is not None:
             yield pa.RecordBatch.from_pylist([blank | {"doc_id": held[0], "_task": task, "_first": first, "_last": held[1]}], schema=wide)
 
-    wide = pa.schema([(n, t) for n, t in zip(NAMES, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))] + [("_task", pa.int32()), ("_first", pa.string()), ("_last", pa.string())])
+    wide = pa.schema([(n, t) for n, t in zip(NAMES, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()))] + [("_task", pa.int32()), ("_first", pa.string()), ("_last", pa.string())])
     done = materialise(ranged.mapInArrow(run, f"{ROW}, _task int, _first string, _last string"), "weighted")
     seams = done.filter("_task IS NOT NULL")
     tasks = [r["_task"] for r in seams.select("_task").orderBy("_task").collect()]
@@ -155,4 +155,5 @@ def report(docs: DataFrame, size: int = 64, id_col: str = "doc_id", text_col: st
             for i in range(b.num_rows):
                 yield compared([b.column(0)[i].as_py()], [b.column(1)[i].as_py()], [b.column(2)[i].as_py()], size)
 
-    return done.filter("_task IS NULL").select(*NAMES).unionByName(pairs.mapInArrow(seam, ROW))
+    out = done.filter("_task IS NULL").select(*NAMES).unionByName(pairs.mapInArrow(seam, ROW))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
