@@ -9,7 +9,7 @@ from tapegrid.catalog.features import CFG, grid
 from tapegrid.catalog.registry import query
 from tapegrid.catalog.sqlbase import define, q
 from tapegrid.functions import market as mk
-from tapegrid.functions.pricing_udf import bs_delta
+from tapegrid.functions.pricing import option_delta
 from tapegrid.operators import chain as ch, features as fe, ladder as ld
 from tapegrid.operators.windows import SESSION
 from tapegrid.plans import fixtures as fx
@@ -216,8 +216,8 @@ _ERF = (f"case when abs(x) > 5.5 then sign(x) else exp(-x * x) * list_sum(list_t
 def _(spark, d):
     t = mk.year_fraction(F.lit(390.0) - F.col("bar"), 1.0, mk.TRADING_YEAR)
     rows = greek_rows(spark, d).withColumns({"t": t, "sg": (F.col("iv_call") + F.col("iv_put")) / 2.0})
-    return rows.withColumns({"call_delta": bs_delta("spot", "strike", "t", "sg", F.lit(True)),
-                             "put_delta": bs_delta("spot", "strike", "t", "sg", F.lit(False))})
+    at = [F.col(c) for c in ("spot", "strike", "t", "sg")]
+    return rows.withColumns({"call_delta": option_delta(*at, F.lit(True)), "put_delta": option_delta(*at, F.lit(False))})
 
 
 _G = "(exp(-0.5 * {0} * {0}) / sqrt(2 * pi()) / (s * {1} * sqrt(t)))"
@@ -320,7 +320,7 @@ define("cwide", """select symbol, session_date, bar, strike, max(dayvol) filter
 
 
 def snapshots(spark, d):
-    w = ch.contract_window().rowsBetween(-(1 << 30), 0)
+    w = ch.contract_window().rowsBetween(Window.unboundedPreceding, 0)
     b = bars(spark, d).withColumn("cum", F.sum("v").over(w)).withColumn("src", F.col("bar")).withColumn("bar", ch.snap_label(F.col("bar"), 60))
     s = b.groupBy(*ch.CONTRACT, "bar").agg(F.max_by("cum", "src").alias("dayvol"), F.max_by("vw", "src").alias("dayvwap"))
     return ch.sides_wide(s, ch.SNAP_STRIKE, {"dayvol": "dayvol", "dayvwap": "dayvwap"}).withColumns(

@@ -107,8 +107,9 @@ def _(spark, d):
 define("premrows", """select l.symbol, l.session_date, cast(ceil(l.us / 300000000.0) * 5 - 570 as int) as bar, l.strike,
     call_ask_prem is not null and call_bid_prem is not null and put_ask_prem is not null and put_bid_prem is not null as ok,
     call_prem, put_prem, call_ask_prem - call_bid_prem as wc, put_ask_prem - put_bid_prem as wp from ladder l""")
-define("premflag", """select p.symbol, p.session_date, case when avg(cast(ok as int)) > 0.5 then 1.0 else 0.0 end as side_w
-    from premrows p join grid g on p.symbol = g.symbol and p.session_date = g.session_date and p.bar = g.bar group by 1, 2""")
+define("prembars", """select p.symbol, p.session_date, p.bar, count(*) as n, sum(cast(ok as int)) as k
+    from premrows p join grid g on p.symbol = g.symbol and p.session_date = g.session_date and p.bar = g.bar group by 1, 2, 3""")
+define("premflag", f"""select symbol, session_date, bar, case when sum(k) over {SW} * 1.0 / sum(n) over {SW} > 0.5 then 1.0 else 0.0 end as side_w from prembars""")
 define("premium", """select symbol, session_date, bar, sum(sc) as call_prem_1m, sum(sp) as put_prem_1m,
     sum(case when strike > spot then sc else 0 end) as otm_call_prem_1m,
     sum(case when strike < spot then sp else 0 end) as otm_put_prem_1m, sum(sc) - sum(sp) as net_prem_1m,
@@ -116,7 +117,7 @@ define("premium", """select symbol, session_date, bar, sum(sc) as call_prem_1m,
     from (select p.*, g.spot, f.side_w, case when side_w > 0 then coalesce(wc, 0) else coalesce(call_prem, 0) end as sc,
           case when side_w > 0 then coalesce(wp, 0) else coalesce(put_prem, 0) end as sp
           from premrows p join grid g on p.symbol = g.symbol and p.session_date = g.session_date and p.bar = g.bar
-          join premflag f on p.symbol = f.symbol and p.session_date = f.session_date) group by 1, 2, 3""")
+          join premflag f on p.symbol = f.symbol and p.session_date = f.session_date and p.bar = f.bar) group by 1, 2, 3""")
 
 
 @query("agg02_bar_premium",
@@ -126,18 +127,27 @@ def _(spark, d):
     return fe.bar_premium(fx.ladder(spark, d), grid(spark, d), CFG)
 
 
-@query("agg03_feed_switch", "symbol:s session_date:d flow_side_weighted:0",
-       q("select symbol, session_date, side_w as flow_side_weighted from premflag"))
+def switched(spark, d, scope):
+    rows = fe.strike_premium(fx.ladder(spark, d), CFG).join(grid(spark, d).select(*SESSION, "bar"), [*SESSION, "bar"])
+    return fe.feed_switch(rows, scope)
+
+
+@query("agg03_feed_switch", "symbol:s session_date:d bar:i flow_side_weighted:0",
+       q("select symbol, session_date, bar, side_w as flow_side_weighted from premflag"))
 def _(spark, d):
-    g = grid(spark, d)
-    rows = fe.strike_premium(fx.ladder(spark, d), CFG).join(g.select(*SESSION, "bar"), [*SESSION, "bar"])
-    return fe.feed_switch(rows).groupBy(*SESSION).agg(F.max("flow_side_weighted").alias("flow_side_weighted"))
+    return switched(spark, d, "causal").select(*SESSION, "bar", "flow_side_weighted").distinct()
+
+
+@query("agg03_feed_switch_session", "symbol:s session_date:d flow_side_weighted:0",
+       q("select symbol, session_date, case when sum(k) * 1.0 / sum(n) > 0.5 then 1.0 else 0.0 end as flow_side_weighted from prembars group by 1, 2"))
+def _(spark, d):
+    return switched(spark, d, "session").groupBy(*SESSION).agg(F.max("flow_side_weighted").alias("flow_side_weighted"))
 
 
 define("prem0", f"""select g.symbol, g.session_date, g.bar, {', '.join(
-    f'coalesce(p.{c}, 0.0) as {c}' for c in fe.PREMIUM_COLS)}, coalesce(f.side_w, 0.0) as flow_side_weighted
+    f'coalesce(p.{c}, 0.0) as {c}' for c in fe.PREMIUM_COLS)}, coalesce(last_value(f.side_w ignore nulls) over (partition by g.symbol, g.session_date order by g.bar rows between unbounded preceding and current row), 0.0) as flow_side_weighted
     from grid g left join premium p on g.symbol = p.symbol and g.session_date = p.session_date and g.bar = p.bar
-    left join premflag f on g.symbol = f.symbol and g.session_date = f.session_date""")
+    left join premflag f on g.symbol = f.symbol and g.session_date = f.session_date and g.bar = f.bar""")
 define("prem1", f"""select *, {', '.join(f"{roll('net_prem_1m', n, 'sum')} as net_prem_{n}m" for n in (5, 15))},
     sum(net_prem_1m) over {SW} as net_prem_cum_session,
     greatest(-50.0, least(50.0, {sdiv('(' + roll('call_prem_1m', 15, 'sum') + ')', 'abs(' + roll('put_prem_1m', 15, 'sum') + ')')}))

@@ -10,6 +10,7 @@ from tapegrid.catalog.labels import feats, mags
 from tapegrid.catalog.registry import query
 from tapegrid.catalog.sqlbase import define, q
 from tapegrid.config import FAMILIES
+from tapegrid.functions import clock
 from tapegrid.functions.market import family
 from tapegrid.operators import evaluate as ev, features as fe, forecast as fo, ladder as ld, physics as ph, quality as qa, splits as sp, targets as tg
 from tapegrid.operators.windows import SESSION
@@ -52,15 +53,21 @@ def _(spark, d):
 @query("chk01_causality", KEY + "column_name:s full_value:6 cut_value:6",
        "select '' as symbol, '' as session_date, 0 as bar, '' as column_name, 0.0 as full_value, 0.0 as cut_value where false")
 def _(spark, d):
-    """Features of the last session up to bar 240 from the full feeds and from feeds cut there: no row may differ."""
-    t, lad, pr = fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d)
-    day, cut = "2024-01-30", F.lit("2024-01-30 13:30:00").cast("timestamp")
-    full = asm.build_features(t, lad, pr, CFG, lags=False, store=materialise)
+    """Features of the whole feeds against features of feeds cut at other bars of the newest sessions: up to the cut, no row may differ
+    or be missing, lag columns included. Each symbol has its own cut; blocks never mix symbols."""
+    feeds = fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d)
+    day = clock.local_date(F.col("ts"), CFG.tz)
+    newest = [r[0] for r in feeds[0].select(day.alias("d")).distinct().orderBy(F.desc("d")).limit(2).collect()]
+    cuts = {"S0": (newest[0], 45), "S1": (newest[-1], 240)}
+    ts_cut, row_cut = F.lit(False), F.lit(False)
+    for symbol, (date, bar) in cuts.items():
+        own = F.col("symbol") == symbol
+        ts_cut = ts_cut | (own & ((day < F.lit(date)) | ((day == F.lit(date)) & (clock.ceil_bar(F.col("ts"), CFG) <= bar))))
+        row_cut = row_cut | (own & ((F.col("session_date") < F.lit(date)) | ((F.col("session_date") == F.lit(date)) & (F.col("bar") <= bar))))
+    full = asm.build_features(*feeds, CFG, store=materialise)
     cols = asm.feature_columns(full)
-    short = asm.build_features(*[x.filter(F.col("ts") <= cut) for x in (t, lad, pr)], CFG, lags=False, store=materialise)
-    upto = (F.col("session_date") == F.lit(day).cast("date")) & (F.col("bar") <= 240)
-    # the session-wide feed switch is constant in the fixture, so its scope may stay per session
-    return qa.causality_violations(full.filter(upto), short.filter(upto), KEYS, cols)
+    short = asm.build_features(*[x.filter(ts_cut) for x in feeds], CFG, store=materialise)
+    return qa.causality_violations(full.filter(row_cut), short.filter(row_cut), KEYS, cols)
 
 
 @query("jn23_frame_compare", KEY + "column_name:s full_value:5 cut_value:5",
@@ -127,7 +134,7 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- magnitude
 define("mtrain", """select m.*, p.rv_1m from mags m left join price p on m.symbol = p.symbol and m.session_date = p.session_date and m.bar = p.bar""")
-define("deciles", """select *, case when rv_1m is null then 0 else """ + " + ".join(f"(rv_1m > (select quantile_cont(rv_1m, {i / 10}) from mtrain))::int" for i in range(1, 10)) + """ end as dec from mtrain""")
+define("deciles", """select *, case when rv_1m is null then 0 else """ + " + ".join(f"(round(rv_1m, 12) > (select round(quantile_cont(rv_1m, {i / 10}), 12) from mtrain where session_date < date '2024-01-25'))::int" for i in range(1, 10)) + """ end as dec from mtrain""")
 define("mtable", """select coalesce(u.bucket, d.bucket) as bucket, coalesce(u.dec, d.dec) as rv_decile, mu, md from
     (select bucket, dec, quantile_cont(mag_up, 0.75) as mu from deciles where mag_up is not null and session_date < date '2024-01-25' group by 1, 2) u full join
     (select bucket, dec, quantile_cont(mag_dn, 0.75) as md from deciles where mag_dn is not null and session_date < date '2024-01-25' group by 1, 2) d
@@ -136,7 +143,8 @@ define("mtable", """select coalesce(u.bucket, d.bucket) as bucket, coalesce(u.de
 
 def mag_rows(spark, d):
     m = mags(spark, d).select(*KEYS, "spot", "bucket", "base", "mag_up", "mag_dn")
-    return materialise(fo.volatility_decile(m.join(price_grid(spark, d).select(*KEYS, "rv_1m"), KEYS, "left")), "mag")
+    rows = materialise(m.join(price_grid(spark, d).select(*KEYS, "rv_1m"), KEYS, "left"), "mag")
+    return fo.volatility_decile(rows, fit_on=_train(rows))
 
 
 def _train(m):
@@ -187,7 +195,7 @@ def learning_rows(spark, d):
 @query("ml01_boosted_trees", KEY + "prediction:6")
 def _(spark, d):
     rows, days = learning_rows(spark, d)
-    model, _best = fo.fit_on_folds(rows, sp.rolling_folds(days), "label", "weight", rounds=6, depth=3)
+    model, _best = fo.fit_on_folds(rows, sp.rolling_folds(days), "label", "weight", rounds=6, depth=3, least=1)
     return model.transform(rows)
 
 

@@ -85,7 +85,7 @@ def volume_class(bars: DataFrame, rows: int = 30, least: int = 5, ratio: float =
 def enrich(bars: DataFrame, cfg: SessionConfig, spot: DataFrame, fill: str = "causal", year: float = mk.CALENDAR_YEAR,
            rate: float = mk.CALENDAR_RATE, default_vol: float = 0.2) -> DataFrame:
     """Spot, implied vol, gamma, delta, premium and tick side per contract bar."""
-    from tapegrid.functions.pricing_udf import bs_delta, implied_vol
+    from tapegrid.functions.pricing import implied_vol, option_delta
     call = F.col("type") == "C"
     d = bars.join(spot.select(*SESSION, "bar", "spot"), [*SESSION, "bar"], "left")
     t = (F.lit(float(cfg.length)) - F.col("bar")) / year
@@ -97,7 +97,7 @@ def enrich(bars: DataFrame, cfg: SessionConfig, spot: DataFrame, fill: str = "ca
     safe_t = F.greatest(F.col("t_years"), F.lit(1e-9))
     return d.withColumns({
         "gamma": mk.bs_gamma(F.col("spot"), F.col("strike"), safe_t, F.col("_iv"), rate),
-        "delta": bs_delta("spot", "strike", "t_years", "_iv", call)}).drop("_iv", "t_years")
+        "delta": option_delta(F.col("spot"), F.col("strike"), F.col("t_years"), F.col("_iv"), call, rate)}).drop("_iv", "t_years")
 
 
 def to_prints(enriched: DataFrame) -> DataFrame:

@@ -86,10 +86,10 @@ def strike_premium(ladder: DataFrame, cfg: SessionConfig) -> DataFrame:
                 F.sum(z("call_prem")).alias("_rc"), F.sum(z("put_prem")).alias("_rp")))
 
 
-def feed_switch(rows: DataFrame, scope: str = "session") -> DataFrame:
+def feed_switch(rows: DataFrame, scope: str = "causal") -> DataFrame:
     """Add flow_side_weighted = 1 when more than half of the rows carry all four side premiums.
 
-    scope 'session' decides per session, 'causal' on the session so far, 'feed' on everything.
+    scope 'causal' decides on the session so far; 'session' and 'feed' look ahead, over the session and over everything.
     """
     share = lambda n, k: F.when(k / n > 0.5, 1.0).otherwise(0.0)
     if scope == "feed":
@@ -105,7 +105,7 @@ def feed_switch(rows: DataFrame, scope: str = "session") -> DataFrame:
     return rows.withColumn("flow_side_weighted", share(F.sum("_n").over(w), F.sum("_ok").over(w)))
 
 
-def bar_premium(ladder: DataFrame, grid: DataFrame, cfg: SessionConfig, scope: str = "session") -> DataFrame:
+def bar_premium(ladder: DataFrame, grid: DataFrame, cfg: SessionConfig, scope: str = "causal") -> DataFrame:
     """Per-bar call, put, out-of-the-money and net premium."""
     at = strike_premium(ladder, cfg).join(grid.select(*SESSION, "bar", "spot"), [*SESSION, "bar"])
     at = feed_switch(at, scope)
@@ -125,7 +125,7 @@ def premium_block(grid: DataFrame, premium: DataFrame, fc: FeatureConfig = FC) -
     w = by_bar()
     d = onto_grid(grid, premium, PREMIUM_COLS)
     d = d.withColumns({
-        "flow_side_weighted": F.coalesce(F.max("flow_side_weighted").over(whole(w)), F.lit(0.0)),
+        "flow_side_weighted": F.coalesce(F.last("flow_side_weighted", ignorenulls=True).over(so_far(w)), F.lit(0.0)),
         **{f"net_prem_{n}m": roll("net_prem_1m", n, "sum") for n in fc.flow_rows},
         "net_prem_cum_session": F.sum("net_prem_1m").over(so_far(w)),
         "call_put_prem_ratio_15m": clip(safe_div(roll("call_prem_1m", 15, "sum"), F.abs(roll("put_prem_1m", 15, "sum"))),

@@ -33,8 +33,8 @@ def fit_trees(train: DataFrame, label: str, weight: str | None = None, validatio
     return gbt.fit(train.filter(F.col(label).isNotNull()))
 
 
-def fit_on_folds(df: DataFrame, folds: DataFrame, label: str, weight: str | None = None, rounds: int = 50, n_folds: int = 3, **kw):
-    """Early-stopped round count per fold, then a refit on all rows at max(50, median). Returns model and counts.
+def fit_on_folds(df: DataFrame, folds: DataFrame, label: str, weight: str | None = None, rounds: int = 50, n_folds: int = 3, least: int = 50, **kw):
+    """Early-stopped round count per fold (at most ``rounds``), then a refit on all rows at max(``least``, median). Returns model and counts.
 
     The fold table is bounded by the calendar, hence broadcast.
     """
@@ -44,7 +44,7 @@ def fit_on_folds(df: DataFrame, folds: DataFrame, label: str, weight: str | None
         part = df.join(F.broadcast(role), "session_date").withColumn("is_val", F.col("role") == "val")
         best.append(fit_trees(part, label, weight, "is_val", rounds, **kw).getNumTrees)
     mid = sorted(best)[len(best) // 2]
-    return fit_trees(df, label, weight, None, max(min(50, rounds), mid), **kw), best
+    return fit_trees(df, label, weight, None, max(least, mid), **kw), best
 
 
 def fit_robust(train: DataFrame, label: str, weight: str | None = None, epsilon: float = 1.35, reg: float = 0.1):
@@ -124,11 +124,14 @@ def gate_weights(gram: DataFrame, gc: GateConfig = GC) -> DataFrame:
 
 
 # ---------------------------------------------------------------- magnitude heads
-def volatility_decile(df: DataFrame, col: str = "rv_1m") -> DataFrame:
-    """Decile 0-9 of volatility by exact cut points over all rows."""
-    cuts = exact_quantiles(df, [], col, [i / 10 for i in range(1, 10)], [f"_c{i}" for i in range(1, 10)])
+def volatility_decile(df: DataFrame, col: str = "rv_1m", fit_on: DataFrame | None = None) -> DataFrame:
+    """Decile 0-9 of volatility by exact cut points over ``fit_on`` (training rows; default: all rows).
+
+    Values and cuts are compared at twelve decimals: a cut that is itself a value must not depend on the last bit.
+    """
+    cuts = exact_quantiles(df if fit_on is None else fit_on, [], col, [i / 10 for i in range(1, 10)], [f"_c{i}" for i in range(1, 10)])
     d = attach_row(df, cuts)
-    dec = sum(((F.col(col) > F.col(f"_c{i}")).cast("int") for i in range(1, 10)), F.lit(0))
+    dec = sum(((F.round(col, 12) > F.round(f"_c{i}", 12)).cast("int") for i in range(1, 10)), F.lit(0))
     return d.withColumn("rv_decile", F.coalesce(dec, F.lit(0))).drop(*[f"_c{i}" for i in range(1, 10)])
 
 

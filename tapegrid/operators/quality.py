@@ -38,15 +38,18 @@ def family_audit(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def causality_violations(full: DataFrame, cut: DataFrame, keys: list[str], cols: list[str],
                          atol: float = 1e-6, rtol: float = 1e-5) -> DataFrame:
-    """Keys and columns whose value changes when the future is cut off. No row means causal."""
+    """Keys and columns whose value changes when the future is cut off, and keys that only one frame has
+    (column ``_row``, 1 where the row is). No row means causal."""
     a = full.select(*keys, F.struct(*cols).alias("_a"))
     b = cut.select(*keys, F.struct(*cols).alias("_b"))
-    d = b.join(a, keys, "left")
-    checks = []
+    d = b.join(a, keys, "full_outer")
+    here = [F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0) for c in ("_a", "_b")]
+    checks = [F.struct(F.lit("_row").alias("column_name"), here[0].alias("full_value"), here[1].alias("cut_value"), (here[0] == here[1]).alias("same"))]
     for c in cols:
         x, y = F.col(f"_a.{c}"), F.col(f"_b.{c}")
         same = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= atol + rtol * F.abs(y), F.lit(False))
-        checks.append(F.struct(F.lit(c).alias("column_name"), x.alias("full_value"), y.alias("cut_value"), same.alias("same")))
+        both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+        checks.append(F.struct(F.lit(c).alias("column_name"), x.cast("double").alias("full_value"), y.cast("double").alias("cut_value"), (same | ~both).alias("same")))
     return d.select(*keys, F.explode(F.filter(F.array(*checks), lambda s: ~s["same"])).alias("v")).select(
         *keys, "v.column_name", "v.full_value", "v.cut_value")
 

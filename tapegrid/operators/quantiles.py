@@ -17,7 +17,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
 
     ``domain`` lists every value a single key column can take (horizons, column names: fixed by
     configuration). The brackets of a domain travel as one row of that many entries, so the data
-    is never shuffled by so coarse a key. Rows outside the domain are ignored.
+    is never shuffled by so coarse a key. A value outside the domain is an error; rows without a key are left out.
 
     The sketch is off by at most n / accuracy ranks and brackets are padded by three times that.
     Below 2 * accuracy rows the pad could miss a neighbouring rank, so everything (a bounded number
@@ -64,8 +64,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     out = []
     for p, name in zip(probs, names):
         pos = F.lit(p) * (F.col("_n") - 1)
-        low = F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_rep")))
-        high = F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_rep")))
+        low, high = (_ranked(F.col("_cum") > f(pos)) for f in (F.floor, F.ceil))
         out.append((low + F.max(pos - F.floor(pos)) * (F.coalesce(high, low) - low)).alias(name))
     wide = cum.groupBy(*by).agg(*out)
     if domain is None:
@@ -73,6 +72,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     return wide.select(F.array(*[F.lit(k) for k in domain])[F.col("_k")].alias(keys[0]), *names)
 
 
+def _ranked(reached: Column) -> Column:
+    """First value that reaches a rank; an error if it stands for values outside the brackets."""
+    first = F.min(F.when(reached, F.struct("_rep", F.col("_in").isNull().alias("_out"))))
+    return F.when(first["_out"], F.raise_error(F.lit("a bracket missed its rank: raise accuracy")).cast("double")).otherwise(first["_rep"])
+
+
 def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Cross join with a table that is one row by construction (a keyless aggregate)."""
     return df.crossJoin(F.broadcast(one))
@@ -87,7 +92,8 @@ def as_one_row(params: DataFrame, key: str, domain: list, values: list[str], nam
 
 def domain_slot(key: str, domain: list) -> Column:
     pos = F.create_map(*[F.lit(x) for i, k in enumerate(domain) for x in (k, i)])
-    return pos[F.col(key)]
+    unlisted = F.raise_error(F.concat(F.lit(f"{key} has a value outside its domain: "), F.col(key).cast("string"))).cast("int")
+    return F.when(F.col(key).isNotNull(), F.coalesce(F.try_element_at(pos, F.col(key)), unlisted))
 
 
 def attach_domain(df: DataFrame, params: DataFrame, key: str, domain: list, values: list[str]) -> DataFrame:

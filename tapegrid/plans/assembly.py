@@ -15,7 +15,7 @@ CLOCK = ("minutes_since_open", "minutes_to_close", "session_frac", "session_sin"
 
 
 def build_features(ticks: DataFrame, ladder: DataFrame | None, prints: DataFrame | None, cfg: SessionConfig, fc: FeatureConfig = FC,
-                   candles: bool = True, lags: bool = True, premium_scope: str = "session", store=lambda d: d) -> DataFrame:
+                   candles: bool = True, lags: bool = True, premium_scope: str = "causal", store=lambda d: d) -> DataFrame:
     """Every causal feature block on one grid, one row per (symbol, session_date, bar).
 
     Base features keep NULL, extra blocks (candles, lags) read 0 where nothing is known. All blocks are

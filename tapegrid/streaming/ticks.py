@@ -74,43 +74,50 @@ def bar_price_stream(ticks: DataFrame, cfg: SessionConfig, lateness: str = "10 m
 STATE = "symbol string, session_date date, ts timestamp, spot double, running_high double, running_low double, twap double, n_bars long, stale boolean"
 
 
-def session_state_stream(bars: DataFrame, cfg: SessionConfig, stale_after: str | None = None) -> DataFrame:
+def session_state_stream(bars: DataFrame, cfg: SessionConfig, stale_after: str | None = None, forget_after: str = "12 hours") -> DataFrame:
     """Running high, low and time-weighted price per (symbol, session), kept in the state store.
 
     Input is bar-level, so a state row sees one session of bars. The key carries the session date, so a
-    new session starts with empty state and an old one is removed by its timeout. Silent keys emit a
-    ``stale`` row when ``stale_after`` is set (processing time).
+    new session starts with empty state. A key that is silent for ``stale_after`` (processing time) emits one
+    ``stale`` row and keeps its state, so a session goes on after a pause; ``forget_after`` of silence, longer than a
+    session, removes it.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
     d = bars.withColumn("session_date", clock.local_date(F.col("ts") - F.expr("interval 1 microsecond"), cfg.tz))
-    wait_ms = None
-    if stale_after:
-        amount, unit = stale_after.split()
-        wait_ms = int(float(amount) * {"second": 1000, "minute": 60_000}[unit.rstrip("s")])
+
+    def ms(span: str) -> int:
+        amount, unit = span.split()
+        return int(float(amount) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")])
+
+    forget_ms = ms(forget_after)
+    wait_ms = min(ms(stale_after), forget_ms) if stale_after else forget_ms
+    names = [x.split()[0] for x in STATE.split(", ")]
 
     def step(key, batches, state):
         import pandas as pd
 
         if state.hasTimedOut:
-            hi, lo, total, n, last = state.get
-            state.remove()
-            yield pd.DataFrame([[key[0], key[1], last, None, hi, lo, total / n, n, True]],
-                               columns=["symbol", "session_date", "ts", "spot", "running_high", "running_low", "twap", "n_bars", "stale"])
+            hi, lo, total, n, last, silent = state.get
+            if silent + wait_ms >= forget_ms:
+                state.remove()
+                return
+            state.update((hi, lo, total, n, last, silent + wait_ms))
+            state.setTimeoutDuration(wait_ms)
+            if not silent:
+                yield pd.DataFrame([[key[0], key[1], last, None, hi, lo, total / n, n, True]], columns=names)
             return
-        hi, lo, total, n, last = state.get if state.exists else (float("-inf"), float("inf"), 0.0, 0, None)
+        hi, lo, total, n, last, _ = state.get if state.exists else (float("-inf"), float("inf"), 0.0, 0, None, 0)
         rows = pd.concat(list(batches)).sort_values("ts")
         out = []
         for ts, p in zip(rows["ts"], rows["spot"]):
             hi, lo, total, n, last = max(hi, p), min(lo, p), total + p, n + 1, ts
             out.append([key[0], key[1], ts, p, hi, lo, total / n, n, False])
-        state.update((hi, lo, total, n, last))
-        if wait_ms:
-            state.setTimeoutDuration(wait_ms)
-        yield pd.DataFrame(out, columns=["symbol", "session_date", "ts", "spot", "running_high", "running_low", "twap", "n_bars", "stale"])
+        state.update((hi, lo, total, n, last, 0))
+        state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame(out, columns=names)
 
-    mode = GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
     return d.groupBy("symbol", "session_date").applyInPandasWithState(
-        step, STATE, "hi double, lo double, total double, n long, last timestamp", "append", mode)
+        step, STATE, "hi double, lo double, total double, n long, last timestamp, silent long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapegrid.config import SessionConfig
 from tapegrid.functions import clock, market as mk
-from tapegrid.functions.pricing_udf import _price, solve_iv
+from tapegrid.functions.pricing import cdf, implied
 from tapegrid.operators import board as bd, chain as ch, evaluate as ev, features as fe, fusion as fu, grid as gr, ladder as ld, physics as ph, splits as sp
 
 NY = SessionConfig()
@@ -149,14 +149,18 @@ def test_implied_vol_round_trip():
     rng = np.random.default_rng(2)
     s, k = rng.uniform(90, 110, 200), rng.uniform(90, 110, 200)
     t, vol, call = rng.uniform(0.01, 0.3, 200), rng.uniform(0.1, 1.5, 200), rng.random(200) > 0.5
-    p = _price(s, k, t, vol, call, 0.0)
+    dev = vol * np.sqrt(t)
+    up = np.log(s / k) / dev + dev / 2
+    p = s * cdf(up) - k * cdf(up - dev)
+    p = np.where(call, p, p - s + k)
     intrinsic = np.maximum(np.where(call, s - k, k - s), 0)
-    got = solve_iv(p, s, k, t, call)
+    got = implied(p, s, k, t, call)
     good = p > intrinsic + 0.02
+    assert max(abs(float(c) - 0.5 * (1 + math.erf(x / math.sqrt(2)))) for x in (-9.0, -7.5, -3.0, -0.1, 0.0, 0.4, 2.0, 8.0) for c in [cdf(np.array(x))]) < 1e-14
     assert good.sum() > 100
     np.testing.assert_allclose(got[good], vol[good], atol=1e-4)
-    assert np.isnan(solve_iv([1.0], [110.0], [100.0], [0.1], [True])[0])       # below intrinsic
-    assert np.isnan(solve_iv([99.9], [100.0], [100.0], [0.001], [True])[0])    # ceiling
+    assert np.isnan(implied([1.0], [110.0], [100.0], [0.1], [True])[0])       # below intrinsic
+    assert np.isnan(implied([99.9], [100.0], [100.0], [0.001], [True])[0])    # ceiling
 
 
 def test_max_pain_equals_the_pair_sum(spark):
