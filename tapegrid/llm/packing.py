@@ -34,10 +34,13 @@ _state: dict = {}
 
 
 class Cached:
-    """The tokenizers library over distinct words: each word, with its space, is encoded once while the cache holds it."""
+    """The tokenizers library over distinct words: each word, with its space, is encoded once while the cache holds it.
 
-    def __init__(self, path: str, room: int = 400_000):
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+    The cache has a young and an old half; a full young half becomes the old one, and words met again move on.
+    """
+
+    def __init__(self, path: str, room: int = 240_000):
+        self.tokenizer, self.room, self.known, self.old = Tokenizer.from_file(path), room, {}, {}
         self.special = [str(x.content).encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, raw: bytes) -> bytes:
@@ -48,11 +51,12 @@ class Cached:
         split = [None if ODD.search(raw) or b"\x00" in raw or any(x in raw for x in self.special) else
                  raw.replace(b"\n", b"\x00\n\x00").replace(b" ", b"\x00 ").split(b"\x00") for raw in raws]
         wanted = set().union(*(x for x in split if x is not None))
+        if len(self.known) > self.room // 2:
+            self.old, self.known = self.known, {}
         missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > self.room:
-            self.known.clear()
-            missing = wanted
-        missing = list(missing)
+        for x in missing & self.old.keys():
+            self.known[x] = self.old[x]
+        missing = list(missing - self.old.keys())
         for x, e in zip(missing, self.tokenizer.encode_batch_fast([x.decode() for x in missing], add_special_tokens=False)):
             self.known[x] = np.array(e.ids, "<u4").tobytes()
         get = self.known.__getitem__

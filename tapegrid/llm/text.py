@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Odd 64-bit multipliers of the rolling hash and of its finish.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -54,6 +54,7 @@ def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 out = fn(p)
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
