@@ -58,9 +58,9 @@ def _hit() -> Column:
 
 
 def board_score(per_horizon: DataFrame, version: str = SCORING_VERSION) -> DataFrame:
-    """Mean MAE minus a mild reward for direction."""
+    """Mean MAE minus a mild reward for direction; +inf, the worst score, where no horizon was scored."""
     s = per_horizon.agg(F.avg("mae").alias("mae_mean"), F.coalesce(F.avg("acc"), F.lit(0.0)).alias("acc_mean"))
-    return s.withColumns({"score": F.col("mae_mean") - 0.25 * (F.col("acc_mean") - 0.5), "scoring_version": F.lit(version)})
+    return s.withColumns({"score": F.coalesce(F.col("mae_mean") - 0.25 * (F.col("acc_mean") - 0.5), F.lit(float("inf"))), "scoring_version": F.lit(version)})
 
 
 def trimmed_mae(rows: DataFrame, horizons: list[str]) -> DataFrame:
@@ -83,11 +83,11 @@ def pinball(preds: DataFrame, quantiles: dict[str, float]) -> DataFrame:
 
 
 def weighted_score(per_horizon: DataFrame, weights: dict[str, float] = SCORE_WEIGHTS) -> DataFrame:
-    """Horizon-weighted score over the horizons present."""
+    """Horizon-weighted score over the horizons present; +inf where none is."""
     w = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("horizon")], F.lit(DEFAULT_SCORE_WEIGHT))
     d = per_horizon.filter(F.col("mae").isNotNull()).withColumn("_w", w)
     num = F.sum(F.col("_w") * F.col("mae") * (1.5 - F.coalesce("acc", F.lit(0.5))))
-    return d.agg(safe_div(num, F.sum("_w"), None).alias("score"), F.count(F.lit(1)).alias("n_horizons"))
+    return d.agg(F.coalesce(safe_div(num, F.sum("_w"), None), F.lit(float("inf"))).alias("score"), F.count(F.lit(1)).alias("n_horizons"))
 
 
 # ---------------------------------------------------------------- signals and trades

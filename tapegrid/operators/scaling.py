@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapegrid.functions.nulls import clip
+from tapegrid.functions.nulls import clip, finite
 from tapegrid.operators.quantiles import (as_one_row, attach_domain, attach_row, column_quantiles, exact_quantiles)
 
 PARAMS = ("fill", "center", "scale", "has_null", "is_binary")
@@ -26,11 +26,11 @@ def fit_scaler(train: DataFrame, cols: list[str], accuracy: int = 20_000, store=
     """One parameter row per column: fill value, centre, scale, null indicator, binary flag.
 
     Quantiles are taken after filling with the median; a zero range scales by one; a column with no
-    value at all fills with zero; a column with at most two distinct values is left unscaled.
+    value at all fills with zero; a column with at most two distinct values is left unscaled. NaN and infinities count as NULL.
     The train rows are read several times: pass ``store`` (for example plans.session.materialise) to
     keep them and the intermediate table instead of recomputing the features.
     """
-    train = store(train.select(*cols))
+    train = store(train.select(*[finite(F.col(c).cast("double")).alias(c) for c in cols]))
     stats = train.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"),
                                  F.count(c).alias("n"), F.count(F.lit(1)).alias("rows")).alias(c) for c in cols])
     flat = stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.lo").alias("lo"),
@@ -59,10 +59,10 @@ def transform(df: DataFrame, params: DataFrame, cols: list[str], keys: list[str]
     out = []
     for i, c in enumerate(cols):
         p = F.col("_p")[i]
-        x = F.coalesce(F.col(c).cast("double"), p["fill"])
+        x = F.coalesce(finite(F.col(c).cast("double")), p["fill"])
         out.append(F.when(p["is_binary"], x).otherwise(clip((x - p["center"]) / p["scale"], -bound, bound)).alias(c))
     if indicators:
-        out += [F.when(F.col("_p")[i]["has_null"], F.col(c).isNull().cast("double")).alias(f"{c}__isna")
+        out += [F.when(F.col("_p")[i]["has_null"], finite(F.col(c).cast("double")).isNull().cast("double")).alias(f"{c}__isna")
                 for i, c in enumerate(cols)]
     return d.select(*keys, *out)
 

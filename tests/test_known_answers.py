@@ -238,3 +238,33 @@ def test_stream_drops_late_rows(spark, tmp_path):
     s = st.read_parquet_stream(spark, feed, files_per_trigger=1)
     got = st.run_available(st.bar_price_stream(s, NY, "1 minute"), "late").collect()
     assert [(r["spot"], r["n"]) for r in got if r["ts"] == dt.datetime(2024, 6, 3, 14, 1)] == [(10.0, 1)]
+
+
+def test_scaler_takes_nan_and_infinities_as_missing(spark):
+    from tapegrid.operators import scaling as sc
+    vals = [float("nan"), float("inf"), float("-inf"), None, *[float(i) for i in range(20)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k int, x double")
+    p = sc.fit_scaler(df, ["x"])
+    row = p.first()
+    assert row["fill"] == 9.5 and row["has_null"] and not row["is_binary"]
+    got = {r["k"]: r for r in sc.transform(df, p, ["x"], ["k"]).collect()}
+    assert all(got[i]["x"] == (9.5 - row["center"]) / row["scale"] and got[i]["x__isna"] == 1.0 for i in range(4)) and got[5]["x__isna"] == 0.0
+
+
+def test_unscored_boards_come_last(spark):
+    from tapegrid.operators import evaluate as ev
+    none = spark.createDataFrame([], "horizon string, mae double, acc double")
+    assert ev.board_score(none).first()["score"] == float("inf") and ev.weighted_score(none).first()["score"] == float("inf")
+
+
+def test_frames_with_missing_rows_are_reported(spark):
+    from tapegrid.operators.quality import causality_violations
+    a, b = (spark.createDataFrame([(k, 1.0) for k in ks], "k int, x double") for ks in ((1, 2), (2, 3)))
+    assert sorted((r["k"], r["column_name"], r["full_value"]) for r in causality_violations(a, b, ["k"], ["x"]).collect()) == [(1, "_row", 1.0), (3, "_row", 0.0)]
+
+
+def test_unlisted_domain_values_are_errors(spark):
+    from tapegrid.operators.quantiles import exact_quantiles
+    d = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "h string, v double")
+    with pytest.raises(Exception, match="outside its domain"):
+        exact_quantiles(d, ["h"], "v", [0.5], ["m"], domain=["a"]).collect()
