@@ -125,7 +125,11 @@ class Vocabulary:
 
 def vocabulary(table: DataFrame, shape: Shape) -> Vocabulary:
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = table.orderBy(F.desc("c"), "hash").limit(shape.head).toPandas()
+    # words by steps of their count: whole steps from the top, as many as ``head`` words allow, so tasks send no more than that
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    sizes = sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect(), reverse=True)
+    low = next((s.step + 1 for s, many in zip(sizes, np.cumsum([s.v for s in sizes])) if many > shape.head), 0)
+    top = table.filter((step >= low) | (F.col("hash") == int(END))).toPandas().sort_values(["c", "hash"], ascending=[False, True])
     h, c, kind = top.hash.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), top.kind.to_numpy(np.int64)
     words_only = np.flatnonzero(h != END)[: shape.top]
     symbol = np.full(len(h), -1, np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrid.llm.forest import IsolationForest
-from tapegrid.llm.text import SPACE, map_docs, shingles, texts, words
+from tapegrid.llm.text import SPACE, drawn, map_docs, shingles, texts, words
 from tapegrid.plans.session import materialise
 
 #: Characters counted as symbols.
@@ -122,8 +122,8 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     from all labelled rows, counted by steps of the score."""
     marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_good")).filter("_good IS NOT NULL").dropDuplicates(["_id"])
     known = stats.filter(~base_failed()).join(marked, F.col("doc_id") == F.col("_id"))
-    drawn = known.filter("_good = 1").select(F.xxhash64("doc_id").alias("_k"), *RATES).orderBy("_k", *RATES).limit(trees * sample)
-    points = drawn.select(*RATES).toPandas().to_numpy(np.float64).reshape(-1, len(RATES))
+    good = known.filter("_good = 1").select("doc_id", *RATES)
+    points = drawn(good, "doc_id", trees * sample, good.count()).select(*RATES).toPandas().to_numpy(np.float64).reshape(-1, len(RATES))
     if not len(points):
         return Rules(None, STEPS + 1)
     rules = Rules(IsolationForest(points, trees, sample), STEPS + 1)

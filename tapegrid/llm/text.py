@@ -59,6 +59,15 @@ def map_docs(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+def drawn(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
+    """At most ``k`` of ``n`` rows, those whose keys' hashes sort first; a filter on the hash leaves about 2 k rows
+    beforehand, so that the tasks together send a bounded number and not k each."""
+    h = F.xxhash64(key)
+    if n > 4 * k:
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 2 * k / n))
+    return df.orderBy(h, key).limit(k)
+
+
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """Names like the wanted ones that none of the columns has."""
     taken, out = {c.lower() for c in columns}, []

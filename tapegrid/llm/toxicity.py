@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.text import LOWER, SPACE, crc_mod, map_docs, words
+from tapegrid.llm.text import crc_mod, drawn, map_docs, words
 
 #: Bytes of words: letters, digits and everything beyond ASCII; the rest separates words.
 OUTSIDE = np.ones(256, bool)
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, bits: int
         return Model(np.zeros(2 ** bits), -6.0)
     picked = None
     for y in (0, 1):
-        one = marked.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_train // 2)
+        one = drawn(marked.filter(F.col("_y") == y), "_id", max_train // 2, share.get(y, 0))
         picked = one if picked is None else picked.unionByName(one)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
 
@@ -148,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, bits: int
     per = np.repeat(np.arange(len(y)), top + 1)
     order = np.zeros(len(per), np.int64)
     model = fit(Bags(feature, local + begin[doc], per, order, order), y.astype(float), bits)
-    drawn = np.bincount(y, minlength=2)
-    odds = (share[1] / share[0]) / max(1e-9, drawn[1] / max(1, drawn[0]))
+    took = np.bincount(y, minlength=2)
+    odds = (share[1] / share[0]) / max(1e-9, took[1] / max(1, took[0]))
     model.bias += float(np.clip(np.log(odds), -3, 3))
     return model
 
