@@ -356,7 +356,7 @@ def test_automaton_on_random_texts():
         ids = np.frombuffer(enc.encode(t.encode()), "<u4")
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
         assert bpe.decode(enc.automaton.labels, ids).decode() == tok.decode(ids.tolist(), skip_special_tokens=False)
-        assert packing._cached(tokenizer()).encode([t.encode()]) == [ids.tobytes()]
+        assert packing.ids(packing.encoder(tokenizer()), t.encode()) == ids.tobytes()
 
 
 # 10 --------------------------------------------------------------------------------------------------------------
