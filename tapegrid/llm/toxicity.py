@@ -136,10 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, bits: int
         return pa.RecordBatch.from_arrays([b.column(1), pa.array(feats, pa.list_(pa.int32())), pa.array(sents, pa.list_(pa.int32()))], names=["y", "f", "s"])
 
     got = map_docs(rows.select("text", "_y"), run, "y int, f array<int>, s array<int>").toArrow()
-    y = got["y"].to_numpy()
+    y = got["y"].to_numpy().copy()
     f, s = (got[c].combine_chunks() for c in ("f", "s"))
     sizes = np.diff(f.offsets.to_numpy())
-    feature, local = f.values.to_numpy()[: int(sizes.sum())].astype(np.int64), s.values.to_numpy()[: int(sizes.sum())].astype(np.int64)
+    feature, local = f.values.to_numpy()[: int(sizes.sum())].copy(), s.values.to_numpy()[: int(sizes.sum())].copy()
+    del got, f, s
     doc = np.repeat(np.arange(len(y)), sizes)
     begin = np.zeros(len(y) + 1, np.int64)
     top = np.full(len(y), -1, np.int64)
@@ -147,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, bits: int
     np.cumsum(top + 1, out=begin[1:])
     per = np.repeat(np.arange(len(y)), top + 1)
     order = np.zeros(len(per), np.int64)
-    model = fit(Bags(feature, local + begin[doc], per, order, order), y.astype(float), bits)
+    sentence = (local + begin[doc]).astype(np.int32)
+    del local, doc
+    model = fit(Bags(feature, sentence, per, order, order), y.astype(float), bits)
     took = np.bincount(y, minlength=2)
     odds = (share[1] / share[0]) / max(1e-9, took[1] / max(1, took[0]))
     model.bias += float(np.clip(np.log(odds), -3, 3))
