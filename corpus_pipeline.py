@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapegrid.llm import packing, quality, secrets, simhash, substring
+from tapegrid.llm import near, packing, quality, secrets, simhash, substring
 from tapegrid.llm.queries import tokenizer
 from tapegrid.plans.session import materialise
 
@@ -24,8 +24,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more stay in the first document that holds them."""
-    return substring.remove(docs)
+    """Near copies at a five-word Jaccard similarity of 0.8 or more that the fingerprints left go whole; then passages of
+    50 words and more stay in the first document that holds them."""
+    return substring.remove(materialise(near.keep_first(docs), "near_copies"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
