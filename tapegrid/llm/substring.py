@@ -1,8 +1,10 @@
 """Substring dedup by collinear chaining.
 
-1. Seeds: of every 16 consecutive five-word shingles of a text the one with the smallest hash (so any run of 20
+1. Seeds: of every 8 consecutive five-word shingles of a text the one with the smallest hash (so any run of 12
    equal words shares a seed). Their occurrences are joined with the seed's first document, the anchor: a passage
-   that n documents hold gives n - 1 matches a seed, not pairs of all.
+   that n documents hold gives n - 1 matches a seed, not pairs of all. Parts of a passage may have different first documents,
+   so runs of 2, 4 and 8 consecutive shared seeds, and pairs 2 to 5 places apart (an edit changes the seeds between), are
+   joined with the first document that holds the whole key as well.
 2. Chains: the ordered matches of a document with one anchor are chained by a Fenwick tree over anchor positions,
    weight less a cost for each word of a gap.
 3. Alignment: the windows of each chain are fetched as word codes, their shared shingles joined into exact runs, chained
@@ -28,7 +30,11 @@ from tapegrid.llm.text import STEP, fresh, map_docs, mix, shingles, words
 from tapegrid.plans.session import materialise
 
 SHINGLE = 5
-WINDOW = 16
+WINDOW = 8
+#: Numbers of consecutive shared seeds that are joined as one key; the longest spans about 36 words.
+CONTEXTS = (2, 4, 8)
+#: Distances, in shared seeds, of pairs that are joined as one key whatever lies between.
+APART = (2, 3, 4, 5)
 LEAST = 50
 SIMILAR = 0.8
 #: Words fetched beyond both ends of a chain; longer than the stretch that can lie between seeds.
@@ -65,9 +71,9 @@ def _sliding(x: np.ndarray, window: int, pick) -> np.ndarray:
 
 
 def seeds(inner: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(hash, doc, pos, first). A seed that a text holds again counts its occurrences: the hash of the n-th holds n, so texts
+    """(hash, doc, pos, first, plain). A seed that a text holds again counts its occurrences: the hash of the n-th holds n, so texts
     that repeat themselves match place by place. It is given once more under its plain hash, where ``first``
-    is its first position, the one that others match."""
+    is its first position, the one that others match. ``plain`` is false for counted hashes."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         w = words(b.column(1), lower=True)
@@ -83,10 +89,30 @@ def seeds(inner: DataFrame, window: int = WINDOW) -> DataFrame:
         again = np.flatnonzero(nth)
         with np.errstate(over="ignore"):
             counted = np.where(nth > 0, mix(own + nth.astype(np.uint64) * STEP), own)
-        out = np.r_[counted, own[again]].view(np.int64), np.r_[doc, doc[again]], np.r_[pos, pos[again]], np.r_[pos, pos[begin[again]]]
-        return pa.RecordBatch.from_arrays([pa.array(out[0]), b.column(0).take(pa.array(out[1])), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32))], names=["hash", "doc", "pos", "first"])
-
-    return map_docs(inner, run, "hash long, doc long, pos int, first int")
+        out = np.r_[counted, own[again]].view(np.int64), np.r_[doc, doc[again]], np.r_[pos, pos[again]], np.r_[pos, pos[begin[again]]], np.r_[nth == 0, np.ones(len(again), bool)]
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), b.column(0).take(pa.array(out[1])), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32)), pa.array(out[4])], names=["hash", "doc", "pos", "first", "plain"])
+
+    return map_docs(inner, run, "hash long, doc long, pos int, first int, plain boolean")
+
+
+def _contexts(batches):
+    """Keys of runs and pairs of shared seeds (rows sorted by doc, pos): hash, doc, pos and the words to the last seed."""
+    for doc, pos, own in complete(batches, 1):
+        h = own.view(np.uint64)
+        for places in [range(k) for k in CONTEXTS] + [(0, k) for k in APART]:
+            k = places[-1] + 1
+            n = len(h) - k + 1
+            if n <= 0:
+                continue
+            with np.errstate(over="ignore"):
+                acc = np.full(n, len(places), np.uint64)
+                for j in places:
+                    acc = acc * STEP + h[j: j + n]
+            wide = pos[k - 1:] - pos[:n]
+            # seeds of one passage are never further apart than twice the window; equal positions are rows of one id
+            ok = (doc[:n] == doc[k - 1:]) & (wide <= 2 * WINDOW * (k - 1)) & (wide > 0)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(mix(acc)[ok].view(np.int64)), pa.array(doc[:n][ok]), pa.array(pos[:n][ok]), pa.array(wide[ok])], names=["hash", "doc", "pos", "wide"])
 
 
 def complete(batches, keys: int):
@@ -156,27 +182,31 @@ CHAIN = "id long, doc long, anchor long, d0 int, d1 int, a0 int, a1 int"
 
 
 def _chained(least: int, window: int):
-    #: What the seeds of an exact passage of ``least`` words span at least, and twice the widest gap between seeds is the longest jump.
-    span = max(1, least - 2 * (window - 1) - SHINGLE)
+    #: Less than the seeds of a passage of ``least`` words with an edit span; four windows are the longest plain jump.
+    span = max(1, min(least // 4, least - 2 * (window - 1) - SHINGLE))
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
-        for doc, anchor, pos, apos in complete(batches, 2):
+        for doc, anchor, pos, apos, wide in complete(batches, 2):
+            # of matches at one place the widest, which comes last
+            last = np.r_[(doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (pos[1:] != pos[:-1]) | (apos[1:] != apos[:-1]), True]
+            doc, anchor, pos, apos, wide = (x[last] for x in (doc, anchor, pos, apos, wide))
             edges = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]), True])
             rows = []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if hi - lo < 2:
+                if hi - lo < 2 and not wide[lo]:
                     continue
-                p, a = pos[lo:hi], apos[lo:hi]
-                if (np.diff(p) > 0).all() and (np.diff(a) > 0).all() and max(np.diff(p).max(), np.diff(a).max()) <= 2 * window:
+                p, a, far = pos[lo:hi], apos[lo:hi], wide[lo:hi].tolist()
+                if hi - lo == 1 or (np.diff(p) > 0).all() and (np.diff(a) > 0).all() and max(np.diff(p).max(), np.diff(a).max()) <= 4 * window:
                     found = [range(hi - lo)]  # one chain already
                     p, a = p.tolist(), a.tolist()
                 else:
                     p, a = p.tolist(), a.tolist()
                     found = chains(p, a, [x + 1 for x in p], [x + 1 for x in a], [SHINGLE] * len(p), 0.05)
                 for c in found:
-                    if len(c) > 1 and p[c[-1]] - p[c[0]] >= span:
-                        rows.append((doc[lo], anchor[lo], p[c[0]], p[c[-1]] + SHINGLE, a[c[0]], a[c[-1]] + SHINGLE))
+                    more = max(p[i] + far[i] for i in c) - p[c[-1]]
+                    if p[c[-1]] + more - p[c[0]] >= span:
+                        rows.append((doc[lo], anchor[lo], p[c[0]], p[c[-1]] + more + SHINGLE, a[c[0]], a[c[-1]] + more + SHINGLE))
             if rows:
                 cols = list(zip(*rows))
                 ids = (np.int64(task) << 36) + made + np.arange(len(rows))
@@ -302,8 +332,14 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, windo
     found = seeds(inner, window)
     anchors = materialise(found.groupBy("hash").agg(F.min("doc").alias("anchor"), F.min_by("first", "doc").alias("apos"), F.max("doc").alias("_top"))
                           .filter("_top > anchor").drop("_top"), "substring-anchors")
-    matches = found.select("hash", "doc", "pos").join(anchors, "hash").filter("doc <> anchor").select("doc", "anchor", "pos", "apos")
-    linked = materialise(matches.repartition("doc", "anchor").sortWithinPartitions("doc", "anchor", "pos", "apos").mapInArrow(_chained(least, window), CHAIN), "substring-chains")
+    shared = materialise(found.select("hash", "doc", "pos", "plain").join(anchors, "hash"), "substring-shared")
+    runs_of = materialise(shared.filter("plain").select("doc", "pos", "hash").repartition("doc").sortWithinPartitions("doc", "pos", "hash")
+                          .mapInArrow(_contexts, "hash long, doc long, pos int, wide int"), "substring-contexts")
+    heads = (runs_of.groupBy("hash").agg(F.min("doc").alias("anchor"), F.min_by("pos", F.struct("doc", "pos")).alias("apos"), F.max("doc").alias("_top"))
+             .filter("_top > anchor").drop("_top"))
+    matches = (shared.filter("doc <> anchor").select("doc", "anchor", "pos", "apos", F.lit(0).alias("wide"))
+               .unionByName(runs_of.join(heads, "hash").filter("doc <> anchor").select("doc", "anchor", "pos", "apos", "wide")))
+    linked = materialise(matches.repartition("doc", "anchor").sortWithinPartitions("doc", "anchor", "pos", "apos", "wide").mapInArrow(_chained(least, window), CHAIN), "substring-chains")
     lo = lambda c: F.greatest(F.col(c) - MARGIN, F.lit(0))
     wanted = (linked.select("id", F.lit(0).alias("side"), "doc", lo("d0").alias("lo"), (F.col("d1") + MARGIN).alias("hi"))
               .unionByName(linked.select("id", F.lit(1).alias("side"), F.col("anchor").alias("doc"), lo("a0").alias("lo"), (F.col("a1") + MARGIN).alias("hi"))))
