@@ -1,7 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Texts are lower-cased (A-Z), cut into words of digits, letters and non-ASCII characters, and joined by single
-spaces; rules are regular expressions over that form. A rule runs only where its keyword occurs. Detections
+spaces; rules are regular expressions over that form. A rule runs only where its keyword, or one of several parted by
+"|", occurs; every string of a rule holds one of its keywords. Detections
 are ordered by (priority, length, start); one whose interval lies inside a kept one is suppressed. Base
 phrases are reported at every place and are never suppressed.
 
@@ -39,7 +40,7 @@ FAMILIES = (
     ("artistic", r"artistic", ("1 0", "2 0")),
     ("boost", r"(?:bsl|boost(?: software)?)", ("1 0",)),
     ("isc", r"(?:isc|internet systems consortium)", ()),
-    ("zlib", r"(?:zlib|zlib libpng)", ()),
+    ("zlib", r"zlib(?: libpng)?", ()),
     ("unlicense", r"unlicense", ()),
     ("wtfpl", r"wtfpl", ("2",)),
     ("cc-by", r"(?:cc by|creative commons attribution)", ("1 0", "2 0", "2 5", "3 0", "4 0")),
@@ -96,13 +97,13 @@ SENTENCES = (
     ("public-domain", "public domain", r"(?:released|placed|dedicated|is) (?:in|into|to|in to) the public domain", 80),
     ("public-domain", "public domain", r"public domain", 20),
     ("zlib", "express or implied", r"this software is provided as is without any express or implied warranty", 70),
-    ("no-warranty", "without warranty", r"without warrant(?:y|ies) of any kind(?: express or implied)?", 30),
+    ("no-warranty", "without warrant", r"without warrant(?:y|ies) of any kind(?: express or implied)?", 30),
     ("no-warranty", "merchantability", r"merchantability (?:and|or) fitness for a particular purpose", 30),
     ("proprietary", "proprietary", r"proprietary and confidential", 85),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)", 70),
-    ("proprietary", "prior written", r"without (?:the )?(?:express |prior )*written (?:permission|consent)", 60),
+    ("proprietary", "written", r"without (?:the )?(?:express |prior )*written (?:permission|consent)", 60),
     ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 50),
-    ("copyright", "copyright", r"copyright (?:c )?(?:\d{4} )?", 10),
+    ("copyright", "copyright", r"copyright(?: c)?(?: \d{4})?", 10),
     ("copyright", "copyrighted", r"copyrighted (?:material|work)s?", 15),
 )
 
@@ -115,6 +116,13 @@ FORMS = (
 )
 
 
+def names(pattern: str) -> str:
+    """Keywords of a family: the literal beginning of each alternative of its name."""
+    plain = re.sub(r"\(\?:[^()]*\)\?", "", pattern)
+    plain = plain[3:-1] if plain.startswith("(?:") else plain
+    return "|".join(" " + re.match(r"(?:[a-z0-9 ](?!\?))+", x)[0] for x in plain.split("|"))
+
+
 def rules() -> list[tuple[int, str, str, str]]:
     """All rules as (priority, keyword, label, pattern): sentences, each form of each family, and each version."""
     out = [(p, key, label, pat) for label, key, pat, p in SENTENCES]
@@ -122,7 +130,7 @@ def rules() -> list[tuple[int, str, str, str]]:
         for _, form, key, p in FORMS:
             out.append((p, key, label, form.replace("NAME", name)))
         for v in versions:
-            out.append((75, "licen", f"{label}-{v.replace(' ', '.')}", rf"{name}(?: public| international)?(?: licen[cs]e)?(?: v| version) ?{v}(?! \d)"))
+            out.append((75, names(name), f"{label}-{v.replace(' ', '.')}", rf"{name}(?: public| international)?(?: licen[cs]e)?(?: v| version) ?{v}(?! \d)"))
     return sorted(out, key=lambda r: -r[0])
 
 
@@ -133,22 +141,18 @@ class Scanner:
     """Compiled rules grouped by keyword; made once in each worker."""
 
     def __init__(self, extra: list[tuple[int, str, str, str]] | None = None):
-        self.by_key: dict[bytes, list[tuple[int, str, re.Pattern]]] = {}
+        self.by_key: dict[tuple[bytes, ...], list[tuple[int, str, re.Pattern]]] = {}
         for p, key, label, pat in rules() + list(extra or ()):
-            self.by_key.setdefault(key.encode(), []).append((p, label, re.compile(rb"(?<= )" + pat.encode() + rb"(?= )")))
-        #: Every rule needs one of these short stems; most texts hold none of them.
-        self.stems = [b"licen", b"copyright", b"public domain", b" under ", b"reserved", b"warrant", b"merchantab", b"permission", b"redistribution",
-                      b"proprietary", b"unauthorized", b"written", b"free software", b"neither the name", b"any later version", b"mozilla", b"unencumbered"]
-        self.stems += [k.encode() for k in {key for _, key, _, _ in extra or ()}]
+            keys = tuple(key.encode().split(b"|"))
+            self.by_key.setdefault(keys, []).append((p, label, re.compile(rb"(?<= )" + pat.encode() + rb"(?= )")))
 
     def detect(self, joined: bytes) -> list[tuple[int, int, str, int]]:
         """(start, end, label, priority) in words, after suppression."""
         found = []
-        if any(s in joined for s in self.stems):
-            for key, own in self.by_key.items():
-                if key in joined:
-                    for p, label, pat in own:
-                        found += [(m.start(), m.end(), label, p) for m in pat.finditer(joined)]
+        for keys, own in self.by_key.items():
+            if any(k in joined for k in keys):
+                for p, label, pat in own:
+                    found += [(m.start(), m.end(), label, p) for m in pat.finditer(joined)]
         found.sort(key=lambda f: (-f[3], f[0] - f[1], f[0], f[2]))
         kept: list[tuple[int, int, str, int]] = []
         for f in found:
