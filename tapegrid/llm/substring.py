@@ -4,7 +4,8 @@
    equal words shares a seed). Their occurrences are joined with the seed's first document, the anchor: a passage
    that n documents hold gives n - 1 matches a seed, not pairs of all. Parts of a passage may have different first documents,
    so runs of 2, 4 and 8 consecutive shared seeds, and pairs 2 to 5 places apart (an edit changes the seeds between), are
-   joined with the first document that holds the whole key as well.
+   joined with the first document that holds the whole key as well. Keys whose seeds lie in one anchor at like distances are
+   left out: that document holds the whole key already.
 2. Chains: the ordered matches of a document with one anchor are chained by a Fenwick tree over anchor positions,
    weight less a cost for each word of a gap.
 3. Alignment: the windows of each chain are fetched as word codes, their shared shingles joined into exact runs, chained
@@ -97,8 +98,10 @@ def seeds(inner: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _contexts(batches):
     """Keys of runs and pairs of shared seeds (rows sorted by doc, pos): hash, doc, pos and the words to the last seed."""
-    for doc, pos, own in complete(batches, 1):
+    for doc, pos, own, anchor, apos in complete(batches, 1):
         h = own.view(np.uint64)
+        # steps after which the anchor changes or its positions part from the text's
+        parts = np.r_[0, np.cumsum((anchor[1:] != anchor[:-1]) | (np.abs(np.diff(apos) - np.diff(pos)) > 2 * WINDOW))]
         for places in [range(k) for k in CONTEXTS] + [(0, k) for k in APART]:
             k = places[-1] + 1
             n = len(h) - k + 1
@@ -110,7 +113,7 @@ def _contexts(batches):
                     acc = acc * STEP + h[j: j + n]
             wide = pos[k - 1:] - pos[:n]
             # seeds of one passage are never further apart than twice the window; equal positions are rows of one id
-            ok = (doc[:n] == doc[k - 1:]) & (wide <= 2 * WINDOW * (k - 1)) & (wide > 0)
+            ok = (doc[:n] == doc[k - 1:]) & (wide <= 2 * WINDOW * (k - 1)) & (wide > 0) & (parts[:n] != parts[k - 1:])
             if ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array(mix(acc)[ok].view(np.int64)), pa.array(doc[:n][ok]), pa.array(pos[:n][ok]), pa.array(wide[ok])], names=["hash", "doc", "pos", "wide"])
 
@@ -333,7 +336,7 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, windo
     anchors = materialise(found.groupBy("hash").agg(F.min("doc").alias("anchor"), F.min_by("first", "doc").alias("apos"), F.max("doc").alias("_top"))
                           .filter("_top > anchor").drop("_top"), "substring-anchors")
     shared = materialise(found.select("hash", "doc", "pos", "plain").join(anchors, "hash"), "substring-shared")
-    runs_of = materialise(shared.filter("plain").select("doc", "pos", "hash").repartition("doc").sortWithinPartitions("doc", "pos", "hash")
+    runs_of = materialise(shared.filter("plain").select("doc", "pos", "hash", "anchor", "apos").repartition("doc").sortWithinPartitions("doc", "pos", "hash")
                           .mapInArrow(_contexts, "hash long, doc long, pos int, wide int"), "substring-contexts")
     heads = (runs_of.groupBy("hash").agg(F.min("doc").alias("anchor"), F.min_by("pos", F.struct("doc", "pos")).alias("apos"), F.max("doc").alias("_top"))
              .filter("_top > anchor").drop("_top"))
