@@ -242,7 +242,7 @@ def _(spark, d):
     h = ph.horizon_rows(g.select(*KEYS, "ret_1m", "ret_5m"))
     preds = h.select(*KEYS, "horizon", F.col("ret_1m").alias("lgb"), F.col("ret_5m").alias("cat"), F.lit(-0.5).alias("q10"),
                      F.lit(0.0).alias("q50"), F.lit(0.5).alias("q90"))
-    return asm.backtest_signals(fx.ticks(spark, d), fx.ladder(spark, d), preds, CFG, cadence_rows=3, store=materialise)
+    return asm.backtest_signals(fx.ticks(spark, d), fx.ladder(spark, d), preds, CFG, cadence_rows=1, store=materialise)
 
 
 @query("training_table", KEY + "split:s ret_1m:5 gex_net_total:5 y_retn_30m:5")
