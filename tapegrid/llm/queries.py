@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapegrid.llm import bpe, licenses, lm, packing, quality, secrets, simhash, sites, substring, toxicity, weighted
+from tapegrid.llm import bpe, licenses, lm, packing, quality, secrets, simhash, sites, substring, toxicity, variants, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,14 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(documents(spark, sf_dir))
 
 
+@query
+def op11_chunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(documents(spark, sf_dir))
+
+
+ORACLES["op11_chunk_variants"] = variants.ORACLE
+
+
 @query
 def op13_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
