@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapegrid.llm import bpe, licenses, lm, packing, quality, secrets, simhash, sites, substring, toxicity, variants, weighted
+from tapegrid.llm import bpe, licenses, lm, packing, quality, secrets, simhash, sites, substring, toxicity, treap, variants, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,14 @@ def op11_chunk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_chunk_variants"] = variants.ORACLE
 
 
+@query
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op12_treap_search"] = treap.ORACLE
+
+
 @query
 def op13_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
