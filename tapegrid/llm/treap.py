@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrid.llm.text import LOWER, data, map_docs, pieces, texts, words
+from tapegrid.llm.text import map_docs, pieces, words
 from tapegrid.plans.session import materialise
 
 TOP = 10
@@ -84,20 +84,36 @@ class Grid:
     """A block's quadtree, unpacked: for each level the node of every quadrant (-1: empty), and every node's maximum."""
 
     def __init__(self, height: int, bits: bytes, maxima: bytes):
-        raw, diff = np.frombuffer(bits, np.uint8), np.frombuffer(maxima, "<i4").astype(np.int64)
+        raw, diff = np.frombuffer(bits, np.uint8), np.frombuffer(maxima, "<i4")
         self.height, self.child, self.top = height, [], [diff[:1]]
         nodes, at, seen = 1, 0, 1
         for _ in range(height):
             size = (4 * nodes + 7) // 8
             own = np.unpackbits(raw[at: at + size])[: 4 * nodes].astype(bool)
-            child = np.where(own, np.cumsum(own) - 1, -1).astype(np.int32)
+            child = np.where(own, np.cumsum(own, dtype=np.int32) - np.int32(1), np.int32(-1))
             count = int(own.sum())
             self.top.append(self.top[-1][np.flatnonzero(own) // 4] - diff[seen: seen + count])
             self.child.append(child)
             at, seen, nodes = at + size, seen + count, count
 
 
-INDEX = "height int, docs array<long>, terms binary, edges array<int>, counts array<int>, bits binary, maxima binary"
+#: ``docs`` are ids (64 bits); ``terms`` their bytes; ``lengths`` and ``counts`` their bytes and documents (32 bits). ``sizes`` are lengths before compression.
+PARTS = ("docs", "terms", "lengths", "counts", "bits", "maxima")
+INDEX = "height int, sizes array<int>, " + ", ".join(f"{x} binary" for x in PARTS)
+
+
+def _packed(raw: bytes) -> bytes:
+    return pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(row: dict, name: str) -> bytes:
+    return pa.decompress(row[name], row["sizes"][PARTS.index(name)], "zstd", asbytes=True) if row[name] else b""
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Index rows one by one: what is unpacked is one block at a time."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
 def _block(ids: list, col: pa.Array, n_docs: int, n_terms: int) -> pa.RecordBatch | None:
@@ -123,10 +139,9 @@ def _block(ids: list, col: pa.Array, n_docs: int, n_terms: int) -> pa.RecordBatc
     value = (1_000_000_000 * tf) // (1000 * tf + 8 * m[at])
     height = max(1, int(max(len(names), len(held)) - 1).bit_length())
     bits, maxima = compress(row, at, value, height)
-    edges = np.r_[0, np.cumsum([len(x) for x in names])]
-    return pa.RecordBatch.from_arrays([pa.array([height], pa.int32()), pa.array([key[held]], pa.list_(pa.int64())), pa.array([b"".join(names)], pa.binary()), pa.array([edges], pa.list_(pa.int32())),
-                                       pa.array([np.bincount(row, minlength=len(names))], pa.list_(pa.int32())), pa.array([bits], pa.binary()), pa.array([maxima], pa.binary())],
-                                      names=[x.split()[0] for x in INDEX.split(", ")])
+    parts = [key[held].tobytes(), b"".join(names), np.array([len(x) for x in names], "<i4").tobytes(), np.bincount(row, minlength=len(names)).astype("<i4").tobytes(), bits, maxima]
+    return pa.RecordBatch.from_arrays([pa.array([height], pa.int32()), pa.array([[len(x) for x in parts]], pa.list_(pa.int32())), *(pa.array([_packed(x)], pa.binary()) for x in parts)],
+                                      names=["height", "sizes", *PARTS])
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, int]:
@@ -166,8 +181,8 @@ def terms_of(text: str | None) -> list[bytes]:
 class Terms:
     """Sorted terms of a block, looked up by halving."""
 
-    def __init__(self, raw: bytes, edges: np.ndarray):
-        self.raw, self.edges = raw, edges.tolist()
+    def __init__(self, row: dict):
+        self.raw, self.edges = _unpacked(row, "terms"), np.r_[0, np.cumsum(np.frombuffer(_unpacked(row, "lengths"), "<i4"))].tolist()
 
     def row(self, term: bytes) -> int:
         lo, hi = 0, len(self.edges) - 1
@@ -186,8 +201,8 @@ def frequencies(blocks: DataFrame, wanted: list[bytes]) -> dict[bytes, int]:
     def run(batches):
         total = np.zeros(len(wanted), np.int64)
         for b in batches:
-            for raw, edges, counts in zip(b.column(0), b.column(1), b.column(2)):
-                own, n = Terms(raw.as_py(), edges.values.to_numpy()), counts.values.to_numpy()
+            for row in _rows(b):
+                own, n = Terms(row), np.frombuffer(_unpacked(row, "counts"), "<i4")
                 for k, x in enumerate(wanted):
                     at = own.row(x)
                     if at >= 0:
@@ -195,7 +210,7 @@ def frequencies(blocks: DataFrame, wanted: list[bytes]) -> dict[bytes, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
 
-    found = blocks.select("terms", "edges", "counts").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    found = blocks.select("sizes", "terms", "lengths", "counts").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return {wanted[r.term]: r.df for r in found.collect()}
 
 
@@ -238,7 +253,7 @@ def descend(grid: Grid, rows: np.ndarray, weights: np.ndarray, docs: np.ndarray,
                 below.append(np.where(there[inside], grid.child[depth][np.where(there, quadrant + side, 0)[inside]], -1))
                 starts.append(first[inside] + side * half)
         path, first = np.concatenate(below), np.concatenate(starts)
-        bound = np.where(path >= 0, grid.top[depth + 1][path], 0) @ weights
+        bound = np.where(path >= 0, grid.top[depth + 1][path], 0).astype(np.int64) @ weights
         live = worth(bound, first)
         bound, first, path = bound[live], first[live], path[live]
         if len(bound):
@@ -254,10 +269,10 @@ def _searched(items: list[tuple[list[bytes], list[int]]], top: int):
         best: list[list[tuple[int, int]]] = [[] for _ in items]
         wanted = sorted({t for terms, _ in items for t in terms})
         for b in batches:
-            for height, docs, raw, edges, bits, maxima in zip(*b.columns):
-                own, grid = Terms(raw.as_py(), edges.values.to_numpy()), Grid(height.as_py(), bits.as_py(), maxima.as_py())
+            for row in _rows(b):
+                own, grid = Terms(row), Grid(row["height"], _unpacked(row, "bits"), _unpacked(row, "maxima"))
                 place = {t: own.row(t) for t in wanted}
-                ids = docs.values.to_numpy()
+                ids = np.frombuffer(_unpacked(row, "docs"), np.int64)
                 for (terms, weights), found in zip(items, best):
                     held = [(place[t], w) for t, w in zip(terms, weights) if w and place[t] >= 0]
                     if held:
@@ -280,7 +295,7 @@ def search(blocks: DataFrame, n_docs: int, items: DataFrame, item_id: str = "ite
         terms = [terms_of(r.text) for r in batch]
         df = frequencies(blocks, sorted({t for x in terms for t in x}))
         weights = [[math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) if t in df else 0 for t in x] for x in terms]
-        found = blocks.select("height", "docs", "terms", "edges", "bits", "maxima").mapInArrow(_searched(list(zip(terms, weights)), top), FOUND)
+        found = blocks.select("height", "sizes", "docs", "terms", "lengths", "bits", "maxima").mapInArrow(_searched(list(zip(terms, weights)), top), FOUND)
         order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
         ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
         ids = spark.createDataFrame([(k, r.item_id) for k, r in enumerate(batch)], f"item long, {schema.split(',')[0]}")
