@@ -146,6 +146,7 @@ def importance(found: DataFrame, gamma: float = GAMMA, least: int = LEAST) -> tu
     share = F.col("own") / F.col("pages")
     shape = (both.filter("NOT content").groupBy("host", "node").agg(F.max("pages").alias("pages"), F.sum(-share * F.log(share)).alias("_h"))
              .select("host", "node", "pages", F.when(F.col("pages") < least, 1.0).otherwise(F.least(F.lit(1.0), F.col("_h") / F.log("pages"))).alias("importance")))
+    shape = materialise(shape, "site-shapes")  # one row a path: where that is little, the many texts of a hot host need no shuffle to meet it
     near = shape.select("host", F.col("node").alias("around"), F.col("importance").alias("_shape"))
     own = F.when(F.col("pages") < least, 1.0).otherwise(1 - F.log("own") / F.log("pages"))
     texts = (both.filter("content").join(near, ["host", "around"], "left")
