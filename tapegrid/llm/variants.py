@@ -94,8 +94,8 @@ def _filed(entries: DataFrame) -> DataFrame:
 def pairs(words: DataFrame, room: int = ROOM) -> DataFrame:
     """(a, a_n, b, b_n) of words one edit apart, each pair once; ``words`` are (word, n), distinct."""
     own = words.select("word", "n", F.lit(False).alias("gram"), F.lit(0).alias("lo"), F.length("word").alias("hi"))
-    # as the longer word of a pair: a word without letters has no shorter partner
-    longer = words.filter(F.length("word") > 1).select("word", "n", F.lit(True).alias("gram"), F.lit(0).alias("lo"), (F.length("word") - 1).alias("hi"))
+    # as the longer word of a pair: an empty one has no shorter partner
+    longer = words.filter(F.length("word") > 0).select("word", "n", F.lit(True).alias("gram"), F.lit(0).alias("lo"), (F.length("word") - 1).alias("hi"))
     entries, found = own.unionByName(longer), None
     while True:
         filed = materialise(_filed(entries), "variants-filed")
