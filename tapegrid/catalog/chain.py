@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import tapegrid.catalog.ladder  # noqa: F401  (defines SQL blocks used here)
@@ -305,10 +306,10 @@ def _(spark, d):
 @query("jn08_outer_sides", KEY + "strike:1 cv:0 pv:0",
        q("""select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.session_date, b.session_date) as session_date, coalesce(a.bar, b.bar) as bar,
             coalesce(a.strike, b.strike) as strike, coalesce(a.v, 0) as cv, coalesce(b.v, 0) as pv
-            from (select * from cbars where type = 'C' and v >= 200) a full join (select * from cbars where type = 'P' and v >= 200) b
+            from (select * from cbars where type = 'C') a full join (select * from cbars where type = 'P') b
             on a.symbol = b.symbol and a.session_date = b.session_date and a.bar = b.bar and a.strike = b.strike"""))
 def _(spark, d):
-    return (ch.sides_wide(bars(spark, d).filter("v >= 200"), ch.SNAP_STRIKE, {"v": "v"})
+    return (ch.sides_wide(bars(spark, d), ch.SNAP_STRIKE, {"v": "v"})
             .fillna(0.0, subset=["call_v", "put_v"]).withColumnsRenamed({"call_v": "cv", "put_v": "pv"}))
 
 

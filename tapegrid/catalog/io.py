@@ -24,17 +24,22 @@ def _csv(df, spark, label):
     return path
 
 
+def _corrected(ticks):
+    """Every row twice, the first time with a wrong, higher price: the later row of the file is the one to keep."""
+    return ticks.withColumn("spot", F.explode(F.array(F.col("spot") + 7, F.col("spot"))))
+
+
 @query("src01_ohlcv_csv", "ts:t spot:4 open:4 high:4 low:4 volume:0",
        q("""select ts, spot, spot - 1 as open, spot + 2 as high, null as low, volume from rth"""))
 def _(spark, d):
-    t = fx.ticks(spark, d).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"), F.col("spot").alias("Close"),
-                                  (F.col("spot") - 1).alias("O"), (F.col("spot") + 2).alias("High"), F.col("volume").alias("Vol"))
+    t = _corrected(fx.ticks(spark, d)).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"), F.col("spot").alias("Close"),
+                                              (F.col("spot") - 1).alias("O"), (F.col("spot") + 2).alias("High"), F.col("volume").alias("Vol"))
     return fs.read_ohlcv(spark, _csv(t, spark, "ohlcv"), CFG)
 
 
 @query("src02_price_csv", "ts:t spot:4", q("select ts, spot from rth"))
 def _(spark, d):
-    t = fx.ticks(spark, d).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("bar_datetime_local"), F.col("spot").alias("last_price_usd"))
+    t = _corrected(fx.ticks(spark, d)).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("bar_datetime_local"), F.col("spot").alias("last_price_usd"))
     return fs.read_prices(spark, _csv(t, spark, "prices"), CFG)
 
 
@@ -95,17 +100,15 @@ def _(spark, d):
            .withColumn("f", F.concat(F.lit("ladder_"), F.date_format("session_date", "yyyyMMdd"), F.lit("_1000"))))
     # one folder per snapshot, named like the snapshot file
     day.drop("session_date").repartition("f").write.partitionBy("f").option("header", True).csv(root)
-    got = spark.read.option("recursiveFileLookup", "true").option("header", True).csv(root)
-    stamp = F.try_to_timestamp(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{8}_\d{4})", 1), F.lit("yyyyMMdd_HHmm"))
-    return got.select(stamp.alias("ts"), *[F.col(c).try_cast("double").alias(c.lower()) for c in got.columns])
+    return fs.read_ladder_dir(spark, root, tz="UTC")
 
 
 def _bars_payload(spark, d):
     t = fx.ticks(spark, d)
     r = F.struct(F.unix_millis("ts").alias("t"), F.col("spot").alias("o"), (F.col("spot") + 1).alias("h"), (F.col("spot") - 1).alias("l"),
                  F.col("spot").alias("c"), F.col("volume").alias("v"), F.col("spot").alias("vw"), F.col("seq").alias("n"))
-    # one payload per (symbol, minute of arrival): pages of bounded length
-    pages = t.groupBy("symbol", F.date_trunc("minute", "ts").alias("m")).agg(F.collect_list(r).alias("results"))
+    # pages of at most 500 rows by row number
+    pages = t.groupBy("symbol", F.floor(F.col("seq") / 500).alias("page")).agg(F.collect_list(r).alias("results"))
     return pages.select(F.to_json(F.struct(F.col("symbol").alias("ticker"), "results")).alias("payload"))
 
 
@@ -127,11 +130,11 @@ def _(spark, d):
 
 @query("src08_nearest_expiry", "session_date:d n:i expiry:d",
        q("""select s.session_date, count(*) as n, max(e) as expiry from (select distinct cast(ts as date) as session_date from events) s
-            join (select date '2024-01-01' + cast(p_size as int) as e from part where p_size % 3 = 0) c
-            on c.e = (select min(date '2024-01-01' + cast(p_size as int)) from part where p_size % 3 = 0 and date '2024-01-01' + cast(p_size as int) >= s.session_date)
+            join (select date '2024-01-01' + 3 * cast(p_size as int) as e from part) c
+            on c.e = (select min(date '2024-01-01' + 3 * cast(p_size as int)) from part where date '2024-01-01' + 3 * cast(p_size as int) >= s.session_date)
             group by 1"""))
 def _(spark, d):
-    c = fx.table(spark, d, "part").filter("p_size % 3 = 0").selectExpr("p_partkey as ticker", "date_add(date'2024-01-01', p_size) as expiry")
+    c = fx.table(spark, d, "part").selectExpr("p_partkey as ticker", "date_add(date'2024-01-01', 3 * p_size) as expiry")
     days = gr.with_session(fx.ticks(spark, d), CFG).select("session_date").distinct()
     return pl.nearest_expiry(c, days).groupBy("session_date").agg(F.count(F.lit(1)).alias("n"), F.max("expiry").alias("expiry"))
 
@@ -183,11 +186,11 @@ def _(spark, d):
 
 
 @query("src11_merged_stream", "kind:s seq:i ts:t spot:4 strike:1 premium:4",
-       q("""select 'spot' as kind, seq, ts, spot, null as strike, null as premium from ticks where session_date = date '2024-01-10'
-            union all select 'chain', seq, ts, null, strike, null from ladder where session_date = date '2024-01-10'
-            union all select 'flow', seq, ts, null, strike, premium from prints where session_date = date '2024-01-10'"""))
+       q("""select 'spot' as kind, seq, ts, spot, null as strike, null as premium from ticks
+            union all select 'chain', seq, ts, null, strike, null from ladder
+            union all select 'flow', seq, ts, null, strike, premium from prints"""))
 def _(spark, d):
-    return pl.merged_stream(fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d), "2024-01-10")
+    return pl.merged_stream(fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d))
 
 
 @query("src13_merged_boards", "node:s trials:i best:6",

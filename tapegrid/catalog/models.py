@@ -156,9 +156,9 @@ def _(spark, d):
     return fo.magnitude_table(_train(mag_rows(spark, d)))
 
 
-@query("ml07_predict_magnitude", KEY + "pred_up:1 pred_dn:1 net:1 dollars_up:2 dollars_dn:2 tag:s",
-       q("""select *, round_even(round(mu, 9), 1) as pred_up, round_even(round(md, 9), 1) as pred_dn, round_even(round(mu - md, 9), 1) as net, round_even(round(-log2(1 - least(mu, 9.99) / 10) * base, 9), 2) as dollars_up,
-            round_even(round(-log2(1 - least(md, 9.99) / 10) * base, 9), 2) as dollars_dn,
+@query("ml07_predict_magnitude", KEY + "pred_up:1 pred_dn:1 net:1 raw_up:6 raw_dn:6 tag:s",
+       q("""select *, round_even(round(mu, 9), 1) as pred_up, round_even(round(md, 9), 1) as pred_dn, round_even(round(mu - md, 9), 1) as net, -log2(1 - least(mu, 9.99) / 10) * base as raw_up,
+            -log2(1 - least(md, 9.99) / 10) * base as raw_dn,
             case when greatest(mu, md) >= 7.5 then 'move' when greatest(mu, md) >= 6 then 'elevated' else 'normal' end as tag
             from (select x.symbol, x.session_date, x.bar, x.base, t.mu, t.md from deciles x join mtable t on x.bucket = t.bucket and x.dec = t.rv_decile
                   where x.session_date >= date '2024-01-25' and t.mu is not null and t.md is not null)"""))

@@ -144,7 +144,7 @@ def magnitude_table(train: DataFrame, prob: float = 0.75, store=lambda d: d) ->
 
 
 def predict_magnitude(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Up and down magnitude, net, dollar moves by the inverse scale and a tag."""
+    """Up and down magnitude, net, moves by the inverse scale (``raw_up``, ``raw_dn``; in cents as ``dollars_up``, ``dollars_dn``) and a tag."""
     d = df.join(table, ["bucket", "rv_decile"], "left")
     mu, md = clip("mu", 0.0, 10.0), clip("md", 0.0, 10.0)
     top = F.greatest(mu, md)
@@ -155,6 +155,7 @@ def predict_magnitude(df: DataFrame, table: DataFrame) -> DataFrame:
 
     return d.withColumns({
         "pred_up": tidy(mu, 1), "pred_dn": tidy(md, 1), "net": tidy(mu - md, 1),
+        "raw_up": magnitude_to_move(mu, F.col("base")), "raw_dn": magnitude_to_move(md, F.col("base")),
         "dollars_up": tidy(magnitude_to_move(mu, F.col("base")), 2), "dollars_dn": tidy(magnitude_to_move(md, F.col("base")), 2),
         "tag": F.when(top >= 7.5, "move").when(top >= 6.0, "elevated").otherwise("normal")})
 

@@ -40,6 +40,12 @@ def resolve_header(columns: list[str], substring: bool = False) -> dict[str, str
     return found
 
 
+def file_position() -> Column:
+    """Place of a row in its files: path, start of the block, and the row's number within the task, which rises along a block. Only
+    right directly on a scan, before anything moves rows."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_ohlcv(spark: SparkSession, path: str, cfg: SessionConfig, symbol: str = "SPY") -> DataFrame:
     """Price bars with candle columns; missing candle columns are NULL. Regular hours, last row per ts."""
     raw = spark.read.csv(path, header=True)
@@ -48,7 +54,7 @@ def read_ohlcv(spark: SparkSession, path: str, cfg: SessionConfig, symbol: str =
         raise ValueError(f"no timestamp or close column in {raw.columns}")
     num = lambda r: try_double(raw[h[r]]) if r in h else F.lit(None).cast("double")
     d = raw.select(F.lit(symbol).alias("symbol"), clock.parse_timestamp(raw[h["ts"]], cfg.tz).alias("ts"), num("close").alias("spot"),
-                   num("open").alias("open"), num("high").alias("high"), num("low").alias("low"), num("volume").alias("volume"))
+                   num("open").alias("open"), num("high").alias("high"), num("low").alias("low"), num("volume").alias("volume"), file_position().alias("_place"))
     return finalise(d, cfg)
 
 
@@ -60,15 +66,15 @@ def read_prices(spark: SparkSession, path: str, cfg: SessionConfig, ts_col: str
     ts, px = ts_col or h.get("ts"), px_col or h.get("close")
     if ts is None or px is None:
         raise ValueError(f"no timestamp or price column in {raw.columns}")
-    d = raw.select(F.lit(symbol).alias("symbol"), clock.parse_timestamp(raw[ts], cfg.tz).alias("ts"), try_double(raw[px]).alias("spot"))
+    d = raw.select(F.lit(symbol).alias("symbol"), clock.parse_timestamp(raw[ts], cfg.tz).alias("ts"), try_double(raw[px]).alias("spot"), file_position().alias("_place"))
     return finalise(d, cfg)
 
 
 def finalise(df: DataFrame, cfg: SessionConfig) -> DataFrame:
-    """Regular hours, positive price, one row per (symbol, ts): the largest row wins ties deterministically."""
+    """Regular hours, positive price, one row per (symbol, ts): the last by sequence number, else by place in the files (``_place``)."""
     d = df.filter(F.col("ts").isNotNull() & clock.in_session(F.col("ts"), cfg) & (F.col("spot") > 0))
-    order = "seq" if "seq" in d.columns else "spot"
-    return keep_last(d, ["symbol", "ts"], [order])
+    order = next((c for c in ("seq", "_place") if c in d.columns), "spot")
+    return keep_last(d, ["symbol", "ts"], [order]).drop("_place")
 
 
 def stored_schema(keys: str, doubles: tuple[str, ...], texts: tuple[str, ...] = ()) -> str:
@@ -125,11 +131,12 @@ def with_today(history: DataFrame, today: DataFrame) -> DataFrame:
 
 def read_ladder_dir(spark: SparkSession, path: str, pattern: str = r"(\d{8}_\d{4})", fmt: str = "yyyyMMdd_HHmm",
                     tz: str = "America/New_York") -> DataFrame:
-    """Folder of ladder CSVs, one snapshot per file, timestamp in the file name."""
-    d = spark.read.csv(path, header=True)
-    stamp = F.try_to_timestamp(F.regexp_extract(F.col("_metadata.file_name"), pattern, 1), F.lit(fmt))
-    d = d.select(*[try_double(c).alias(c.lower()) for c in d.columns], F.to_utc_timestamp(stamp, tz).alias("ts"))
-    return d.filter(F.col("ts").isNotNull())
+    """Folder of ladder CSVs, one snapshot per file or folder, the timestamp in its name (the last match in the path). Of rows of one
+    snapshot and strike the last by place in the files stays."""
+    d = spark.read.option("recursiveFileLookup", "true").csv(path, header=True)
+    stamp = F.try_to_timestamp(F.try_element_at(F.regexp_extract_all(F.col("_metadata.file_path"), F.lit(pattern), F.lit(1)), F.lit(-1)), F.lit(fmt))
+    d = d.select(*[try_double(c).alias(c.lower()) for c in d.columns], F.to_utc_timestamp(stamp, tz).alias("ts"), file_position().alias("_place"))
+    return keep_last(d.filter(F.col("ts").isNotNull() & F.col("strike").isNotNull()), ["ts", "strike"], ["_place"]).drop("_place")
 
 
 def read_boards(spark: SparkSession, path: str) -> DataFrame:
