@@ -73,7 +73,7 @@ def test_live_ladder(spark):
     later = [("A", 100.0 + k, at(661 + k / 9), 20 + k, 1.0, 1.0) for k in range(4)]
     late = [("A", 102.0, at(603), 30, 99.0, 99.0), ("A", 103.0, at(603), 31, 99.0, 99.0)]
     beat = [(None, None, at(0, 2), None, None, None)]
-    df, counts = st.drained(st.ladder_stream(feed(spark, [bar[:2], bar[2:] + thin, later, late, beat], schema), 5), "ladder")
+    df, counts = st.drained(st.ladder_stream(feed(spark, [bar[:2], bar[2:] + thin, later[:2], later[2:], late, beat], schema), 5), "ladder")
     got = sorted((r.ts, r.strike, r.gex, r.oi) for r in df.collect())
     assert got == [(at(605), 100.0, 0.0, None), (at(605), 101.0, 1.0, 5.0), (at(605), 102.0, 2.0, None)] + [(at(665), 100.0 + k, 1.0, 1.0) for k in range(4)]
     assert counts["late"] == 2
