@@ -2,12 +2,14 @@
 
 1. Sketch: 48 minima of each text's shingles, 16 bands of three. A pair at 0.8 shares no band with a chance of 1 in 100,000.
    Texts of one multiset of shingles are one entry.
-2. Every entry of a band's bucket is paired with the smallest; pairs are verified by their shingle sets, components joined.
-3. Buckets that still hold several components are compared across them; pairs whose sketches agree in 26 or more of 48
-   places (under 1 in 10,000 at 0.8 has fewer) are verified too. No bucket is cut or sampled.
+2. Every entry of a band's bucket is paired with the smallest. Pairs whose sketches agree in fewer than 26 of 48 places (a pair at
+   0.8 has fewer with under 1 in 10,000) are dropped; the others are verified by their shingle sets, and components joined.
+3. Buckets that still hold several components are filed again under longer keys: two bands, then three (a pair at 0.8 shares fewer with
+   2 in 10,000 and 2 in 1,000). Again every entry is paired with the smallest only. So rows are a fixed multiple of the entries (16, at
+   most 120, at most 560 keys), however large a bucket is. No bucket is cut or sampled.
 
 Sets are built from 16-bit word codes, as alignments are. Words are lower-cased (A-Z). Texts under five words match whole.
-Null ids, null and empty texts stay. Rows of one id stay or go together.
+Null ids, null and empty texts stay. Rows of one id stay or go together; where their texts differ, the last by its codes is compared.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from tapegrid.llm.substring import SHINGLE, SIMILAR, _code_shingles, codes, comp
 from tapegrid.llm.text import STEP, fresh, map_docs, mix, shingles, words
 from tapegrid.plans.session import materialise
 
-HASHES, ROWS, AGREE = 48, 3, 26
+HASHES, ROWS, AGREE, DEPTH = 48, 3, 26, 3
 #: Odd multipliers, one a minimum.
 FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * STEP) | np.uint64(1)
 
@@ -83,20 +85,15 @@ def verified(inner: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     wanted = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("doc")).unionByName(pairs.select("a", "b", F.lit(1).alias("side"), F.col("b").alias("doc")))
     own = inner.join(wanted.select(F.col("doc").alias("_doc")).distinct(), F.col("doc_id") == F.col("_doc"), "left_semi")
     parts = wanted.join(codes(own), "doc").select("a", "b", "side", "codes")
-    return parts.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_verified(similar), "a long, b long")
+    return parts.repartition("a", "b").sortWithinPartitions("a", "b", "side", "codes").mapInArrow(_verified(similar), "a long, b long")
 
 
-def _across(batches):
-    """Pairs of different components within each bucket whose sketches agree; those with the bucket's smallest entry are known."""
-    for key, rep, root, sketch in complete(batches, 1):
-        marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(key), HASHES)
-        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        for x, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            for i in range(x + 1, z - 1):
-                j = i + 1 + np.flatnonzero(root[i + 1: z] != root[i])
-                j = j[(marks[j] == marks[i]).sum(1) >= AGREE]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), rep[i])), pa.array(rep[j])], names=["a", "b"])
+def _agreeing(batches):
+    """Pairs whose sketches agree in ``AGREE`` places or more; columns a, b and their sketches."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= AGREE))
 
 
 def groups(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,20 +101,31 @@ def groups(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", te
     inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
     rows = materialise(sketches(inner), "near")
     reps = materialise(rows.groupBy("whole").agg(F.min("doc").alias("rep"), F.min_by(F.struct("sketch", "bands"), "doc").alias("s")).select("whole", "rep", "s.*"), "near-distinct")
-    filed = reps.select("rep", F.explode("bands").alias("key"))
-    crowds = filed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("_top")).filter("_top > lead").drop("_top")
-    filed = materialise(filed.join(crowds, "key"), "near-buckets")
-    known = materialise(filed.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    links = materialise(verified(inner, known, similar), "near-links")
-    roots = components(links)
-    rooted = filed.join(roots, filed.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    rooted = materialise(rooted, "near-rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_top > _low AND _n > 2").select("key")
-    across = (rooted.join(mixed, "key").join(reps.select("rep", "sketch"), "rep").select("key", "rep", "root", "sketch")
-              .repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_across, "a long, b long"))
-    more = materialise(across.distinct().join(known, ["a", "b"], "left_anti"), "near-pairs")
-    final = components(links.unionByName(verified(inner, more, similar)))
-    tops = reps.join(final, reps.rep == final.node, "left").select("whole", F.coalesce("root", "rep").alias("root"))
+    sketch = reps.groupBy("rep").agg(F.min("sketch").alias("sketch"))  # an id whose rows differ has several
+    filed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    links = tried = roots = None
+    for depth in range(DEPTH):
+        leads = filed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("_top")).filter("_top > lead").drop("_top")
+        filed = materialise(filed.join(leads, "key"), "near-buckets")
+        pairs = filed.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        both = (pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("_x")), "a")
+                .join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("_y")), "b").select("a", "b", "_x", "_y"))
+        close = materialise(both.mapInArrow(_agreeing, "a long, b long"), "near-close")
+        found = materialise(verified(inner, close, similar), "near-links")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        if depth + 1 == DEPTH:
+            break
+        rooted = filed.join(roots, filed.rep == roots.node, "left").select("key", "rep", "band", F.coalesce("root", "rep").alias("root"))
+        rooted = materialise(rooted, "near-rooted")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_top"), F.count(F.lit(1)).alias("_n")).filter("_top > _low AND _n > 2").select("key")
+        deeper = rooted.join(mixed, "key").join(reps.select("rep", F.posexplode("bands").alias("_next", "_band")), "rep").filter("_next > band")
+        filed = materialise(deeper.select("rep", F.col("_next").alias("band"), F.xxhash64("key", "_next", "_band").alias("key")), "near-filed")
+        if filed.isEmpty():
+            break
+    tops = reps.join(roots, reps.rep == roots.node, "left").select("whole", F.coalesce("root", "rep").alias("root"))
     return rows.select("doc", "whole").join(tops, "whole").select("doc", "root")
 
 

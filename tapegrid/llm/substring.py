@@ -9,7 +9,7 @@
 2. Chains: the ordered matches of a document with one anchor are chained by a Fenwick tree over anchor positions,
    weight less a cost for each word of a gap.
 3. Alignment: the windows of each chain are fetched as word codes, their shared shingles joined into exact runs, chained
-   again, and the gaps between runs aligned word by word. Stretches in which 0.8 or more of the five-word shingles
+   again, and the gaps between runs aligned word by word. The longest stretches in which 0.8 or more of the five-word shingles
    are shared, of at least ``least`` = 50 words, are passages.
 
 Words are lower-cased (A-Z). Seeds and codes are hashes (64 and 16 bits). Every row's whole text takes part. Rows
@@ -263,45 +263,99 @@ def runs(d: np.ndarray, a: np.ndarray, diagonal: int) -> list[tuple[int, int, in
 
 
 def common(x: list[int], y: list[int]) -> int:
-    """Words that an alignment of two short gaps keeps."""
-    if not x or not y or len(x) * len(y) > 2500:
+    """Words that an alignment of two gaps keeps (longest common subsequence, one bit a word of ``x``)."""
+    if not x or not y:
         return 0
-    row = [0] * (len(y) + 1)
-    for v in x:
-        prior = 0
-        for j, u in enumerate(y):
-            prior, row[j + 1] = row[j + 1], prior + 1 if v == u else max(row[j], row[j + 1])
-    return row[-1]
+    places: dict[int, int] = {}
+    for i, v in enumerate(x):
+        places[v] = places.get(v, 0) | 1 << i
+    whole = (1 << len(x)) - 1
+    row = whole
+    for v in y:
+        hit = row & places.get(v, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(x) - row.bit_count()
+
+
+def longest(first: list[int], last: list[int], gain: list[float], loss: list[float], least: int) -> list[tuple[int, int]]:
+    """Pieces (from, to) of a chain of runs [first, last): the longest whose gains less the losses between its runs are not negative, then the
+    longest of what is left on either side, as long as they span ``least``. ``loss`` of a run is that of the gap before it."""
+    out, rest = [], [(0, len(first))]
+    while rest:
+        lo, hi = rest.pop()
+        if hi <= lo or last[hi - 1] - first[lo] < least:
+            continue
+        before, after, total = [], [], 0.0  # sums up to the start of a run and to its end
+        for k in range(lo, hi):
+            total -= loss[k] if k > lo else 0
+            before.append(total)
+            total += gain[k]
+            after.append(total)
+        starts = []  # runs whose sum before them is smaller than of all earlier ones
+        for k, x in enumerate(before):
+            if not starts or x < before[starts[-1]]:
+                starts.append(k)
+        best, size = None, least - 1
+        for k in range(hi - lo - 1, -1, -1):
+            while starts and before[starts[-1]] <= after[k] + 1e-9:
+                i = starts.pop()
+                if i <= k and last[lo + k] - first[lo + i] > size:
+                    best, size = (lo + i, lo + k), last[lo + k] - first[lo + i]
+            if not starts:
+                break
+        if best is not None:
+            out.append(best)
+            rest += [(lo, best[0]), (best[1] + 1, hi)]
+    return sorted(out)
+
+
+def edge(d: np.ndarray, a: np.ndarray, i: int, j: int, step: int) -> tuple[int, int]:
+    """Words of d and of a by which a piece that ends between i - 1 and i (``step`` -1: begins at i) goes on behind one edited word: fewer than a
+    shingle, all equal. (0, 0) where none are."""
+    best = (0, 0)
+    for skip_d, skip_a in ((1, 1), (1, 0), (0, 1)):
+        n = 0
+        while n < SHINGLE - 1:
+            x, y = (i + skip_d + n, j + skip_a + n) if step > 0 else (i - 1 - skip_d - n, j - 1 - skip_a - n)
+            if not (0 <= x < len(d) and 0 <= y < len(a)) or d[x] != a[y]:
+                break
+            n += 1
+        if n and skip_d + n > best[0]:
+            best = (skip_d + n, skip_a + n)
+    return best
 
 
 def passages(d: np.ndarray, a: np.ndarray, diagonal: int, least: int = LEAST, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float, float]]:
-    """Fuzzy passages of two windows: (d start, d end, a start, a end, shingle similarity, word identity)."""
+    """Fuzzy passages of two windows: (d start, d end, a start, a end, shingle similarity, word identity).
+
+    Of every chain of exact runs the longest pieces in which ``similar`` or more of the shingles are shared, and at both ends the equal words, fewer
+    than a shingle, behind one edited word, as long as that still holds.
+    """
     blocks = runs(d, a, diagonal)
     out = []
     p0, a0 = [b[0] for b in blocks], [b[1] for b in blocks]
     p1, a1 = [b[0] + b[2] for b in blocks], [b[1] + b[2] for b in blocks]
-    price = similar / (1 - similar)
+    price = similar / (1 - similar) if similar < 1 else 1e9
+    room = 2 * SHINGLE  # both ends may grow by that
     for c in chains(p0, a0, p1, a1, [b[2] for b in blocks], 0.1) if blocks else []:
+        first, last = [p0[i] for i in c], [p1[i] for i in c]
         gain = [p1[i] - p0[i] - SHINGLE + 1 for i in c]
-        loss = [0] + [max(p0[j] - p1[i], a0[j] - a1[i]) + SHINGLE - 1 for i, j in zip(c, c[1:])]
-        at = 0
-        while at < len(c):
-            total, top, end, shared = 0.0, 0.0, at, 0
-            for i in range(at, len(c)):
-                total += gain[i] - (price * loss[i] if i > at else 0)
-                if total < 0:
-                    break
-                if total >= top:
-                    top, end = total, i
-            first, last = c[at], c[end]
-            length = max(p1[last] - p0[first], a1[last] - a0[first])
-            if p1[last] - p0[first] >= least:
-                shared = sum(gain[at: end + 1])
-                same = sum(p1[i] - p0[i] for i in c[at: end + 1])
-                for i, j in zip(c[at:end], c[at + 1: end + 1]):
-                    same += common(d[p1[i]: p0[j]].tolist(), a[a1[i]: a0[j]].tolist())
-                out.append((p0[first], p1[last], a0[first], a1[last], shared / (length - SHINGLE + 1), same / length))
-            at = end + 1
+        lost = [0] + [max(p0[j] - p1[i], a0[j] - a1[i]) + SHINGLE - 1 for i, j in zip(c, c[1:])]
+        for x, y in longest(first, last, gain, [price * v for v in lost], max(1, least - room)):
+            shared, gone = sum(gain[x: y + 1]), sum(lost[x + 1: y + 1])
+            same = sum(last[x: y + 1]) - sum(first[x: y + 1])
+            for i, j in zip(c[x:y], c[x + 1: y + 1]):
+                same += common(d[p1[i]: p0[j]].tolist(), a[a1[i]: a0[j]].tolist())
+            s, e, t, u = p0[c[x]], p1[c[y]], a0[c[x]], a1[c[y]]
+            for step in (-1, 1):
+                more = edge(d, a, s, t, -1) if step < 0 else edge(d, a, e, u, 1)
+                if more[0] and shared >= price * (gone + max(more)) - 1e-9:
+                    gone += max(more)
+                    same += min(more) - (more[0] == more[1])
+                    s, t, e, u = (s - more[0], t - more[1], e, u) if step < 0 else (s, t, e + more[0], u + more[1])
+            if e - s >= least:
+                length = max(e - s, u - t)
+                out.append((s, e, t, u, shared / (length - SHINGLE + 1), same / length))
     return out
 
 
@@ -314,7 +368,7 @@ def _aligned(least: int, similar: float):
             edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
             rows = []
             for x, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                both = {int(side[i]): i for i in range(x, z)}  # rows of one id: the last of them stands for all
+                both = {int(side[i]): i for i in range(x, z)}  # rows of one id: the last by their codes stands for all
                 if len(both) < 2:
                     continue
                 i, j = both[0], both[1]
@@ -347,7 +401,7 @@ def repeats(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR, windo
     wanted = (linked.select("id", F.lit(0).alias("side"), "doc", lo("d0").alias("lo"), (F.col("d1") + MARGIN).alias("hi"))
               .unionByName(linked.select("id", F.lit(1).alias("side"), F.col("anchor").alias("doc"), lo("a0").alias("lo"), (F.col("a1") + MARGIN).alias("hi"))))
     parts = wanted.join(codes(inner), "doc").select("id", "side", "doc", "lo", F.expr("substring(codes, 2 * lo + 1, 2 * (hi - lo))").alias("raw"))
-    return parts.repartition("id").sortWithinPartitions("id", "side").mapInArrow(_aligned(least, similar), PASSAGE)
+    return parts.repartition("id").sortWithinPartitions("id", "side", "raw").mapInArrow(_aligned(least, similar), PASSAGE)
 
 
 def report(docs: DataFrame) -> DataFrame:

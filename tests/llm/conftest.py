@@ -1,3 +1,4 @@
+import functools
 import random
 import sys
 from pathlib import Path
@@ -9,10 +10,15 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@functools.cache
+def words_of(vocabulary):
+    base = random.Random(99)
+    return ["".join(base.choice("abcdefghijklmnoprstuvwé") for _ in range(base.randint(2, 9))) for _ in range(vocabulary)]
+
+
 def prose(n, seed, vocabulary=3000):
     rng = random.Random(seed)
-    base = random.Random(99)
-    pool = ["".join(base.choice("abcdefghijklmnoprstuvwé") for _ in range(base.randint(2, 9))) for _ in range(vocabulary)]
+    pool = words_of(vocabulary)
     out, line = [], []
     for i in range(n):
         line.append(pool[min(int(rng.paretovariate(0.7)) - 1, vocabulary - 1)])

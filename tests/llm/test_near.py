@@ -63,15 +63,40 @@ def test_groups_equal_brute_force(frame):
     assert {r.doc_id for r in near.keep_first(frame(texts)).collect()} == set(want)
 
 
-def test_substring_stage_drops_near_copies(frame, spark):
+def test_stage_drops_near_copies(frame, spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     base = prose(200, 1, 100_000).split()
     copy = list(base)
-    copy[60] = copy[140] = "zzzz"
+    copy[60] = copy[140] = "zzzz"  # more than two bits apart
     texts = [" ".join(base), prose(200, 2, 100_000), " ".join(copy)]
-    docs = pipeline.simhash_near_dedup(spark, frame(texts), "")
-    assert docs.count() == 3  # more than two bits apart
-    assert {r.doc_id for r in pipeline.substring_dedup(spark, docs, "").collect()} == {0, 1}
+    assert {r.doc_id for r in pipeline.simhash_near_dedup(spark, frame(texts), "").collect()} == {0, 1}
+
+
+def test_crowds_stay_linear(spark, monkeypatch):
+    """3,000 near copies of one text and 600 texts that share half of their words with it: rows of every step are a fixed multiple of the entries."""
+    rng = random.Random(9)
+    base = prose(200, 4, 100_000).split()
+    texts = [" ".join(edited(base, rng.randint(1, 2), rng)) for _ in range(3000)]
+    for i in range(600):
+        own = prose(100, 10_000 + i // 3, 100_000).split()
+        texts.append(" ".join(base[:100] + edited(own, 1 if i % 3 else 0, rng)))
+    rows = {}
+    real = near.materialise
+
+    def counted(df, label):
+        out = real(df, label)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near, "materialise", counted)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r.doc: r.root for r in near.groups(docs).collect()}
+    n = len(texts)
+    assert rows["near-pairs"] <= 16 * n and rows["near-buckets"] <= 120 * n and rows["near-close"] <= 16 * n
+    assert sum(got[i] == got[0] for i in range(3000)) >= 0.99 * 3000
+    sets = [shingle_set(t) for t in texts]
+    linked = [(i, j) for k in range(200) for i in [3000 + 3 * k] for j in (i + 1, i + 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(linked) > 300 and sum(got[i] == got[j] for i, j in linked) >= 0.98 * len(linked)
 
 
 def test_odd_rows(odd, none):
