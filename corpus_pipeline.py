@@ -19,14 +19,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near duplicates, the one with the smallest id: groups by fingerprints at most two bits apart, then, of what
+    they leave, by a five-word Jaccard similarity of 0.8 or more (such pairs often differ in more bits)."""
+    return near.keep_first(materialise(simhash.keep_first(docs), "fingerprints"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies at a five-word Jaccard similarity of 0.8 or more that the fingerprints left go whole; then passages of
-    50 words and more stay in the first document that holds them."""
-    return substring.remove(materialise(near.keep_first(docs), "near_copies"))
+    """Passages of 50 words and more stay in the first document that holds them."""
+    return substring.remove(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
