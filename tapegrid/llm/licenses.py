@@ -153,13 +153,37 @@ class Scanner:
             if any(k in joined for k in keys):
                 for p, label, pat in own:
                     found += [(m.start(), m.end(), label, p) for m in pat.finditer(joined)]
-        found.sort(key=lambda f: (-f[3], f[0] - f[1], f[0], f[2]))
-        kept: list[tuple[int, int, str, int]] = []
-        for f in found:
-            if not any(k[0] <= f[0] and f[1] <= k[1] for k in kept):
-                kept.append(f)
-        at = lambda x: joined.count(b" ", 0, x)
-        return sorted((at(a) - 1, at(b), label, p) for a, b, label, p in kept)
+        if not found:
+            return []
+        at = word_numbers(joined)
+        return sorted((at(a) - 1, at(b), label, p) for a, b, label, p in unsuppressed(found))
+
+
+def unsuppressed(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Detections (start, end, label, priority) that lie in no other kept one, by priority, then length, then place. A Fenwick tree over the starts
+    keeps the furthest end of those kept so far, so a text with n detections takes n log n steps."""
+    starts = sorted({f[0] for f in found})
+    rank = {x: i + 1 for i, x in enumerate(starts)}
+    furthest, kept = [-1] * (len(starts) + 1), []
+    for f in sorted(found, key=lambda f: (-f[3], f[0] - f[1], f[0], f[2])):
+        r, end = rank[f[0]], -1
+        while r:
+            end = max(end, furthest[r])
+            r -= r & -r
+        if end >= f[1]:
+            continue
+        kept.append(f)
+        r = rank[f[0]]
+        while r < len(furthest):
+            furthest[r] = max(furthest[r], f[1])
+            r += r & -r
+    return kept
+
+
+def word_numbers(joined: bytes):
+    """Number of blanks before a byte of the joined words."""
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return lambda x: int(np.searchsorted(blanks, x))
 
 
 def scan_text(scanner: Scanner, raw: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, int]]]:
@@ -170,8 +194,9 @@ def scan_text(scanner: Scanner, raw: bytes) -> tuple[int, list[tuple[int, str]],
     for phrase, label in PHRASES:
         needle, pos = f" {phrase} ".encode(), -1
         while (pos := joined.find(needle, pos + 1)) >= 0:
-            base.append((joined.count(b" ", 0, pos), label))
-    return len(own), base, scanner.detect(joined)
+            base.append((pos, label))
+    at = word_numbers(joined) if base else None
+    return len(own), [(at(x), label) for x, label in base], scanner.detect(joined)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra_rules: list[tuple[int, str, str, str]] | None = None) -> DataFrame:

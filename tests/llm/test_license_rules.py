@@ -1,7 +1,9 @@
 """Every rule detects an example of each of its alternatives through the prefilter."""
 
 import itertools
+import random
 import re
+import time
 from re import _constants as c, _parser
 
 import pytest
@@ -54,3 +56,26 @@ def test_named_cases(text, label):
 def test_keywords_of_a_family():
     assert licenses.names(r"(?:gnu )?(?:gpl|general public)") == " gpl| general public"
     assert all(re.search("[a-z]", k) for _, name, _ in licenses.FAMILIES for k in licenses.names(name).split("|"))
+
+
+def test_suppression_equals_all_comparisons():
+    rng = random.Random(6)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randint(0, 25)):
+            a = rng.randint(0, 30)
+            found.append((a, a + rng.randint(1, 12), rng.choice("ab"), rng.choice((50, 70, 90))))
+        kept = []
+        for f in sorted(found, key=lambda f: (-f[3], f[0] - f[1], f[0], f[2])):
+            if not any(k[0] <= f[0] and f[1] <= k[1] for k in kept):
+                kept.append(f)
+        assert licenses.unsuppressed(found) == kept
+
+
+def test_long_repetitive_text_is_scanned_in_linear_time():
+    scanner = licenses.Scanner()
+    raw = b"public domain x all rights reserved " * 20_000
+    began = time.process_time()
+    n, base, found = licenses.scan_text(scanner, raw)
+    assert time.process_time() - began < 3
+    assert n == 120_000 and len(base) == 20_000 and [w for w, _ in base] == list(range(3, n, 6)) and found
