@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapegrid.catalog.features import CFG, grid, price_grid
 from tapegrid.catalog.registry import query
 from tapegrid.catalog.sqlbase import SW, define, q
-from tapegrid.config import FeatureConfig
+from tapegrid.config import SEQUENCE_EXCLUDE, FeatureConfig
 from tapegrid.operators import features as fe, grid as gr, scaling as sc, sequences as sq, splits as sp, targets as tg
 from tapegrid.operators.windows import SESSION
 from tapegrid.plans import fixtures as fx
@@ -351,12 +351,22 @@ def _(spark, d):
                     k[2][0].alias("ahead"), k[2][1].alias("frac"), k[2][2].alias("sine"), k[4][1].alias("frac_eod"))
 
 
-@query("flt07_column_exclusion", "column_name:s",
-       "select * from (values ('symbol'), ('session_date'), ('bar'), ('spot'), ('ret_1m'), ('rv_1m')) as v(column_name)")
+PROFILED = ["spot", "ret_1m", "rv_1m", "ret_10m", "ret_20m", "rv_1m_d5m", "dead", "gap", "thin"]
+define("lagged", f"""select spot, ret_1m, rv_1m, coalesce(ln(spot) - lag(ln(spot), 10) over {SW}, 0) as ret_10m, coalesce(ln(spot) - lag(ln(spot), 20) over {SW}, 0) as ret_20m,
+    coalesce(rv_1m - lag(rv_1m, 5) over {SW}, 0) as rv_1m_d5m, 1.0 as dead, case when bar >= 120 then spot end as gap, case when bar >= 300 then spot end as thin from price""")
+
+
+def profiled(cols, source):
+    return " union all ".join(f"select '{c}' as column_name, count(*) as n, count(*) - count({c}) as nulls, min({c}) as low, max({c}) as high from {source}" for c in cols)
+
+
+def lagged_frame(spark, d):
+    lagged = fe.lag_block(price_grid(spark, d).select(*SESSION, "bar", "spot", "ret_1m", "rv_1m"), FeatureConfig(lag_return_rows=(1, 10, 20), lag_state_rows=(5,)))
+    late = lambda b: F.when(F.col("bar") >= b, F.col("spot"))
+    return lagged.withColumns({"dead": F.lit(1.0), "gap": late(120), "thin": late(300)})
+
+
+@query("flt07_column_exclusion", "column_name:s n:i nulls:i low:6 high:6 kept:b",
+       q(f"""select *, not regexp_matches(column_name, '{SEQUENCE_EXCLUDE}') and coalesce(nulls <= 0.5 * n and low < high, false) as kept from ({profiled(PROFILED, "lagged")})"""))
 def _(spark, d):
-    lagged = fe.lag_block(price_grid(spark, d).select(*SESSION, "bar", "spot", "ret_1m", "rv_1m"),
-                          FeatureConfig(lag_return_rows=(1, 10, 20)))
-    kept = sq.sequence_columns(lagged.columns)
-    # names observed on the data: one row per kept column that the frame really has
-    one = lagged.select(*kept).agg(F.count(F.lit(1)).alias("n"))
-    return one.select(F.explode(F.array(*[F.lit(c) for c in kept])).alias("column_name"))
+    return sq.usable(sq.column_profile(lagged_frame(spark, d), PROFILED))

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 import tapegrid.catalog.io  # noqa: F401
 from tapegrid.catalog.features import CFG, grid, price_grid
-from tapegrid.catalog.labels import feats, mags
+from tapegrid.catalog.labels import PROFILED, feats, lagged_frame, mags, profiled
 from tapegrid.catalog.registry import query
 from tapegrid.catalog.sqlbase import define, q
 from tapegrid.config import FAMILIES
 from tapegrid.functions import clock
 from tapegrid.functions.market import family
-from tapegrid.operators import evaluate as ev, features as fe, forecast as fo, ladder as ld, physics as ph, quality as qa, splits as sp, targets as tg
+from tapegrid.operators import evaluate as ev, features as fe, forecast as fo, ladder as ld, physics as ph, quality as qa, sequences as sq, splits as sp, targets as tg
 from tapegrid.operators.windows import SESSION
 from tapegrid.plans import assembly as asm, fixtures as fx
 from tapegrid.plans.session import materialise
@@ -82,14 +82,14 @@ AUDIT = ["ret_1m", "hist_gap_pct", "pos_in_session_range", "session_range", "fla
 _FAM = "case " + " ".join(f"when regexp_matches(c, '(?i){p}') then '{n}'" for n, p in FAMILIES) + " else 'Other' end"
 
 
-@query("up11_family", "column_name:s family:s",
-       f"""select c as column_name, {_FAM} as family from (values ('ret_10m'), ('gex_hhi'), ('charm_band_net'), ('iv_call_atm'), ('net_prem_5m'), ('call_oi'),
-           ('put_vol'), ('sweep_notional_15m'), ('max_pain'), ('bar_body_frac'), ('ret_1m'), ('rv_1m'), ('session_sin'), ('dow'), ('otm_skew_level')) as v(c)""")
+BOOK = ["gex", "vanna", "charm", "call_oi", "put_oi", "call_prem", "put_ask_prem", "call_vol", "put_vol"]
+
+
+@query("up11_family", "column_name:s family:s nulls:i high:4",
+       q(f"""select *, {_FAM} as family from (select *, column_name as c from ({profiled(PROFILED, "lagged")} union all {profiled(BOOK, "ladder")}))"""))
 def _(spark, d):
-    names = ["ret_10m", "gex_hhi", "charm_band_net", "iv_call_atm", "net_prem_5m", "call_oi", "put_vol", "sweep_notional_15m", "max_pain", "bar_body_frac",
-             "ret_1m", "rv_1m", "session_sin", "dow", "otm_skew_level"]
-    one = fx.ticks(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    return one.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("column_name")).withColumn("family", family(F.col("column_name")))
+    both = sq.column_profile(lagged_frame(spark, d), PROFILED).unionByName(sq.column_profile(fx.ladder(spark, d), BOOK))
+    return both.withColumn("family", family(F.col("column_name")))
 
 
 define("fa", "select *, spot_hi - spot_lo as session_range, 1.0 as dead from feat join "

@@ -19,6 +19,27 @@ def sequence_columns(cols: list[str], exclude: str | None = SEQUENCE_EXCLUDE) ->
     return [c for c in cols if not (exclude and re.search(exclude, c))]
 
 
+def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, n, nulls, low, high) of numeric columns: one pass over the rows, then one row a column."""
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{i}") for i, c in enumerate(cols)
+                                                 for k, f in (("c", F.count), ("l", lambda x: F.min(F.col(x).cast("double"))), ("h", lambda x: F.max(F.col(x).cast("double"))))])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), (F.col("n") - F.col(f"c_{i}")).alias("nulls"), F.col(f"l_{i}").alias("low"), F.col(f"h_{i}").alias("high"))
+                     for i, c in enumerate(cols)])
+    return one.select(F.inline(rows))
+
+
+def usable(profile: DataFrame, exclude: str | None = SEQUENCE_EXCLUDE, most_null: float = 0.5) -> DataFrame:
+    """A profile with ``kept``: the name is not excluded, at most ``most_null`` of the values are missing, and they are not all the same."""
+    named = ~F.col("column_name").rlike(exclude) if exclude else F.lit(True)
+    return profile.withColumn("kept", named & F.coalesce((F.col("nulls") <= most_null * F.col("n")) & (F.col("low") < F.col("high")), F.lit(False)))
+
+
+def choose_columns(df: DataFrame, cols: list[str], exclude: str | None = SEQUENCE_EXCLUDE, most_null: float = 0.5) -> list[str]:
+    """Columns that the frame's own profile keeps, in their order: the projection is then pruned at plan time. The driver sees one row a column."""
+    held = {r.column_name for r in usable(column_profile(df, cols), exclude, most_null).filter("kept").collect()}
+    return [c for c in cols if c in held]
+
+
 def windows(df: DataFrame, cols: list[str], lookback: int) -> DataFrame:
     """``x_seq``: the last ``lookback`` rows as array<array<float>>, full windows of one session only."""
     row = F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in cols])
