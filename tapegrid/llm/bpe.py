@@ -1,14 +1,12 @@
-"""Byte-level BPE as a deterministic tokenization automaton, for encoding and decoding whole texts.
+"""Byte-level BPE after the tokenization automaton of a merge list, for encoding and decoding whole texts.
 
-The automaton's states stand for the last token read; an arc labelled with token t leaves state p if and only if t may follow p in
-a correct tokenization. It is compiled by successive merge gadgets, one for each merge (u, v) in order: wherever an
-arc u is followed by an arc v, the arc v is removed behind u and an arc uv added, which leads to what
-was behind v at that moment. So the state behind uv inherits the restrictions that v's state had then. Arcs
-are not written out (tokens times tokens); each gadget is stored as three table entries, and an arc's existence is read from
-them once and remembered.
+In the automaton states stand for the last token read; an arc labelled with token t leaves state p if and only if t may follow p in
+a correct tokenization. Merge gadgets define it, one for each merge (u, v) in order: wherever an arc u is followed by an arc v, the arc v is removed
+behind u and an arc uv added, which leads to what was behind v at that moment.
 
-A pre-split word has exactly one path whose labels spell it. It is walked by table-driven transitions over a trie of
-labels: longest label first, a shorter one where the arc is missing or the rest has no path. Decoding emits arc labels.
+No deterministic automaton is compiled here: its arcs (tokens times tokens) are not written out. Each merge is kept as its rank and parts, and
+whether an arc exists is found on demand by unwinding the merges of both tokens, then remembered. A pre-split word has exactly one path whose labels spell
+it; it is searched longest label first, with a step back where an arc is missing or the rest has no path. Decoding emits arc labels.
 
 Splitting follows the byte-level pattern of the tokenizer file. Words are cut at spaces first and each distinct word
 is encoded once in a worker (a cache of bounded size); whole texts are read, nothing is cut.

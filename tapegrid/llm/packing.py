@@ -8,8 +8,9 @@ the cluster and ranked inside their length. One superstep takes all pieces of on
 * conflicts: pieces that want the same run of gaps take its gaps in order of their rank, as many in one gap as fit;
 * update: gaps taken move to their new run; pieces without a gap open new sequences, again by rank.
 
-A length has at most ``capacity`` values, so the step's messages are counts by length and its decisions are intervals of
-ranks, both bounded by the capacity and not by the data. Decisions are shared with all tasks, and each task places its own pieces.
+The steps run on the driver, over counts: a length has at most ``capacity`` values, so what it holds are counts by length and its decisions are
+intervals of ranks, both bounded by the capacity and not by the data. Gaps are no table of the cluster. Decisions are shared with all tasks, and
+each task places its own pieces.
 The outcome is that of best-fit decreasing over all pieces.
 
 Null or empty text: a piece of one end id. Repeated rows are packed each. Null ids pass through. Empty table: no rows.
