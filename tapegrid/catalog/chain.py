@@ -10,6 +10,7 @@ from tapegrid.catalog.features import CFG, grid
 from tapegrid.catalog.registry import query
 from tapegrid.catalog.sqlbase import define, q
 from tapegrid.functions import market as mk
+from tapegrid.functions import pricing as pr
 from tapegrid.functions.pricing import option_delta
 from tapegrid.operators import chain as ch, features as fe, ladder as ld
 from tapegrid.operators.windows import SESSION
@@ -259,13 +260,85 @@ def _(spark, d):
     return greek_rows(spark, d).groupBy(*SESSION, "bar").agg(F.min_by("strike", near).alias("strike"))
 
 
-@query("lad22_implied_vol", KEY + "strike:1 type:s iv:6")
+def _ncdf(x: str) -> str:
+    """SQL text of the normal distribution function (checked against the error function's series by lad21_delta)."""
+    a = f"abs({x})"
+
+    def poly(cs):
+        out = f"{cs[0]!r}::double"
+        for c in cs[1:]:
+            out = f"({out} * {a} + {c!r}::double)"
+        return out
+
+    up = (f"(case when {a} > 37 then 0.0 when {a} < {pr.SPLIT!r} then exp(-{x} * {x} / 2) * {poly(pr.TOP)} / {poly(pr.BOTTOM)} "
+          f"else exp(-{x} * {x} / 2) / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65))))) / 2.506628274631::double end)")
+    return f"(case when {x} > 0 then 1 - {up} else {up} end)"
+
+
+def bisected(rows: str, rate: float, edge: str, steps: int = 50) -> str:
+    """SQL of implied volatility by bisection: ``rows`` needs symbol, session_date, bar, strike, type, c, spot, t."""
+    keys = "symbol, session_date, bar, strike, type, c, spot, t"
+    return f"""select {keys}, (lo + hi) / 2 as iv from (with recursive walk as (
+        select {keys}, 0.01::double as lo, 5.0::double as hi, 0 as n from ({rows})
+        where spot > 0 and t > 0 and c - greatest(case type when 'C' then spot - strike else strike - spot end, 0) > {edge}
+        union all
+        select {keys}, case when value > c then lo else mid end, case when value > c then mid else hi end, n + 1 from
+            (select *, case type when 'C' then spot * {_ncdf('d1')} - kd * {_ncdf('d2')} else kd * (1 - {_ncdf('d2')}) - spot * (1 - {_ncdf('d1')}) end as value from
+                (select *, d1 - mid * sqrt(t) as d2, strike * exp(-{rate} * t) as kd from
+                    (select *, (ln(spot / strike) + ({rate} + mid * mid / 2) * t) / (mid * sqrt(t)) as d1 from
+                        (select *, (lo + hi) / 2 as mid from walk where n < {steps})))))
+        select * from walk where n = {steps})"""
+
+
+define("optspot", """select b.symbol, b.session_date, b.bar, b.strike, b.type, b.c, b.v, b.side, g.spot, greatest((390 - b.bar) / 525600.0, 0) as t
+    from sided b left join pgrid g on b.symbol = g.symbol and b.session_date = g.session_date and b.bar = g.bar""")
+define("optsolved", bisected("select * from optspot", 0.0, "1e-4"))
+define("optvol", """select o.*, case when i.iv < 4.999 then i.iv end as iv from optspot o left join optsolved i
+    on o.symbol = i.symbol and o.session_date = i.session_date and o.bar = i.bar and o.strike = i.strike and o.type = i.type""")
+
+
+@query("lad22_implied_vol", KEY + "strike:1 type:s iv:6", q("select * from optvol"))
 def _(spark, d):
     b = bars(spark, d)
     return ch.enrich(b, CFG, ch.parity_grid(b, CFG))
 
 
-@query("lad24_session_build", KEY + "strike:1 call_vol:0 put_vol:0 call_cumvol:0 put_cumvol:0 gex:2 gex_signed:2 spot:5")
+define("optsolved2", bisected("select symbol, session_date, bar, strike, type, c, spot, greatest(390 - bar, 1) / 98280.0 as t from optspot", mk.TRADING_RATE, "1e-6"))
+
+
+@query("udf06_implied_vol", KEY + "strike:1 type:s iv:6",
+       q("""select o.*, i.iv from optspot o left join optsolved2 i
+            on o.symbol = i.symbol and o.session_date = i.session_date and o.bar = i.bar and o.strike = i.strike and o.type = i.type"""))
+def _(spark, d):
+    """The solver called from SQL text, at the trading-year conventions."""
+    pr.register(spark)
+    b = bars(spark, d)
+    return spark.sql("""select b.*, implied_vol_bounded(b.c, g.spot, b.strike, greatest(390 - b.bar, 1) / 98280.0D, b.type = 'C', 0.045D) as iv
+                        from {b} b left join {g} g on b.symbol = g.symbol and b.session_date = g.session_date and b.bar = g.bar""",
+                     b=b, g=ch.parity_grid(b, CFG))
+
+
+_GF = _G.replace("sqrt(t)", "sqrt(tt)").format("((ln(s / k) + 0.5 * f * f * tt) / (f * sqrt(tt)))", "f")
+define("rich24", f"""select *, cast(ceil(bar / 60.0) * 60 as int) as snap, {_GF} as gamma, case side when 'ask' then v when 'bid' then -v else 0 end as sv from
+    (select *, spot as s, strike as k, greatest(t, 1e-9) as tt,
+     coalesce(last_value(iv ignore nulls) over (partition by symbol, session_date, strike, type order by bar rows unbounded preceding), 0.2) as f from optvol)""")
+define("agg24", """select symbol, session_date, snap as bar, strike, sum(v) filter (type = 'C') as cv, sum(v) filter (type = 'P') as pv,
+    sum(sv) filter (type = 'C') as cs, sum(sv) filter (type = 'P') as ps, avg(gamma) filter (type = 'C') as cg, avg(gamma) filter (type = 'P') as pg
+    from rich24 group by 1, 2, 3, 4""")
+define("spot24", "select symbol, session_date, cast(ceil(bar / 60.0) * 60 as int) as bar, arg_max(spot, bar) as spot from pgrid where spot is not null group by 1, 2, 3")
+_RUN = "over (partition by symbol, session_date, strike order by bar rows unbounded preceding)"
+define("fill24", f"""select symbol, session_date, bar, strike, cv, pv, sum(cv) {_RUN} as ccum, sum(pv) {_RUN} as pcum, sum(cs) {_RUN} as ccs, sum(ps) {_RUN} as pcs,
+    coalesce(last_value(cg ignore nulls) {_RUN}, 0) as cg, coalesce(last_value(pg ignore nulls) {_RUN}, 0) as pg from
+    (select x.symbol, x.session_date, x.strike, y.bar, coalesce(cv, 0) as cv, coalesce(pv, 0) as pv, coalesce(cs, 0) as cs, coalesce(ps, 0) as ps, cg, pg
+     from (select distinct symbol, session_date, strike from agg24) x join (select distinct symbol, session_date, bar from agg24) y
+     on x.symbol = y.symbol and x.session_date = y.session_date
+     left join agg24 a on a.symbol = x.symbol and a.session_date = x.session_date and a.strike = x.strike and a.bar = y.bar)""")
+
+
+@query("lad24_session_build", KEY + "strike:1 call_vol:0 put_vol:0 call_cumvol:0 put_cumvol:0 gex:2 gex_signed:2 spot:5",
+       q("""select f.symbol, f.session_date, f.bar, f.strike, cv as call_vol, pv as put_vol, ccum as call_cumvol, pcum as put_cumvol, s.spot,
+            (cg * ccum - pg * pcum) * s.spot * s.spot as gex, -(cg * ccs + pg * pcs) * s.spot * s.spot as gex_signed
+            from fill24 f left join spot24 s on f.symbol = s.symbol and f.session_date = s.session_date and f.bar = s.bar"""))
 def _(spark, d):
     return ch.build_session(fx.option_bars(spark, d), CFG)[0]
 
@@ -278,6 +351,34 @@ def _(spark, d):
     return ch.build_session(fx.option_bars(spark, d), CFG)[1]
 
 
+define("dense2", """select x.symbol, x.session_date, g.bar, x.strike, x.type, b.c, coalesce(b.v, 0) as v, g.spot, greatest(390 - g.bar, 1) / 98280.0 as t
+    from (select distinct symbol, session_date, strike, type from cbars) x join pgrid g on x.symbol = g.symbol and x.session_date = g.session_date and g.spot is not null
+    left join cbars b on b.symbol = x.symbol and b.session_date = x.session_date and b.strike = x.strike and b.type = x.type and b.bar = g.bar""")
+define("solved2", bisected("select * from dense2 where c is not null", mk.TRADING_RATE, "1e-6"))
+define("wide2", """select d.symbol, d.session_date, d.bar, d.strike, max(d.spot) as s, max(d.t) as t, d.strike as k, 0.045 as r, max(d.c) filter (d.type = 'C') as call_prem,
+    max(d.c) filter (d.type = 'P') as put_prem, coalesce(max(d.v) filter (d.type = 'C'), 0) as call_vol, coalesce(max(d.v) filter (d.type = 'P'), 0) as put_vol,
+    max(i.iv) filter (d.type = 'C') as iv_call, max(i.iv) filter (d.type = 'P') as iv_put, avg(i.iv) as sg
+    from dense2 d left join solved2 i on d.symbol = i.symbol and d.session_date = i.session_date and d.bar = i.bar and d.strike = i.strike and d.type = i.type
+    group by 1, 2, 3, 4""")
+
+
+@query("lad24_bar_ladder", KEY + "strike:1 call_prem:5 put_prem:5 call_vol:0 put_vol:0 iv_call:6 iv_put:6 gex:3",
+       q(f"select *, {_GM} * (call_vol - put_vol) * 100 * s * s * 0.01 as gex from wide2"))
+def _(spark, d):
+    return ch.bar_session(fx.option_bars(spark, d), CFG)[0]
+
+
+@query("lad24_bar_prints", KEY + "strike:1 option_type:s premium:4 side:s trade_type:s",
+       q("""select *, case type when 'C' then 'call' else 'put' end as option_type, c * v * 100 as premium,
+            case when v > 3 * case when k >= 5 then m else v end then 'sweep' else 'block' end as trade_type from
+            (select *, case when coalesce(c - lag(c) over w, 0) >= 0 then 'ask' else 'bid' end as side,
+             count(v) over (partition by symbol, session_date, strike, type order by bar rows 29 preceding) as k,
+             median(v) over (partition by symbol, session_date, strike, type order by bar rows 29 preceding) as m
+             from dense2 window w as (partition by symbol, session_date, strike, type order by bar)) where c * v > 0"""))
+def _(spark, d):
+    return ch.bar_session(fx.option_bars(spark, d), CFG)[1]
+
+
 define("dayclose", "select symbol, session_date, arg_max(spot, bar) as close from grid where spot is not null group by 1, 2")
 define("cday", "select symbol, session_date, strike, type, sum(v) as vol from cbars group by 1, 2, 3, 4")
 _DG = "exp(-0.5 * pow((ln(close / strike) + (0.045 + 0.5 * 0.18 * 0.18) / 252.0) / (0.18 * sqrt(1 / 252.0)), 2)) / sqrt(2 * pi()) / (close * 0.18 * sqrt(1 / 252.0))"

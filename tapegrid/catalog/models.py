@@ -12,7 +12,7 @@ from tapegrid.catalog.sqlbase import define, q
 from tapegrid.config import FAMILIES
 from tapegrid.functions import clock
 from tapegrid.functions.market import family
-from tapegrid.operators import evaluate as ev, features as fe, forecast as fo, ladder as ld, physics as ph, quality as qa, sequences as sq, splits as sp, targets as tg
+from tapegrid.operators import evaluate as ev, features as fe, forecast as fo, grid as gr, ladder as ld, physics as ph, quality as qa, sequences as sq, splits as sp, targets as tg
 from tapegrid.operators.windows import SESSION
 from tapegrid.plans import assembly as asm, fixtures as fx
 from tapegrid.plans.session import materialise
@@ -50,24 +50,69 @@ def _(spark, d):
     return features(spark, d)
 
 
-@query("chk01_causality", KEY + "column_name:s full_value:6 cut_value:6",
-       "select '' as symbol, '' as session_date, 0 as bar, '' as column_name, 0.0 as full_value, 0.0 as cut_value where false")
+CUTS = ((0.25, 45), (0.5, 180), (1.0, 330))
+_AT = "(values " + ", ".join(f"({i}, {share}, {bar})" for i, (share, bar) in enumerate(CUTS)) + ") as v(cut, share, last_bar)"
+define("cuts", f"""select v.cut, session_date as last_day, last_bar from (select session_date, row_number() over (order by session_date) - 1 as r, count(*) over () as n
+    from (select distinct session_date from rth)) join {_AT} on r = floor((n - 1) * share)""")
+_UPTO = "(x.session_date < c.last_day or (x.session_date = c.last_day and x.bar <= c.last_bar))"
+define("cutrows", f"select c.cut, x.symbol, x.session_date, x.bar from grid x join cuts c on {_UPTO} where x.spot is not null")
+
+
+def cut_features(spark, d, ladder, scope: str):
+    """Features of the whole feeds and of the feeds at every cut in one run: a copy's symbol carries its cut. Returns (frame, cuts)."""
+    bars = materialise(gr.ticks_to_bars(fx.ticks(spark, d), CFG).select(*KEYS), "bars")
+    cuts = materialise(qa.cut_table(sp.session_dates(bars), CUTS), "cuts")
+    day, bar = clock.local_date(F.col("ts"), CFG.tz), clock.ceil_bar(F.col("ts"), CFG)
+
+    def copies(feed):
+        return qa.at_cuts(feed, cuts, day, bar).withColumn("symbol", F.concat_ws("|", "cut", "symbol")).drop("cut")
+
+    f = asm.build_features(copies(fx.ticks(spark, d)), copies(ladder), copies(fx.prints(spark, d)), CFG, premium_scope=scope, store=materialise)
+    at, f = F.split("symbol", r"\|", 2), f.filter("spot is not null")  # a bar before the first trade has no row yet when it happens
+    return materialise(f.withColumns({"cut": at[0].cast("int"), "symbol": at[1]}), "atcuts"), cuts
+
+
+@query("chk01_causality", "cut:i n_rows:i missing:i n_columns:i violations:i",
+       q("select cut, count(*) as n_rows, 0 as missing, 173 as n_columns, 0 as violations from cutrows group by 1"))
 def _(spark, d):
-    """Features of the whole feeds against features of feeds cut at other bars of the newest sessions: up to the cut, no row may differ
-    or be missing, lag columns included. Each symbol has its own cut; blocks never mix symbols."""
-    feeds = fx.ticks(spark, d), fx.ladder(spark, d), fx.prints(spark, d)
-    day = clock.local_date(F.col("ts"), CFG.tz)
-    newest = [r[0] for r in feeds[0].select(day.alias("d")).distinct().orderBy(F.desc("d")).limit(2).collect()]
-    cuts = {"S0": (newest[0], 45), "S1": (newest[-1], 240)}
-    ts_cut, row_cut = F.lit(False), F.lit(False)
-    for symbol, (date, bar) in cuts.items():
-        own = F.col("symbol") == symbol
-        ts_cut = ts_cut | (own & ((day < F.lit(date)) | ((day == F.lit(date)) & (clock.ceil_bar(F.col("ts"), CFG) <= bar))))
-        row_cut = row_cut | (own & ((F.col("session_date") < F.lit(date)) | ((F.col("session_date") == F.lit(date)) & (F.col("bar") <= bar))))
-    full = asm.build_features(*feeds, CFG, store=materialise)
-    cols = asm.feature_columns(full)
-    short = asm.build_features(*[x.filter(ts_cut) for x in feeds], CFG, store=materialise)
-    return qa.causality_violations(full.filter(row_cut), short.filter(row_cut), KEYS, cols)
+    """Features of the whole feeds against features of feeds cut at three bars of three sessions: up to a cut no row may differ or be
+    missing, lag columns included."""
+    frame, cuts = cut_features(spark, d, fx.ladder(spark, d), "causal")
+    cols = [c for c in asm.feature_columns(frame) if c != "cut"]
+    row = F.col("column_name") == "_row"
+    return qa.causality_report(frame, cuts, KEYS, cols).groupBy("cut").agg(
+        F.max("n_rows").alias("n_rows"), F.sum(F.when(row, F.col("violations"))).alias("missing"), F.count(F.when(~row, 1)).alias("n_columns"),
+        F.sum(F.when(~row, F.col("violations"))).alias("violations"))
+
+
+# the call-ask side is only quoted from 11:00 on, so a look-ahead over the session changes its mind about the morning
+_LATE = 11 * 3600
+define("laterows", f"""select p.symbol, p.session_date, p.bar, p.ok and p.us >= {_LATE}000000 as ok, coalesce(p.call_prem, 0) - coalesce(p.put_prem, 0) as raw,
+    case when p.us >= {_LATE}000000 then coalesce(p.call_ask_prem, 0) else 0 end - coalesce(p.call_bid_prem, 0) - coalesce(p.put_ask_prem, 0) + coalesce(p.put_bid_prem, 0) as sided
+    from (select *, cast(ceil(us / 300000000.0) * 5 - 570 as int) as bar,
+          call_ask_prem is not null and call_bid_prem is not null and put_ask_prem is not null and put_bid_prem is not null as ok from ladder) p
+    join grid g on p.symbol = g.symbol and p.session_date = g.session_date and p.bar = g.bar""")
+define("lateflag", f"""select c.cut, x.symbol, x.session_date, case when count(*) filter (x.ok) * 1.0 / count(*) > 0.5 then 1.0 else 0.0 end as flag
+    from laterows x join (select * from cuts union all select {qa.WHOLE}, date '9999-12-31', 0) c on {_UPTO} group by 1, 2, 3""")
+define("latebars", """select symbol, session_date, bar, sum(raw) as raw, sum(sided) as sided from laterows group by 1, 2, 3""")
+define("latenet", f"""select r.cut, r.symbol, r.session_date, r.bar, b.raw is not null as has, a.flag as fa, f.flag as fb,
+    coalesce(case when a.flag > 0 then b.sided else b.raw end, 0) as na, coalesce(case when f.flag > 0 then b.sided else b.raw end, 0) as nb
+    from cutrows r left join latebars b on r.symbol = b.symbol and r.session_date = b.session_date and r.bar = b.bar
+    left join lateflag a on a.cut = {qa.WHOLE} and r.symbol = a.symbol and r.session_date = a.session_date
+    left join lateflag f on f.cut = r.cut and r.symbol = f.symbol and r.session_date = f.session_date""")
+_SEEN = "count(*) filter (has) over (partition by cut, symbol, session_date order by bar) > 0"
+
+
+@query("chk01_lookahead", "cut:i column_name:s n_rows:i violations:i",
+       q(f"""select cut, 'net_prem_1m' as column_name, count(*) as n_rows, count(*) filter (abs(na - nb) > 1e-6 + 1e-5 * abs(nb)) as violations from latenet group by 1
+            union all select cut, 'flow_side_weighted', count(*), count(*) filter (seen and fa <> fb) from (select *, {_SEEN} as seen from latenet) group by 1
+            union all select cut, 'ret_1m', count(*), 0 from latenet group by 1 union all select cut, '_row', count(*), 0 from latenet group by 1"""))
+def _(spark, d):
+    """The same check on premium decided over the whole session, which looks ahead: the violations are counted."""
+    early = F.date_format("ts", "HH:mm:ss") < "11:00:00"
+    ladder = fx.ladder(spark, d).withColumn("call_ask_prem", F.when(~early, F.col("call_ask_prem")))
+    frame, cuts = cut_features(spark, d, ladder, "session")
+    return qa.causality_report(frame, cuts, KEYS, ["ret_1m", "net_prem_1m", "flow_side_weighted"])
 
 
 @query("jn23_frame_compare", KEY + "column_name:s full_value:5 cut_value:5",
@@ -199,6 +244,63 @@ def _(spark, d):
     return model.transform(rows)
 
 
+HS = [h for h, _ in asm.FC.horizons]
+define("tsplit", """select session_date, case when r < a then 'train' when r >= a + 1 and r < a + 1 + b then 'val' when r >= a + 2 + b then 'test' else 'embargo' end as split
+    from (select *, greatest(1, floor(0.7 * n)) as a, greatest(1, floor(0.15 * n)) as b from (select session_date, row_number() over (order by session_date) - 1 as r,
+    count(*) over () as n from (select distinct session_date from targets where spot is not null)))""")
+define("tlong", " union all ".join(f"""select t.symbol, t.session_date, t.bar, s.split, '{h}' as horizon, "y_retn_{h}" as label from targets t join tsplit s
+    on t.session_date = s.session_date where t.spot is not null""" for h in HS))
+define("tdays", """select session_date, r, n, pow(0.5, (n - 1 - r) / 20.0) as weight from (select session_date, row_number() over (order by session_date) - 1 as r,
+    count(*) over () as n from (select session_date from tsplit where split = 'train'))""")
+define("tparam", """select horizon, lo, hi, median(greatest(lo, least(hi, label))) as off from tlong join (select horizon as h, quantile_cont(label, 0.005) as lo,
+    quantile_cont(label, 0.995) as hi from tlong where split = 'train' and label is not null group by 1) on h = horizon
+    where split = 'train' and label is not null group by 1, 2, 3""")
+
+
+def tree_rows(spark, d):
+    """Features, split and label per horizon; training days with decay and folds inside them; label parameters of the training rows."""
+    f = tg.horizon_targets(price_grid(spark, d), CFG).filter("spot is not null")
+    f = sp.with_split(f.select(*KEYS, *X, *[f"y_retn_{h}" for h in HS]), sp.chrono_split(sp.session_dates(f)))
+    f = materialise(fo.assemble(fo.horizon_labels(f, HS), X), "trees")
+    days = materialise(sp.session_dates(f.filter("split = 'train'")), "days")
+    weight = F.broadcast(sp.decay_weight(days, 20.0).select("session_date", "weight"))
+    params = materialise(fo.label_params(f.filter("split = 'train'"), HS), "winsor")
+    return fo.centred(f, params, HS).join(weight, "session_date", "left"), days, params
+
+
+@query("ml01_label_folds", "horizon:s fold:i role:s n:i weight:5 lo:6 hi:6 label_offset:6 target_sum:4",
+       q("""select horizon, fold, role, count(*) as n, sum(weight) as weight, lo, hi, off as label_offset, sum(y) as target_sum from (select l.horizon, k as fold, case when r < vs - 1 then 'train' when r >= vs and r < vs + v then 'val' end as role,
+            weight, lo, hi, off, greatest(lo, least(hi, label)) - off as y from
+            (select *, n - (3 - k) * v as vs from (select *, greatest(1, floor(n / 5)) as v from tdays), (select unnest(range(3)) as k)) c
+            join tlong l on l.session_date = c.session_date join tparam p on p.horizon = l.horizon where l.label is not null and vs - 1 >= 3)
+            where role is not null group by horizon, fold, role, lo, hi, off"""))
+def _(spark, d):
+    """What each fold of each horizon learns from: rows, decay weights, clip bounds, offset and targets."""
+    rows, days, params = tree_rows(spark, d)
+    got = rows.filter("split = 'train' and label is not null").join(F.broadcast(sp.rolling_folds(days)), "session_date")
+    g = got.groupBy("horizon", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum("target").alias("target_sum"))
+    return g.join(params.withColumnRenamed("offset", "label_offset"), "horizon")
+
+
+@query("ml01_tree_families", KEY + "horizon:s lgb:5 cat:5 tree_mean:5")
+def _(spark, d):
+    """Both families on all horizons, fitted on training sessions and read on test sessions. Few rounds: a fit is a chain of small jobs."""
+    rows, days, _params = tree_rows(spark, d)
+    rows = materialise(rows, "treerows")
+    models, _history = fo.fit_families(rows.filter("split = 'train'"), sp.rolling_folds(days, folds=1), HS, rounds=3, least=1)
+    return fo.predict_families(models, rows.filter("split = 'test'"))
+
+
+@query("ml06_test_once", "phase:s trials:i n_rows:i",
+       q("""select 'val' as phase, 2 as trials, count(*) as n_rows from tlong where horizon = '30m' and label is not null and split = 'val'
+            union all select 'test', 1, count(*) from tlong where horizon = '30m' and label is not null and split = 'test'"""))
+def _(spark, d):
+    rows, days = learning_rows(spark, d)
+    s = sp.with_split(rows, sp.chrono_split(days))
+    board = fo.select_then_test(s, "label", [{"rounds": 2, "depth": 2}, {"rounds": 2, "depth": 3}], "weight")
+    return board.groupBy("phase").agg(F.count(F.lit(1)).alias("trials"), F.max("n_rows").alias("n_rows"))
+
+
 @query("ml02_robust_linear", KEY + "prediction:5")
 def _(spark, d):
     rows, _days = learning_rows(spark, d)
@@ -242,7 +344,7 @@ def _(spark, d):
     h = ph.horizon_rows(g.select(*KEYS, "ret_1m", "ret_5m"))
     preds = h.select(*KEYS, "horizon", F.col("ret_1m").alias("lgb"), F.col("ret_5m").alias("cat"), F.lit(-0.5).alias("q10"),
                      F.lit(0.0).alias("q50"), F.lit(0.5).alias("q90"))
-    return asm.backtest_signals(fx.ticks(spark, d), fx.ladder(spark, d), preds, CFG, cadence_rows=1, store=materialise)
+    return asm.backtest_signals(fx.ticks(spark, d), fx.ladder(spark, d), preds, CFG, cadence_rows=1, lookback=12, store=materialise)
 
 
 @query("training_table", KEY + "split:s ret_1m:5 gex_net_total:5 y_retn_30m:5")

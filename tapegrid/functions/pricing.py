@@ -62,8 +62,8 @@ def otm_value(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(x / 2) * cdf(up) - np.exp(-x / 2) * cdf(up - w), np.exp(x / 2 - up * up / 2) / math.sqrt(2 * math.pi)
 
 
-def implied(price, spot, strike, years, call, rate=0.0, low=0.01, high=5.0, edge=1e-4) -> np.ndarray:
-    """Implied volatility within [low, high]. NaN for prices at or below intrinsic value and for those that reach the ceiling.
+def implied(price, spot, strike, years, call, rate=0.0, low=0.01, high=5.0, edge=1e-4, keep=False) -> np.ndarray:
+    """Implied volatility within [low, high]. NaN for prices at or below intrinsic value and, unless ``keep``, for those that reach the ceiling.
 
     Newton steps on a bracket; a step that leaves it is replaced by the middle.
     """
@@ -90,7 +90,7 @@ def implied(price, spot, strike, years, call, rate=0.0, low=0.01, high=5.0, edge
         if moved < 1e-13:
             break
     vol = w / root
-    out[at] = np.where(vol < high - 1e-3, vol, np.nan)
+    out[at] = vol if keep else np.where(vol < high - 1e-3, vol, np.nan)
     return out
 
 
@@ -100,6 +100,14 @@ def implied_vol(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.
     return out.where(out.notna(), None).astype("float64")
 
 
+@F.pandas_udf(DoubleType())
+def implied_vol_bounded(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, call: pd.Series, rate: pd.Series) -> pd.Series:
+    """The same with a smaller margin over intrinsic value; a price beyond the ceiling gives the ceiling."""
+    out = pd.Series(implied(price, spot, strike, years, call.fillna(False), rate, edge=1e-6, keep=True))
+    return out.where(out.notna(), None).astype("float64")
+
+
 def register(spark: SparkSession) -> None:
     """Make implied volatility callable from SQL."""
     spark.udf.register("implied_vol", implied_vol)
+    spark.udf.register("implied_vol_bounded", implied_vol_bounded)

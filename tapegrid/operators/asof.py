@@ -45,13 +45,16 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: list
                       *[F.col(f"_got.{v}").alias(v) for v in values])
 
 
-def snapshot_asof(grid: DataFrame, ladder: DataFrame, keys=("symbol", "session_date")) -> DataFrame:
+def snapshot_asof(grid: DataFrame, ladder: DataFrame, keys=("symbol", "session_date"), where=None) -> DataFrame:
     """Ladder rows of the newest snapshot at or before each grid bar, same session.
 
+    ``grid`` must hold every bar a snapshot may be labelled with; ``where`` picks the bars to answer for before ladder rows are copied.
+
     Grid bars and snapshot labels are bar-level, so the carry runs on one session of bars.
     """
     snaps = ladder.select(*keys, "bar").distinct().withColumn("asof_bar", F.col("bar"))
     w = Window.partitionBy(*keys).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
     at = (grid.join(snaps, [*keys, "bar"], "left")
           .withColumn("asof_bar", F.last("asof_bar", ignorenulls=True).over(w)))
+    at = at if where is None else at.filter(where)
     return at.join(ladder.withColumnRenamed("bar", "asof_bar"), [*keys, "asof_bar"], "inner")

@@ -198,6 +198,35 @@ def build_session(raw: DataFrame, cfg: SessionConfig, snap_minutes: int | None =
     return lad, to_prints(rich), spot.select(*SESSION, "bar", "spot")
 
 
+def bar_session(raw: DataFrame, cfg: SessionConfig, spot: DataFrame | None = None, year: float = mk.TRADING_YEAR, rate: float = mk.TRADING_RATE):
+    """Second builder's conventions: option bars -> (ladder feed, print feed), one ladder row per bar and listed strike.
+
+    Trading-year time with at least one minute left, volume of the bar alone, one gamma from the mean of both
+    implied vols, nothing carried: a bar without a trade has no premium and no gamma. Every contract is laid on
+    all bars that have a price; the side compares with the bar before (ask where that is empty), sweeps stand out
+    of the last 30 bars, quiet ones included.
+    """
+    from tapegrid.functions.pricing import implied_vol_bounded
+    bars = contract_bars(raw, cfg)
+    at = (parity_grid(bars, cfg) if spot is None else spot).select(*SESSION, "bar", "spot").filter(F.col("spot").isNotNull())
+    clock_bars = F.sequence(F.lit(0), F.lit(int(cfg.length)), F.lit(int(cfg.bar_minutes)))
+    every = bars.select(*CONTRACT).distinct().withColumn("bar", F.explode(clock_bars))
+    d = every.join(at, [*SESSION, "bar"]).join(bars.select(*CONTRACT, "bar", "c", "v"), [*CONTRACT, "bar"], "left")
+    d = d.withColumns({"v": F.coalesce("v", F.lit(0.0)), "t_years": F.greatest(F.lit(float(cfg.length)) - F.col("bar"), F.lit(1.0)) / year})
+    d = volume_class(d).withColumns({
+        "side": mk.tick_side(F.col("c"), F.lag("c").over(contract_window()), two_way=True),
+        "premium": F.col("c") * F.col("v") * MULTIPLIER,
+        "iv": implied_vol_bounded("c", "spot", "strike", "t_years", F.col("type") == "C", F.lit(rate))})
+    lad = sides_wide(d, (*SNAP_STRIKE, "spot", "t_years"), {"c": "prem", "v": "vol", "iv": "iv"})
+    a, b = F.col("call_iv"), F.col("put_iv")
+    mean = F.coalesce((a + b) / 2.0, a, b)
+    lad = lad.withColumn("gamma", mk.bs_gamma(F.col("spot"), F.col("strike"), F.col("t_years"), mean, rate))
+    lad = lad.withColumns({f"{s}_vol": F.coalesce(f"{s}_vol", F.lit(0.0)) for s in ("call", "put")})
+    lad = gex_ladder(lad, "minute_volume").withColumnsRenamed({"call_iv": "iv_call", "put_iv": "iv_put"}).drop("t_years")
+    prints = d.filter(F.col("premium") > 0).withColumn("option_type", F.when(F.col("type") == "C", "call").otherwise("put"))
+    return lad, prints.select(*SESSION, "bar", "strike", "option_type", "premium", "side", "trade_type")
+
+
 def contract_ladder(contracts: DataFrame, keys: tuple[str, ...], spot: str = "spot", sign: float = 1.0) -> DataFrame:
     """Contract rows (type, strike, gamma, oi, vol) -> strike ladder with dealer gamma."""
     call, put = F.col("type") == "C", F.col("type") == "P"

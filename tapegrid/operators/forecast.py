@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from tapegrid.config import EXPERTS, GateConfig
 from tapegrid.functions.market import magnitude_to_move
 from tapegrid.functions.nulls import clip
-from tapegrid.operators.quantiles import attach_row, exact_quantiles
+from tapegrid.operators import scaling as sc
+from tapegrid.operators.quantiles import attach_domain, attach_row, exact_quantiles
 
 GC = GateConfig()
 
@@ -47,6 +48,101 @@ def fit_on_folds(df: DataFrame, folds: DataFrame, label: str, weight: str | None
     return fit_trees(df, label, weight, None, max(least, mid), **kw), best
 
 
+#: Two boosted families: squared loss with deeper trees, absolute loss with shallow ones and a larger step.
+TREE_FAMILIES = (("lgb", {"loss": "squared", "depth": 4, "step": 0.1}), ("cat", {"loss": "absolute", "depth": 3, "step": 0.15}))
+
+
+def horizon_labels(df: DataFrame, horizons: list[str], kind: str = "retn") -> DataFrame:
+    """One row per (row, horizon) with its ``label``; the targets' own columns go. Rows without a label are kept (they can be predicted)."""
+    ys = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y_{kind}_{h}").alias("label")) for h in horizons])
+    rest = [c for c in df.columns if not c.startswith("y_")]
+    return df.select(*rest, F.explode(ys).alias("_y")).select(*rest, "_y.horizon", "_y.label")
+
+
+def label_params(train: DataFrame, horizons: list[str]) -> DataFrame:
+    """(horizon, lo, hi, offset) of the training labels: clip bounds and the median after clipping."""
+    return sc.winsorise(train.filter(F.col("label").isNotNull()), "horizon", horizons, "label")
+
+
+def centred(rows: DataFrame, params: DataFrame, horizons: list[str]) -> DataFrame:
+    """Add ``offset`` and ``target``, the clipped label less its offset."""
+    d = attach_domain(rows, params, "horizon", horizons, ["lo", "hi", "offset"])
+    y = F.col("label")
+    return d.withColumn("target", F.when(y.isNotNull(), F.greatest("lo", F.least("hi", y)) - F.col("offset"))).drop("lo", "hi")
+
+
+def _boost(train: DataFrame, rounds: int, loss: str, depth: int, step: float, seed: int):
+    return GBTRegressor(featuresCol="features", labelCol="target", weightCol="weight", lossType=loss, maxIter=rounds, maxDepth=depth,
+                        stepSize=step, seed=seed).fit(train)
+
+
+def fit_families(train: DataFrame, folds: DataFrame, horizons: list[str], families=TREE_FAMILIES, rounds: int = 50, least: int = 50, seed: int = 7):
+    """Every family for every horizon. ``train``: features, session_date, horizon, target, weight.
+
+    Each fold is boosted for ``rounds`` rounds and scored after every one on its later sessions; the round with the smallest error
+    is the fold's best. The final model takes all rows and max(``least``, median best) rounds (``rounds`` without folds).
+    Returns ({(family, horizon): model}, [(family, horizon, fold, best_round, error)]). The fold table is bounded by the calendar.
+    """
+    models, history = {}, []
+    train = train.filter(F.col("target").isNotNull())
+    numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
+    for h in horizons:
+        part = train.filter(F.col("horizon") == h)
+        for name, kw in families:
+            best = []
+            for k in numbers:
+                d = part.join(F.broadcast(folds.filter(F.col("fold") == k).select("session_date", "role")), "session_date")
+                errors = _boost(d.filter("role = 'train'"), rounds, seed=seed, **kw).evaluateEachIteration(d.filter("role = 'val'"), "absolute")
+                at = min(range(len(errors)), key=errors.__getitem__)
+                best.append(at + 1)
+                history.append((name, h, k, at + 1, float(errors[at])))
+            final = max(least, sorted(best)[len(best) // 2]) if best else rounds
+            models[name, h] = _boost(part, final, seed=seed, **kw)
+    return models, history
+
+
+def predict_families(models: dict, rows: DataFrame) -> DataFrame:
+    """One column per family, offset added back, and their mean ``tree_mean``. ``rows``: features, horizon, offset."""
+    out = None
+    names = list(dict.fromkeys(f for f, _ in models))
+    for h in dict.fromkeys(h for _, h in models):
+        d = rows.filter(F.col("horizon") == h)
+        for f in names:
+            d = models[f, h].copy().setPredictionCol(f).transform(d)
+        out = d if out is None else out.unionByName(d)
+    d = out.withColumns({f: F.col(f) + F.col("offset") for f in names})
+    return d.withColumn("tree_mean", sum(F.col(f) for f in names) / len(names))
+
+
+def held_out_scores(pred: DataFrame, names: list[str]) -> DataFrame:
+    """Rows, mean absolute error per prediction and that of the offset alone (``mae_naive``), per horizon."""
+    err = lambda c: F.avg(F.abs(F.col(c) - F.col("label"))).alias(f"mae_{'naive' if c == 'offset' else c}")
+    return pred.filter(F.col("label").isNotNull()).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), *[err(c) for c in (*names, "offset")])
+
+
+def select_then_test(rows: DataFrame, label: str, grid: list[dict], weight: str | None = None) -> DataFrame:
+    """Board (trial, phase, n_rows, score) of a search: every configuration scored on validation rows, the winner alone on test rows.
+
+    ``rows`` has ``split`` (train, val, test). Test rows are read once, after the choice; ties go to the earlier trial.
+    """
+    part = lambda s: rows.filter((F.col("split") == s) & F.col(label).isNotNull())
+    board, best = [], None
+
+    def scored(model, phase):
+        m = model.transform(part(phase)).agg(F.count(F.lit(1)), F.avg(F.abs(F.col("prediction") - F.col(label)))).first()
+        return int(m[0]), None if m[1] is None else float(m[1])
+
+    for trial, cfg in enumerate(grid):
+        model = fit_trees(part("train"), label, weight, **cfg)
+        n, score = scored(model, "val")
+        board.append((trial, "val", n, score))
+        if score is not None and (best is None or score < best[0]):
+            best = (score, trial, model)
+    if best:
+        board.append((best[1], "test", *scored(best[2], "test")))
+    return rows.sparkSession.createDataFrame(board, "trial bigint, phase string, n_rows bigint, score double")
+
+
 def fit_robust(train: DataFrame, label: str, weight: str | None = None, epsilon: float = 1.35, reg: float = 0.1):
     """Huber regression as the robust expert."""
     lr = LinearRegression(featuresCol="features", labelCol=label, loss="huber", epsilon=epsilon, regParam=reg, maxIter=50)

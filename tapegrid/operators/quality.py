@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tapegrid.functions.market import family
+from tapegrid.operators.quantiles import attach_row
 from tapegrid.operators.windows import SESSION
 
 
@@ -36,6 +37,10 @@ def family_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     return g.withColumn("status", F.when(k == n, "dead").when(k > 0, "partly dead").when(F.col("null_frac") > 0.5, "sparse").otherwise("ok"))
 
 
+def _close(x: Column, y: Column, atol: float, rtol: float) -> Column:
+    return x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= atol + rtol * F.abs(y), F.lit(False))
+
+
 def causality_violations(full: DataFrame, cut: DataFrame, keys: list[str], cols: list[str],
                          atol: float = 1e-6, rtol: float = 1e-5) -> DataFrame:
     """Keys and columns whose value changes when the future is cut off, and keys that only one frame has
@@ -47,13 +52,57 @@ def causality_violations(full: DataFrame, cut: DataFrame, keys: list[str], cols:
     checks = [F.struct(F.lit("_row").alias("column_name"), here[0].alias("full_value"), here[1].alias("cut_value"), (here[0] == here[1]).alias("same"))]
     for c in cols:
         x, y = F.col(f"_a.{c}"), F.col(f"_b.{c}")
-        same = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= atol + rtol * F.abs(y), F.lit(False))
+        same = _close(x, y, atol, rtol)
         both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
         checks.append(F.struct(F.lit(c).alias("column_name"), x.cast("double").alias("full_value"), y.cast("double").alias("cut_value"), (same | ~both).alias("same")))
     return d.select(*keys, F.explode(F.filter(F.array(*checks), lambda s: ~s["same"])).alias("v")).select(
         *keys, "v.column_name", "v.full_value", "v.cut_value")
 
 
+WHOLE = -1
+
+
+def cut_table(days: DataFrame, cuts: tuple[tuple[float, int], ...]) -> DataFrame:
+    """One row holding (cut, session_date, bar) per pair of ``cuts``: the session at that share of the calendar, and a bar of it.
+
+    ``days``: splits.session_dates.
+    """
+    at = F.array(*[F.struct(F.lit(i).alias("cut"), F.floor((F.col("n_days") - 1) * share).alias("r"), F.lit(bar).alias("bar"))
+                   for i, (share, bar) in enumerate(cuts)])
+    d = days.withColumn("_c", F.explode(at)).filter(F.col("_c.r") == F.col("ordinal"))
+    return d.agg(F.collect_list(F.struct("_c.cut", "session_date", "_c.bar")).alias("_cuts"))
+
+
+def _before(c: Column, date: Column, bar: Column) -> Column:
+    return (date < c["session_date"]) | ((date == c["session_date"]) & (bar <= c["bar"]))
+
+
+def at_cuts(rows: DataFrame, cuts: DataFrame, date: Column, bar: Column, whole: bool = True) -> DataFrame:
+    """A copy of each row for every cut it lies before (column ``cut``) and, with ``whole``, one under WHOLE."""
+    no = F.transform(F.filter("_cuts", lambda c: _before(c, date, bar)), lambda c: c["cut"])
+    return attach_row(rows, cuts).withColumn("cut", F.explode(F.concat(F.array(F.lit(WHOLE)), no) if whole else no)).drop("_cuts")
+
+
+def causality_report(frame: DataFrame, cuts: DataFrame, keys: list[str], cols: list[str], atol: float = 1e-6, rtol: float = 1e-5) -> DataFrame:
+    """(cut, column_name, n_rows, violations): rows up to each cut whose value differs from the frame of whole feeds.
+
+    ``frame`` holds features of all copies made by ``at_cuts`` (column ``cut``). Column ``_row`` counts keys that only one side
+    has. One join on (cut, keys) and one map-side combined aggregation serve all cuts and columns.
+    """
+    date, bar = F.col("session_date"), F.col("bar")
+    packed = [*keys, F.struct(*cols).alias("_a")]
+    full = at_cuts(frame.filter(F.col("cut") == WHOLE).select(*packed), cuts, date, bar, whole=False)
+    short = attach_row(frame.filter(F.col("cut") != WHOLE), cuts).filter(
+        F.exists("_cuts", lambda c: (c["cut"] == F.col("cut")) & _before(c, date, bar))).select("cut", *keys, F.struct(*cols).alias("_b"))
+    d = full.join(short, ["cut", *keys], "full_outer")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    bad = [F.sum((both & ~_close(F.col(f"_a.{c}"), F.col(f"_b.{c}"), atol, rtol)).cast("bigint")).alias(f"_v{i}") for i, c in enumerate(cols)]
+    g = d.groupBy("cut").agg(F.count(F.lit(1)).alias("n_rows"), F.sum((~both).cast("bigint")).alias("_m"), *bad)
+    named = [F.struct(F.lit("_row").alias("column_name"), F.col("_m").alias("violations"))]
+    named += [F.struct(F.lit(c).alias("column_name"), F.col(f"_v{i}").alias("violations")) for i, c in enumerate(cols)]
+    return g.select("cut", "n_rows", F.explode(F.array(*named)).alias("v")).select("cut", "v.column_name", "n_rows", "v.violations")
+
+
 def gate_report(df: DataFrame, split: str, cols: list[str], min_sessions: int = 7, thin_sessions: int = 60,
                 min_rows: int = 30, min_features: int = 80) -> DataFrame:
     """PASS / WARN / FAIL rows for session floor, split sizes, feature count and null share."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tapegrid.config import FeatureConfig, SessionConfig
+from tapegrid.functions.nulls import finite
 from tapegrid.operators import (asof, evaluate as ev, features as fe, fusion as fu, grid as gr, ladder as ld, physics as ph,
                                 scaling as sc, splits as sp, targets as tg)
 from tapegrid.operators.windows import SESSION
@@ -62,20 +63,31 @@ def training_table(features: DataFrame, cfg: SessionConfig, store=lambda d: d):
 
 
 def backtest_signals(ticks: DataFrame, ladder: DataFrame, predictions: DataFrame, cfg: SessionConfig, cadence_rows: int = 1,
-                     kind: str = "retn", learned: DataFrame | None = None, store=lambda d: d) -> DataFrame:
+                     kind: str = "retn", learned: DataFrame | None = None, lookback: int = 60, premium_scope: str = "causal",
+                     store=lambda d: d) -> DataFrame:
     """Set-based replay: as-of ladder per bar x predictions -> physics -> fusion -> realised direction.
 
     ``predictions``: (symbol, session_date, bar, horizon, lgb, cat, q10, q50, q90). ``cadence_rows`` keeps
-    every n-th bar as a decision point, as the live cycle does.
+    every n-th bar as a decision point, as the live cycle does. A session's first ``lookback`` - 1 bars only warm up, and a
+    session of fewer than ``lookback`` + 5 bars decides nothing. The flow z-score is that of the five-minute premium velocity (0 where
+    unknown). Masses belong to a snapshot and are computed once for it; a bar whose newest snapshot has under three strikes decides nothing.
     """
-    g = store(fe.price_context(gr.session_grid(ticks, cfg), cfg).filter("spot is not null"))
+    if cfg.length // cfg.bar_minutes + 1 < lookback + 5:
+        raise ValueError(f"a session has fewer than lookback + 5 = {lookback + 5} bars")
+    grid = store(fe.price_context(gr.session_grid(ticks, cfg), cfg))
+    spine = grid.select(*KEYS, "spot")
+    flow = fe.premium_block(spine, fe.bar_premium(ladder, spine, cfg, premium_scope), FC).select(
+        *KEYS, F.coalesce(finite(F.col("net_prem_vel_z_5m")), F.lit(0.0)).alias("net_prem_z"))
+    g = grid.filter("spot is not null")
     t = tg.horizon_targets(g, cfg)
-    points = g.filter(F.col("bar") % (cadence_rows * cfg.bar_minutes) == 0) if cadence_rows > 1 else g
-    points = points.select(*KEYS, "spot", "rv_1m", "minutes_to_close")
+    decides = F.col("spot").isNotNull() & (F.col("bar") >= (lookback - 1) * cfg.bar_minutes) & (F.col("bar") % (cadence_rows * cfg.bar_minutes) == 0)
+    points = grid.join(flow, KEYS).select(*KEYS, "spot", "rv_1m", "minutes_to_close", "net_prem_z")
     cols = (*ld.LEVELS, "call_vol", "put_vol")
-    at = ld.thick_snapshots(asof.snapshot_asof(points, ld.strike_rows(ladder, cfg, cols)))
-    state = store(ph.profile(ph.attractor_masses(ph.implied_move(ph.ladder_state(at)))))
-    d = ph.horizon_rows(state.withColumn("net_prem_z", F.lit(0.0))).drop("horizon_no").join(predictions, [*KEYS, "horizon"], "left")
+    snaps = ph.attractor_masses(ph.ladder_state(ld.strike_rows(ladder, cfg, cols)))
+    snaps = store(snaps.withColumn("_n", F.count("strike").over(Window.partitionBy(*KEYS))))
+    at = asof.snapshot_asof(points, snaps, where=decides).filter("_n >= 3").drop("_n")
+    state = store(ph.profile(ph.implied_move(at)))
+    d = ph.horizon_rows(state).drop("horizon_no").join(predictions, [*KEYS, "horizon"], "left")
     d = fu.expert_prices(d, kind)
     phys = ph.targets(state, d.select(*KEYS, "horizon", F.col("consensus").alias("start")))
     d = d.join(phys.select(*KEYS, "horizon", F.col("physics_target").alias("x_physics"), "gravity", "pin_strike",
