@@ -83,7 +83,7 @@ def _(spark, d):
     return bd.seed_bar(board(spark, d))
 
 
-@query("eva06_records", "node:s trial:i score:6 is_record:b",
+@query("eva06_records", "node:s trial:i score:8 is_record:b",
        q("""select node, trial, score, coalesce(s < coalesce(min(s) over w, 'inf'::double) - 0.001, false) as is_record from
             (select *, case when status = 'ok' and scoring_version = 'eod_pre11' then score end as s from board)
             window w as (partition by node order by trial rows between unbounded preceding and 1 preceding)"""))

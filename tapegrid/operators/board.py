@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tapegrid.functions.nulls import finite
 from tapegrid.operators.quantiles import exact_quantiles
 from tapegrid.operators.running import running, running_percentile
+from tapegrid.plans.session import materialise
 
 CURRENT = "eod_pre11"
 
@@ -42,73 +43,99 @@ def per_node(board: DataFrame, store=lambda d: d) -> DataFrame:
 
 
 def promotions(board: DataFrame, by: list[str], margin: float = 0.0005, advance: str = "any",
-               block: int = 4096, levels: int = 2) -> DataFrame:
+               block: int = 65536, store=materialise) -> DataFrame:
     """Trials that earn a test and those that are promoted, in trial order per key.
 
-    A trial is tested when its score beats the bar by ``margin`` and promoted when its test score also
+    A trial is tested when its score beats the bar by ``margin`` (not negative) and promoted when its test score also
     beats the champion by ``margin``. ``advance='any'`` moves the bar on every test, ``'promotion'`` only
-    with the champion.
+    with the champion; then only promoted trials are returned.
 
-    The rule is sequential, but a trial that an earlier one matches or beats on both scores can never
-    be promoted (bars only fall), and with ``'any'`` one that an earlier score matches is never tested.
-    So blocks of trials first drop those rows locally, level by level, and the ordered walk sees
-    only the records that are left. With ``'promotion'`` only promoted trials are returned.
+    Bars only fall. So with ``'any'`` only a trial below every earlier score can be tested, and with ``'promotion'`` one that
+    an earlier trial of its block matches or beats on both scores never wins; all others are dropped first. The
+    rest is numbered and walked in runs of at most ``block`` trials a key. Every next run starts from the bars the
+    walk before has left and skips all runs those bars rule out, so even a node whose scores improve without end
+    takes one run after the other and never more than ``block`` rows a task.
     """
+    inf = F.lit(float("inf"))
     ok = comparable(board).select(*by, F.col("trial").cast("bigint").alias("trial"), "score",
-                                  F.coalesce(finite(F.col("test_score")), F.lit(float("inf"))).alias("test_score"))
+                                  F.coalesce(finite(F.col("test_score")), inf).alias("test_score"))
     both = advance == "promotion"
-    types = {f.name: f.dataType.simpleString() for f in ok.schema.fields}
-    schema = ", ".join(f"{c} {t}" for c, t in types.items())
-    d = ok
-    for level in range(1, levels + 1):
-        d = (d.withColumn("_b", F.floor(F.col("trial") / (block ** level)).cast("bigint"))
-             .groupBy(*by, "_b").applyInPandas(_keep_records(both), schema))
-    return d.groupBy(*by).applyInPandas(_walk(by, margin, both), schema + ", promoted boolean")
-
-
-def _keep_records(both: bool):
-    def keep(pdf):
-        import bisect
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ok.schema.fields)
+    if both:
+        left = (ok.filter(F.col("test_score") < inf).withColumn("_b", F.floor(F.col("trial") / block).cast("bigint"))
+                .groupBy(*by, "_b").applyInPandas(_keep_records, schema))
+    else:
+        left = running(ok, by, "trial", {"_best": ("min", F.col("score"))}).filter(F.col("score") < F.coalesce("_best", inf)).drop("_best")
+    numbered = running(left, by, "trial", {"_p": ("sum", F.lit(1).cast("bigint"))})
+    runs = store(numbered.withColumn("_run", F.floor(F.coalesce("_p", F.lit(0)) / block).cast("bigint")).drop("_p"))
+    last = runs.agg(F.max("_run")).first()[0] or 0
+    walked = schema + ", promoted boolean, _bar double, _champion double"
+
+    def barred(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+        """Rows that the bars so far leave open."""
+        if state is None:
+            return rows.withColumns({"_bar": inf, "_champion": inf})
+        d = rows.join(state, by, "left") if by else rows.crossJoin(F.broadcast(state))
+        d = d.withColumns({c: F.coalesce(c, inf) for c in ("_bar", "_champion")})
+        open_ = F.col("score") < F.col("_bar") - margin
+        return d.filter(open_ & (F.col("test_score") < F.col("_champion") - margin) if both else open_)
+
+    found, state, run = None, None, 0
+    while run is not None:
+        got = barred(runs.filter(F.col("_run") == run), state).groupBy(*by).applyInPandas(_walk(margin, both), walked)
+        if last:
+            got = store(got)
+        found = got if found is None else found.unionByName(got)
+        if run >= last:
+            break
+        state = store(found.groupBy(*by).agg(F.min("_bar").alias("_bar"), F.min("_champion").alias("_champion")))
+        run = barred(runs.filter(F.col("_run") > run), state).agg(F.min("_run")).first()[0]
+    return found.drop("_bar", "_champion")
+
+
+def _keep_records(pdf):
+    """Trials of one block that no earlier one matches or beats on both scores."""
+    import bisect
+
+    pdf = pdf.sort_values("trial")
+    xs: list[float] = []     # scores of the staircase, rising; ts falls along it
+    ts: list[float] = []
+    hit = []
+    for x, t in zip(pdf["score"], pdf["test_score"]):
+        i = bisect.bisect_right(xs, x)
+        if i and ts[i - 1] <= t:
+            hit.append(False)
+            continue
+        hit.append(True)
+        j = bisect.bisect_left(xs, x)
+        k = j
+        while k < len(xs) and ts[k] >= t:
+            k += 1
+        xs[j:k], ts[j:k] = [x], [t]
+    return pdf.loc[hit].drop(columns="_b")
+
+
+def _walk(margin: float, both: bool):
+    """The rule over one run of a key, from the bars in ``_bar`` and ``_champion``; those columns return the bars after the row."""
 
-        pdf = pdf.sort_values("trial")
-        xs: list[float] = []     # scores of the staircase, rising; ts falls along it
-        ts: list[float] = []
-        hit = []
-        for x, t in zip(pdf["score"], pdf["test_score"] if both else [0.0] * len(pdf)):
-            i = bisect.bisect_right(xs, x)
-            if i and ts[i - 1] <= t:
-                hit.append(False)
-                continue
-            hit.append(True)
-            j = bisect.bisect_left(xs, x)
-            k = j
-            while k < len(xs) and ts[k] >= t:
-                k += 1
-            xs[j:k], ts[j:k] = [x], [t]
-        return pdf.loc[hit].drop(columns=[c for c in pdf.columns if c == "_b"])
-
-    return keep
-
-
-def _walk(by: list[str], margin: float, both: bool):
     def walk(pdf):
-        import math
-
         pdf = pdf.sort_values("trial")
-        bar = champion = math.inf
-        out = []
+        bar, champion = (float(pdf[c].iloc[0]) for c in ("_bar", "_champion"))
+        keep, won_, bars, champions = [], [], [], []
         for x, t in zip(pdf["score"], pdf["test_score"]):
             tested = x < bar - margin
             won = tested and t < champion - margin
             if won:
                 champion = t
-            if won or (tested and not both):
+            hit = won or (tested and not both)
+            if hit:
                 bar = x
-            out.append((tested and not both, won))
-        keep = [a or b for a, b in out]
-        res = pdf.loc[keep].copy()
-        res["promoted"] = [b for a, b in out if a or b]
-        return res
+                won_.append(won)
+                bars.append(bar)
+                champions.append(champion)
+            keep.append(hit)
+        res = pdf.loc[keep].drop(columns=["_run", "_bar", "_champion"])
+        return res.assign(promoted=won_, _bar=bars, _champion=champions)
 
     return walk
 
@@ -135,7 +162,7 @@ def plateau(recs: DataFrame, by: list[str], notice: int = 50) -> DataFrame:
     return d.withColumn("notice", (F.col("since_promotion") > 0) & (F.col("since_promotion") % notice == 0)).drop("_last")
 
 
-def prune_bar(board: DataFrame, by: list[str], prob: float = 0.60, warmup: int = 8, store=lambda x: x) -> DataFrame:
+def prune_bar(board: DataFrame, by: list[str], prob: float = 0.60, warmup: int = 8, store=materialise) -> DataFrame:
     """Running percentile of earlier finite screens; a later screen above it is pruned after the warm-up."""
     d = board.withColumn("_f", finite(F.col("screen_score")))
     d = running(d, by, "trial", {"n_before": ("sum", F.lit(1).cast("bigint"))})

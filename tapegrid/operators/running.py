@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapegrid.plans.session import materialise
+
 _MERGE = {
     "min": (F.min, lambda a, b: F.least(a, b)),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
@@ -36,94 +38,65 @@ def running(df: DataFrame, by: list[str], order: str, spec: dict[str, tuple[str,
     return out.select(*df.columns, *spec)
 
 
-def running_percentile(df: DataFrame, by: list[str], order: str, value: str, prob: float, name: str,
-                       block: int = 4096, parts: int = 16, store=lambda x: x) -> DataFrame:
-    """Exact percentile of ``value`` over all earlier rows of the key (linear interpolation).
-
-    While one block of ``block`` rows passes, the wanted rank of the growing sequence stays within
-    a few block lengths of its rank at the block start. So each block needs only the slice of
-    earlier values around that rank plus a count of what lies below: fixed value ranges are counted
-    per block, the ranges that can hold the rank are chosen, and only their values are fetched,
-    already combined to (value, count). Raise ``parts`` and ``block`` together with the row count: a
-    block reads about 3 / parts of the earlier distinct values. ``store`` keeps the intermediate tables that
-    are read more than once.
+def dense_order(df: DataFrame, by: list[str], cols: list[str], name: str, store=materialise) -> DataFrame:
+    """Add ``name``: the row's place (from 0) within its key in the order of the columns, which must not repeat within a key.
+
+    One range sort over all keys numbers the rows of each partition; only one count per key and partition is added up. ``store``
+    must write the table: the numbers depend on how the rows were spread.
     """
-    from tapegrid.operators.quantiles import exact_quantiles
-
-    df = store(df)
-    d = df.withColumn("_v", F.col(value).cast("double")).withColumn("_blk", F.floor(F.col(order) / block).cast("bigint"))
-    vals = d.filter(F.col("_v").isNotNull())
-    cuts = exact_quantiles(vals, by, "_v", [i / parts for i in range(1, parts)], [f"_e{i}" for i in range(1, parts)],
-                           store=store)
-    edges = store(cuts.select(*by, F.array(*[f"_e{i}" for i in range(1, parts)]).alias("_edges")))
-    part = F.aggregate("_edges", F.lit(0), lambda a, e: a + F.when(F.col("_v") > e, 1).otherwise(0)).alias("_part")
-    ranged = (vals.join(edges, by) if by else vals.crossJoin(F.broadcast(edges))).select(*by, "_blk", "_v", part)
-    cells = store(ranged.groupBy(*by, "_blk", "_part", "_v").agg(F.count(F.lit(1)).alias("_c")))
-
-    # Rows of each (block, range) before the block: counts per range, carried over blocks.
-    per = cells.groupBy(*by, "_blk", "_part").agg(F.sum("_c").alias("_c"))
-    blocks = d.groupBy(*by, "_blk").agg(F.count("_v").alias("_own"))
-    frame = blocks.select(*by, "_blk", "_own", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
-    over_blocks = Window.partitionBy(*by, "_part").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    over_parts = Window.partitionBy(*by, "_blk").orderBy("_part")
-    hist = (frame.join(per, [*by, "_blk", "_part"], "left")
-            .withColumn("_before", F.coalesce(F.sum("_c").over(over_blocks), F.lit(0)))
-            .withColumn("_upto", F.sum("_before").over(over_parts.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_total", F.sum("_before").over(over_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    hist = store(hist)
-    low_rank = F.floor(prob * F.col("_total")) - F.col("_own") - 2
-    high_rank = F.ceil(prob * (F.col("_total") + F.col("_own"))) + 2
-    need = hist.filter((F.col("_upto") > low_rank) & (F.col("_upto") - F.col("_before") <= high_rank) & (F.col("_before") > 0))
-    under = hist.filter(F.col("_upto") <= low_rank).groupBy(*by, "_blk").agg(F.max("_upto").alias("_under"))
-    slices = (need.select(*by, "_blk", "_part").alias("n")
-              .join(cells.withColumnRenamed("_blk", "_src"), [*by, "_part"])
-              .filter(F.col("_src") < F.col("_blk"))
-              .groupBy(*by, "_blk", "_v").agg(F.sum("_c").alias("_c")))
-
-    own = d.select(*by, "_blk", "_v", F.col(order).cast("bigint").alias("_o"), F.lit(1).cast("bigint").alias("_c"))
-    starts = hist.groupBy(*by, "_blk").agg(F.max("_total").cast("bigint").alias("_total"))
-    rows = (own.unionByName(slices, allowMissingColumns=True)
-            .join(starts.join(under, [*by, "_blk"], "left"), [*by, "_blk"]))
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"{c} {types[c]}" for c in by), "_o bigint", f"{name} double"])
-    found = rows.groupBy(*by, "_blk").applyInPandas(_block_walker(by, prob, name), schema)
-    return df.join(found.withColumnRenamed("_o", order), [*by, order], "left")
+    d = store(df.repartitionByRange(*by, *cols).sortWithinPartitions(*by, *cols).withColumn("_m", F.monotonically_increasing_id()))
+    d = d.withColumn("_pid", F.shiftright("_m", 33))
+    firsts = d.groupBy(*by, "_pid").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    prev = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = firsts.select(*by, "_pid", (F.coalesce(F.sum("_n").over(prev), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return d.join(starts, [*by, "_pid"]).withColumn(name, F.col("_m") + F.col("_shift")).drop("_m", "_pid", "_shift")
 
 
-def _block_walker(by: list[str], prob: float, name: str):
-    """Percentile before each row of one block: insert the block's values into the sorted slice one by one."""
-
-    def walk(pdf):
-        import bisect
-        import math
-
-        import numpy as np
-
-        mine = pdf[pdf["_o"].notna()].sort_values("_o")
-        old = pdf[pdf["_o"].isna()]
-        pool = sorted(np.repeat(old["_v"].to_numpy(float), old["_c"].to_numpy(int)).tolist())
-        below = int(np.nan_to_num(pdf["_under"].astype(float).to_numpy()).max())
-        total = int(pdf["_total"].iloc[0])
-        edge = pool[0] if below and pool else -math.inf
-        got = []
-        for v in mine["_v"].to_numpy(float):
-            if total:
-                pos = prob * (total - 1)
-                k = math.floor(pos) - below
-                low = pool[k]
-                high = pool[min(k + 1, len(pool) - 1)]
-                got.append(low + (pos - math.floor(pos)) * (high - low))
-            else:
-                got.append(None)
-            if math.isfinite(v):
-                total += 1
-                if v < edge:
-                    below += 1
-                else:
-                    bisect.insort(pool, v)
-        out = mine[[*by, "_o"]].copy()
-        out[name] = np.array(got, dtype=float)
-        out["_o"] = out["_o"].astype("int64")
-        return out
-
-    return walk
+def running_percentile(df: DataFrame, by: list[str], order: str, value: str, prob: float, name: str,
+                       block: int = 4096, parts: int = 16, store=materialise) -> DataFrame:
+    """Exact percentile of ``value`` over all earlier rows of the key (linear interpolation); NULL where there is none.
+
+    All rows search at the same time. The distinct values of a key are numbered; each row asks for the one or two
+    values at its wanted rank, and every round narrows all questions to one of ``parts`` ranges of numbers: running counts
+    over the values of the current range, taken block by block (``running``), say which. A round reads at most two
+    questions a row and one entry a value, also for a node that owns all rows, and log(values) / log(parts) rounds end the
+    search. ``order`` is an integer, unique within ``by``; keys are not NULL. ``store`` keeps each round's questions.
+    """
+    d = df.select(*by, F.col(order).cast("bigint").alias("_o"), F.col(value).cast("double").alias("_v"))
+    values = store(dense_order(d.filter("_v IS NOT NULL").select(*by, "_v").distinct(), by, ["_v"], "_r", store))
+    top = values.agg(F.max("_r")).first()[0]
+    if top is None:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    rounds = 1
+    while parts ** rounds <= top:
+        rounds += 1
+    ranked = store(d.join(values, [*by, "_v"], "left").select(*by, "_o", "_r"))
+
+    def counted(rows: DataFrame, keys: list[str], at: str, level: int, size: int) -> DataFrame:
+        """Add ``_upto``: how many earlier entries of the same range lie in its first 1, 2, ... parts."""
+        child = F.expr(f"(_r div {parts ** (rounds - 1 - level)}) % {parts}")
+        spec = {f"_c{j}": ("sum", (child <= j).cast("bigint")) for j in range(parts)}
+        out = running(rows, keys, at, spec, size)
+        return out.withColumn("_upto", F.array(*[F.coalesce(c, F.lit(0)) for c in spec])).drop(*spec)
+
+    def narrowed(asked: DataFrame) -> DataFrame:
+        j = F.size(F.filter("_upto", lambda c: c <= F.col("_k")))
+        return asked.select(*by, "_o", "_slot", "_f", (F.col("_node") * parts + j).alias("_node"),
+                            (F.col("_k") - F.when(j > 0, F.get("_upto", j - 1)).otherwise(0)).alias("_k"))
+
+    first = counted(ranked, by, "_o", 0, block).withColumn("_pos", F.lit(prob) * (F.get("_upto", F.lit(parts - 1)) - 1)).filter("_pos >= 0")
+    low, part = F.floor("_pos").cast("bigint"), F.col("_pos") - F.floor("_pos")
+    ask = lambda slot, k: F.struct(F.lit(slot).alias("_slot"), k.alias("_k"))
+    wanted = F.when(part > 0, F.array(ask(0, low), ask(1, low + 1))).otherwise(F.array(ask(0, low)))
+    asked = store(narrowed(first.select(*by, "_o", "_upto", part.alias("_f"), F.lit(0).cast("bigint").alias("_node"), F.explode(wanted).alias("_a"))
+                           .select("*", "_a.*")))
+    entries = ranked.filter("_r IS NOT NULL")
+    for level in range(1, rounds):
+        # a row's questions come before its own value
+        have = entries.select(*by, F.expr(f"_r div {parts ** (rounds - level)}").alias("_node"), (F.col("_o") * 4 + 3).alias("_t"), "_r")
+        both = have.unionByName(asked.withColumn("_t", F.col("_o") * 4 + F.col("_slot")), allowMissingColumns=True)
+        asked = store(narrowed(counted(both, [*by, "_node"], "_t", level, 4 * block).filter("_slot IS NOT NULL")))
+    got = asked.withColumnRenamed("_node", "_r").join(values, [*by, "_r"])
+    at = lambda slot: F.max(F.when(F.col("_slot") == slot, F.col("_v")))
+    found = got.groupBy(*by, "_o").agg((at(0) + F.max("_f") * (F.coalesce(at(1), at(0)) - at(0))).alias(name))
+    return df.join(found.withColumnRenamed("_o", order), [*by, order], "left")

@@ -44,14 +44,14 @@ def test_exact_quantiles_keys_and_domain(spark):
             np.testing.assert_allclose(got[k], np.quantile(g["v"].dropna(), PROBS), rtol=1e-12, atol=1e-9)
 
 
-@pytest.mark.parametrize("ties", [False, True])
-def test_running_percentile_blocks(spark, ties):
+@pytest.mark.parametrize("ties,parts", [(False, 8), (True, 8), (False, 16)])
+def test_running_percentile_blocks(spark, ties, parts):
     n = 1500
     pdf = pd.DataFrame({"node": ["hot"] * n + ["cold"] * 40, "trial": list(range(n)) + list(range(40)),
                         "v": np.r_[sample(n, 3, ties), sample(40, 4, ties)]})
     pdf.loc[pdf.index % 11 == 0, "v"] = None
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(4)
-    got = running_percentile(df, ["node"], "trial", "v", 0.6, "p", block=64, parts=8).toPandas()
+    got = running_percentile(df, ["node"], "trial", "v", 0.6, "p", block=64, parts=parts).toPandas()
     for node, g in pdf.groupby("node"):
         seen, want = [], {}
         for t, v in zip(g["trial"], g["v"]):
@@ -75,13 +75,19 @@ def test_running_min_max_sum_over_blocks(spark):
     assert np.isnan(out["lo"].to_numpy()[0])
 
 
-@pytest.mark.parametrize("advance", ["any", "promotion"])
-def test_promotions_equal_the_sequential_rule(spark, advance):
+@pytest.mark.parametrize("steady", [False, True])
+@pytest.mark.parametrize("advance,block", [("any", 2), ("any", 40), ("promotion", 3), ("promotion", 40), ("any", 65536), ("promotion", 65536)])
+def test_promotions_equal_the_sequential_rule(spark, advance, block, steady):
+    """Random scores, and one node whose scores improve all the time (every trial a record, many runs)."""
+    if steady and block < 40:
+        return
     rng = random.Random(11)
-    rows = [("n", t, "ok" if rng.random() > 0.1 else "failed", 1.0 / (1 + t / 400) + rng.random(), 1.0 / (1 + t / 400) + rng.random(),
-             "eod_pre11" if rng.random() > 0.1 else "old") for t in range(2000)]
+    size, noise = (300, 0.002) if steady else (2000, 1.0)
+    fall = lambda t: 3.0 - t / 150 if steady else 1.0 / (1 + t / 400)
+    rows = [("n", t, "ok" if rng.random() > 0.1 else "failed", fall(t) + noise * rng.random(), fall(t) + noise * rng.random(),
+             "eod_pre11" if rng.random() > 0.1 else "old") for t in range(size)]
     df = spark.createDataFrame(rows, "node string, trial long, status string, score double, test_score double, scoring_version string").repartition(4)
-    got = {(r["trial"], r["promoted"]) for r in bd.promotions(df, ["node"], 0.01, advance, block=50, levels=2).collect()}
+    got = {(r["trial"], r["promoted"]) for r in bd.promotions(df, ["node"], 0.01, advance, block=block).collect()}
     bar = champ = float("inf")
     want = set()
     for _, t, status, s, x, ver in rows:
