@@ -64,7 +64,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     out = []
     for p, name in zip(probs, names):
         pos = F.lit(p) * (F.col("_n") - 1)
-        low, high = (_ranked(F.col("_cum") > f(pos)) for f in (F.floor, F.ceil))
+        low, high = (ranked_value(F.col("_cum") > f(pos)) for f in (F.floor, F.ceil))
         out.append((low + F.max(pos - F.floor(pos)) * (F.coalesce(high, low) - low)).alias(name))
     wide = cum.groupBy(*by).agg(*out)
     if domain is None:
@@ -72,7 +72,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     return wide.select(F.array(*[F.lit(k) for k in domain])[F.col("_k")].alias(keys[0]), *names)
 
 
-def _ranked(reached: Column) -> Column:
+def ranked_value(reached: Column) -> Column:
     """First value that reaches a rank; an error if it stands for values outside the brackets."""
     first = F.min(F.when(reached, F.struct("_rep", F.col("_in").isNull().alias("_out"))))
     return F.when(first["_out"], F.raise_error(F.lit("a bracket missed its rank: raise accuracy")).cast("double")).otherwise(first["_rep"])
@@ -101,12 +101,3 @@ def attach_domain(df: DataFrame, params: DataFrame, key: str, domain: list, valu
     one = as_one_row(params, key, domain, values)
     d = attach_row(df, one).withColumn("_e", F.col("_p")[domain_slot(key, domain)])
     return d.withColumns({v: F.col(f"_e.{v}") for v in values}).drop("_p", "_e")
-
-
-def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], names: list[str],
-                     accuracy: int = 20_000) -> DataFrame:
-    """(column_name, quantiles...) for many columns of a wide frame in one pass."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")
-    ).select("s.column_name", "s.v")
-    return exact_quantiles(long, ["column_name"], "v", probs, names, domain=cols, accuracy=accuracy)

@@ -44,6 +44,27 @@ def test_exact_quantiles_keys_and_domain(spark):
             np.testing.assert_allclose(got[k], np.quantile(g["v"].dropna(), PROBS), rtol=1e-12, atol=1e-9)
 
 
+def test_scaler_equals_quantiles_of_the_filled_columns(spark):
+    """Columns with no, few, many and only NULLs, through brackets and without."""
+    from tapegrid.operators import scaling as sc
+    n = 3000
+    pdf = pd.DataFrame({f"x{k}": np.where(np.random.default_rng(k).random(n) < share, np.nan, sample(n, k, k % 2 == 1))
+                        for k, share in enumerate([0.0, 0.0, 0.02, 0.3, 0.88, 0.93, 0.97, 0.999, 1.0])})
+    pdf["two"] = np.where(np.arange(n) % 5 == 0, np.nan, np.arange(n) % 2)
+    cols = list(pdf.columns)
+    df = spark.createDataFrame(pdf).repartition(6)
+    for accuracy in (150, 20_000):
+        got = {r["column_name"]: r for r in sc.fit_scaler(df, cols, accuracy).collect()}
+        assert sorted(got) == sorted(cols)
+        for c in cols:
+            x = pdf[c].dropna()
+            fill = float(x.median()) if len(x) else 0.0
+            low, mid, high = np.quantile(pdf[c].fillna(fill), [0.05, 0.5, 0.95])
+            want = [fill, mid, high - low if high > low else 1.0]
+            np.testing.assert_allclose([got[c][k] for k in ("fill", "center", "scale")], want, rtol=1e-10, atol=1e-9, err_msg=c)
+            assert (got[c]["has_null"], got[c]["is_binary"]) == (len(x) < n, x.nunique() <= 2), c
+
+
 @pytest.mark.parametrize("ties,parts", [(False, 8), (True, 8), (False, 16)])
 def test_running_percentile_blocks(spark, ties, parts):
     n = 1500
