@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrid.llm.bpe import byte_letters
-from tapegrid.llm.text import map_docs, texts
+from tapegrid.llm.text import fresh, map_docs, texts
 from tapegrid.plans.session import materialise
 
 #: Fixed value: how byte-level tokenizers of this kind split a text.
@@ -136,10 +136,14 @@ def supersteps(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, i
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """``pieces`` (as ``cut`` makes them) with sequence_id and offset. They are kept in the shared folder first."""
+    """``pieces`` (as ``cut`` makes them) with sequence_id and offset. They are kept in the shared folder first.
+
+    Other columns are kept under any name; columns sequence_id and offset of the input are replaced.
+    """
     spark = pieces.sparkSession
-    names = pieces.columns
-    pieces = materialise(pieces, "pieces")
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    task_col, k_col = fresh(names, "_task", "_k")
+    pieces = materialise(pieces.select(*[F.col(f"`{c}`") for c in names]), "pieces")
     schema = pieces.schema
 
     def number(batches):
@@ -152,13 +156,13 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             k = np.empty(len(at), np.int64)
             k[order] = place + seen[at]
             seen += np.bincount(size, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), pid, np.int32)), pa.array(k)], names=[*names, "_task", "_k"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), pid, np.int32)), pa.array(k)], names=[*names, task_col, k_col])
 
     short = pieces.filter(F.col("length") < capacity).repartitionByRange("length", F.xxhash64("doc_id", "piece"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    ranked = materialise(short.mapInArrow(number, f"{fields}, _task int, _k long"), "ranked")
+    ranked = materialise(short.mapInArrow(number, f"{fields}, `{task_col}` int, `{k_col}` long"), "ranked")
     # a task holds a range of lengths: tasks + capacity rows at most
-    sums = ranked.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "_task").collect()
+    sums = ranked.groupBy("length", task_col).agg(F.count(F.lit(1)).alias("n")).orderBy("length", task_col).collect()
     before: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = {}
     for length, task, n in sums:
@@ -171,7 +175,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     def place(batches):
         before, table, keys = shared.value
         for b in batches:
-            size, task, k = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_task", "_k"))
+            size, task, k = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", task_col, k_col))
             pair = task.astype(np.int64) * (capacity + 1) + size
             own, inverse = np.unique(pair, return_inverse=True)
             base = np.array([before[int(x) // (capacity + 1), int(x) % (capacity + 1)] for x in own], np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrid.llm.forest import IsolationForest
-from tapegrid.llm.text import SPACE, drawn, map_docs, shingles, texts, words
+from tapegrid.llm.text import SPACE, drawn, map_docs, one_label, shingles, texts, words
 from tapegrid.plans.session import materialise
 
 #: Characters counted as symbols.
@@ -119,8 +119,8 @@ class Rules:
 
 def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", trees: int = 100, sample: int = 256, good_loss: float = 0.03) -> Rules:
     """The forest sees at most ``trees * sample`` good rows, those whose hashed ids are smallest; the cut comes
-    from all labelled rows, counted by steps of the score."""
-    marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_good")).filter("_good IS NOT NULL").dropDuplicates(["_id"])
+    from all labelled rows, counted by steps of the score. An id with several labels counts as the smallest of them."""
+    marked = one_label(labels, id_col, label_col, "_good")
     known = stats.filter(~base_failed()).join(marked, F.col("doc_id") == F.col("_id"))
     good = known.filter("_good = 1").select("doc_id", *RATES)
     points = drawn(good, "doc_id", trees * sample, good.count()).select(*RATES).toPandas().to_numpy(np.float64).reshape(-1, len(RATES))

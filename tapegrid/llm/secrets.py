@@ -134,16 +134,16 @@ def redact(docs: DataFrame, example_owners: int = 4, mark: str = "[secret]", id_
     others pass by in place.
     """
     names = docs.columns
-    flag, key, one, live = fresh(names, "_flag", "_key", "_one", "_live")
+    flag, key, one, live, put = fresh(names, "_flag", "_key", "_one", "_live", "_put")
     has = _has_candidates(docs, text_col, flag)
     flagged = materialise(has.filter(F.col(flag)).drop(flag).withColumn(key, F.xxhash64(id_col, text_col)), "secrets-texts")
     found = scan(flagged, key, text_col, owner_col, example_owners).dropDuplicates(["doc_id"])
     spans = found.select(F.col("doc_id").alias(one), F.filter("spans", lambda x: x["live"]).alias(live)).filter(F.size(live) > 0)
-    hit = flagged.join(spans, F.col(key) == F.col(one), "left")
+    hit = flagged.join(spans, F.col(key) == F.col(one), "left").withColumn(put, F.lit(mark))
     # spans by start: `at` is where the next piece of text begins, the furthest end so far
     cut = F.expr(f"""aggregate(`{live}`, named_struct('at', 0L, 'out', ''),
         (a, s) -> IF(s.end <= a.at, a, named_struct('at', s.end, 'out', IF(s.start < a.at, a.out,
-            concat(a.out, substring(`{text_col}`, int(a.at) + 1, int(s.start - a.at)), '{mark}')))),
+            concat(a.out, substring(`{text_col}`, int(a.at) + 1, int(s.start - a.at)), `{put}`)))),
         a -> concat(a.out, substring(`{text_col}`, int(a.at) + 1)))""")
     new = hit.withColumn(text_col, F.when(F.col(live).isNull(), F.col(text_col)).otherwise(cut))
     if "n_chars" in names:

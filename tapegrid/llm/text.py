@@ -68,6 +68,12 @@ def drawn(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
     return df.orderBy(h, key).limit(k)
 
 
+def one_label(labels: DataFrame, id_col: str, label_col: str, name: str) -> DataFrame:
+    """(_id, name): the smallest label of each id; ids or labels that are null are left out."""
+    return (labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias(name)).filter(F.col(name).isNotNull() & F.col("_id").isNotNull())
+            .groupBy("_id").agg(F.min(name).alias(name)))
+
+
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """Names like the wanted ones that none of the columns has."""
     taken, out = {c.lower() for c in columns}, []

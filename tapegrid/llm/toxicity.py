@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.llm.text import crc_mod, drawn, map_docs, words
+from tapegrid.llm.text import crc_mod, drawn, map_docs, one_label, words
 
 #: Bytes of words: letters, digits and everything beyond ASCII; the rest separates words.
 OUTSIDE = np.ones(256, bool)
@@ -113,9 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, bits: int
     """Fits on at most ``max_train`` labelled rows whose crc32 remainder is not 0; texts travel as feature ids.
 
     Half of the room is for each class at most, so rare toxic rows are used first; the other class's share is
-    weighted back through the bias.
+    weighted back through the bias. An id with several labels counts as the smallest of them.
     """
-    marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y IS NOT NULL").dropDuplicates(["_id"])
+    marked = one_label(labels, id_col, label_col, "_y")
     marked = marked.filter(crc_mod(F.col("_id"), 5) != 0)
     share = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(share) < 2:

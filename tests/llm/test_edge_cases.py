@@ -4,6 +4,7 @@ import pytest
 
 from tapegrid.llm import bpe, licenses, lm, packing, quality, secrets, simhash, substring, toxicity, weighted
 from tapegrid.llm.queries import tokenizer
+from tapegrid.llm.text import one_label
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -38,3 +39,26 @@ def test_odd_rows(odd, labels, name):
 @pytest.mark.parametrize("name", list(OPERATORS))
 def test_empty_table(none, spark, name):
     assert OPERATORS[name](none, spark.createDataFrame([], LABELS)).collect() == []
+
+
+def test_an_id_with_two_labels_has_the_smaller(spark):
+    rows = [(1, 1, 0), (1, 0, 1), (2, 1, 1), (2, None, None), (None, 1, 1)]
+    for table in (rows, rows[::-1]):
+        labels = spark.createDataFrame(table, LABELS).repartition(3)
+        assert {tuple(r) for r in one_label(labels, "doc_id", "quality", "_good").collect()} == {(1, 0), (2, 1)}
+        assert {tuple(r) for r in one_label(labels, "doc_id", "toxic", "_y").collect()} == {(1, 0), (2, 1)}
+
+
+def test_a_mark_may_hold_quotes(spark):
+    docs = spark.createDataFrame([(1, "a password=abcdefgh12345 z", "s")], "doc_id long, text string, source string")
+    mark = "<it's \\'gone'\">"
+    assert secrets.redact(docs, mark=mark).first()["text"].count(mark) == 1
+
+
+def test_packing_keeps_clashing_columns(spark):
+    rows = [(i, 0, 0, n, 0, f"t{i}", i, -1, -1) for i, n in enumerate([1000, 24, 600, 424, 1024, 3])]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, _task string, _k long, sequence_id long, `offset` long")
+    got = {r["doc_id"]: r for r in packing.pack(pieces).collect()}
+    assert all(got[i]["_task"] == f"t{i}" and got[i]["_k"] == i for i in range(6))
+    assert got[0]["sequence_id"] == got[1]["sequence_id"] and got[2]["sequence_id"] == got[3]["sequence_id"]
+    assert len({r["sequence_id"] for r in got.values()}) == 4 and got[1]["offset"] == 1000 and got[3]["offset"] == 600
