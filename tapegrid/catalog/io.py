@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import tapegrid.catalog.scores  # noqa: F401  (defines SQL blocks used here)
 from tapegrid.catalog.features import CFG
 from tapegrid.catalog.registry import query
-from tapegrid.catalog.sqlbase import q
+from tapegrid.catalog.sqlbase import define, q
 from tapegrid.config import SessionConfig
 from tapegrid.functions import clock
 from tapegrid.operators import grid as gr, quality as qa
@@ -25,12 +25,19 @@ def _csv(df, spark, label):
 
 
 def _corrected(ticks):
-    """Every row twice, the first time with a wrong, higher price: the later row of the file is the one to keep."""
-    return ticks.withColumn("spot", F.explode(F.array(F.col("spot") + 7, F.col("spot"))))
+    """Every row twice, the first time with a wrong, higher price, in the order of seq: of rows with one ts the last of the file is the one to keep."""
+    twice = ticks.withColumn("late", F.explode(F.array(F.lit(0), F.lit(1))))
+    return twice.withColumn("spot", F.when(F.col("late") == 1, F.col("spot")).otherwise(F.col("spot") + 7)).orderBy("seq", "late", "spot", "volume")
+
+
+define("corrected", """select ts, seq, late, spot + wrong as spot, volume from ticks, (values (0, 7.0), (1, 0.0)) as twice(late, wrong)
+    where us between 34200000000 and 57600000000 and isodow(ts) <= 5 and spot + wrong > 0""")
+define("last_of_file", """select ts, spot, volume from
+    (select *, row_number() over (partition by ts order by seq desc, late desc, spot desc, volume desc) as place from corrected) where place = 1""")
 
 
 @query("src01_ohlcv_csv", "ts:t spot:4 open:4 high:4 low:4 volume:0",
-       q("""select ts, spot, spot - 1 as open, spot + 2 as high, null as low, volume from rth"""))
+       q("""select ts, spot, spot - 1 as open, spot + 2 as high, null as low, volume from last_of_file"""))
 def _(spark, d):
     t = _corrected(fx.ticks(spark, d)).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"), F.col("spot").alias("Close"),
                                               (F.col("spot") - 1).alias("O"), (F.col("spot") + 2).alias("High"), F.col("volume").alias("Vol"))
