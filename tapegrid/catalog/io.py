@@ -44,7 +44,7 @@ def _(spark, d):
     return fs.read_ohlcv(spark, _csv(t, spark, "ohlcv"), CFG)
 
 
-@query("src02_price_csv", "ts:t spot:4", q("select ts, spot from rth"))
+@query("src02_price_csv", "ts:t spot:4", q("select ts, spot from last_of_file"))
 def _(spark, d):
     t = _corrected(fx.ticks(spark, d)).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("bar_datetime_local"), F.col("spot").alias("last_price_usd"))
     return fs.read_prices(spark, _csv(t, spark, "prices"), CFG)

@@ -18,7 +18,7 @@ def repeated(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("key", ["src01_ohlcv_csv"])
+@pytest.mark.parametrize("key", ["src01_ohlcv_csv", "src02_price_csv"])
 def test_repeated_timestamps(spark, repeated, key):
     res = compare(spark, duck(repeated), entry.queries()[key], entry.oracle_sql()[key], repeated)
     assert res.startswith("ok") and "EMPTY" not in res, res
