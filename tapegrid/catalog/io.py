@@ -73,8 +73,9 @@ def _history(spark, d):
 
 @query("src04_history_prices", "session_date:d n:i total:2",
        q("""select session_date, count(*) as n, sum(s) as total from
-            (select session_date, case when day(session_date) % 2 = 0 then 100 + value else 100 + 5 * (event_id % 21) + 0.5 end as s
-             from (select *, cast(ts as date) as session_date from events)) where session_date between date '2024-01-05' and date '2024-01-20' group by 1"""))
+            (select session_date, spot as s from ticks where day(session_date) % 2 = 0
+             union all select session_date, arg_max(strike + 0.5, strike) as s from ladder where day(session_date) % 2 = 1 group by symbol, session_date, ts)
+            where session_date between date '2024-01-05' and date '2024-01-20' group by 1"""))
 def _(spark, d):
     spot, _, _ = fs.read_history(spark, _history(spark, d), "2024-01-05", "2024-01-20")
     return spot.groupBy("session_date").agg(F.count(F.lit(1)).alias("n"), F.sum("spot").alias("total"))

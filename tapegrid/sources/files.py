@@ -100,7 +100,7 @@ def read_history(spark: SparkSession, root: str, start: str | None = None, end:
     """(prices, ladder, prints) of a ``session_date=`` layout, pruned to whole partitions before reading.
 
     The session list comes from partition directories alone. Sessions without a price file take the
-    last ladder price per timestamp.
+    last ladder price per symbol and timestamp: highest strike, then seq. Price files keep all their rows.
     """
     ladder = spark.read.schema(LADDER_SCHEMA).parquet(f"{root}/ladder").withColumn("gex_source", F.coalesce("gex_source", F.lit("unknown")))
     day = F.col("session_date")
@@ -119,7 +119,7 @@ def read_history(spark: SparkSession, root: str, start: str | None = None, end:
     spot = spark.read.schema(SPOT_SCHEMA).parquet(f"{root}/spot").filter(keep)
     have = spot.select("symbol", "session_date").distinct()
     fallback = (lad.filter(F.col("spot").isNotNull()).join(have, ["symbol", "session_date"], "left_anti")
-                .groupBy("symbol", "session_date", "ts").agg(F.max_by("spot", "strike").alias("spot")))
+                .groupBy("symbol", "session_date", "ts").agg(F.max_by("spot", F.struct("strike", "seq", "spot")).alias("spot")))
     return spot.unionByName(fallback), lad, prints
 
 
