@@ -165,8 +165,5 @@ def plateau(recs: DataFrame, by: list[str], notice: int = 50) -> DataFrame:
 def prune_bar(board: DataFrame, by: list[str], prob: float = 0.60, warmup: int = 8, store=materialise) -> DataFrame:
     """Running percentile of earlier finite screens; a later screen above it is pruned after the warm-up."""
     d = board.withColumn("_f", finite(F.col("screen_score")))
-    d = running(d, by, "trial", {"n_before": ("sum", F.lit(1).cast("bigint"))})
-    d = running_percentile(d, by, "trial", "_f", prob, "_p", store=store)
-    warm = F.coalesce("n_before", F.lit(0)) >= warmup
-    d = d.withColumn("prune_bar", F.when(warm, F.col("_p")))
-    return d.withColumn("prune", F.coalesce(F.col("_f") > F.col("prune_bar"), F.lit(False))).drop("_f", "_p", "n_before")
+    d = running_percentile(d, by, "trial", "_f", prob, "prune_bar", least=warmup, store=store)
+    return d.withColumn("prune", F.coalesce(F.col("_f") > F.col("prune_bar"), F.lit(False))).drop("_f")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapegrid.operators import board as bd
 from tapegrid.operators.asof import asof_backward
 from tapegrid.operators.quantiles import exact_quantiles
-from tapegrid.operators.running import running, running_percentile
+from tapegrid.operators.running import counts_before, running, running_percentile
 
 PROBS = [0.0, 0.005, 0.05, 0.25, 0.5, 0.75, 0.95, 0.995, 1.0]
 NAMES = [f"q{i}" for i in range(len(PROBS))]
@@ -144,3 +144,29 @@ def test_no_row_is_lost_on_the_grid(spark):
     t = fx.ticks(spark, "/root/testdata/sf0.001")
     n = gr.regular_hours(t, fx.FIXTURE).count()
     assert gr.ticks_to_bars(t, fx.FIXTURE).agg(F.sum("n_ticks")).first()[0] == n
+
+
+def test_counts_of_full_blocks(spark):
+    """Blocks of the largest size in which every row passes: no packed count runs into the next."""
+    df = spark.range(70_000).select(F.lit("k").alias("k"), F.col("id").alias("o"))
+    tests = [F.lit(True), F.col("o") % 3 == 0, F.lit(False), F.col("o") >= 40_000, F.lit(True), F.lit(None).cast("boolean")]
+    out = counts_before(df, ["k"], "o", tests, "c", 32767, 6)
+    o = F.col("o")
+    want = F.array(o, F.floor((o + 2) / 3).cast("bigint"), F.lit(0).cast("bigint"), F.greatest(o - 40_000, F.lit(0)), o, F.lit(0).cast("bigint"))
+    assert out.count() == 70_000 and out.filter(F.col("c") != want).count() == 0
+
+
+@pytest.mark.parametrize("drift", ["up", "jump"])
+def test_running_percentile_of_drifting_values_in_bounded_tasks(spark, drift):
+    """Ranges that are asked for only early, only late or never; the partitions grow with the rows, not with the session's setting."""
+    n, least = 3000, 8
+    v = {"up": np.arange(n) / 2, "jump": np.where(np.arange(n) % 700 < 350, 1e4, -1e4)}[drift] + sample(n, 9, False)
+    v[5::13] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"node": "hot", "trial": np.arange(n), "v": v})).withColumn("v", F.nanvl("v", F.lit(None))).repartition(3)
+    out = running_percentile(df, ["node"], "trial", "v", 0.6, "p", block=64, least=least, rows_per_task=200).withColumn("at", F.spark_partition_id())
+    got = out.toPandas().set_index("trial")
+    assert got["at"].nunique() > 20 and got["at"].value_counts().max() < 300
+    for t in range(n):
+        seen = v[:t][np.isfinite(v[:t])]
+        want = np.quantile(seen, 0.6) if t >= least and len(seen) else np.nan
+        np.testing.assert_allclose(got["p"][t], want, rtol=1e-12, atol=1e-9, err_msg=str(t))
