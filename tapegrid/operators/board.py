@@ -162,8 +162,8 @@ def plateau(recs: DataFrame, by: list[str], notice: int = 50) -> DataFrame:
     return d.withColumn("notice", (F.col("since_promotion") > 0) & (F.col("since_promotion") % notice == 0)).drop("_last")
 
 
-def prune_bar(board: DataFrame, by: list[str], prob: float = 0.60, warmup: int = 8, store=materialise) -> DataFrame:
-    """Running percentile of earlier finite screens; a later screen above it is pruned after the warm-up."""
+def prune_bar(board: DataFrame, by: list[str], prob: float = 0.60, warmup: int = 8, rows_per_task: int = 500_000, store=materialise) -> DataFrame:
+    """Running percentile of earlier finite screens; a later screen above it is pruned after the warm-up, which counts all trials."""
     d = board.withColumn("_f", finite(F.col("screen_score")))
-    d = running_percentile(d, by, "trial", "_f", prob, "prune_bar", least=warmup, store=store)
+    d = running_percentile(d, by, "trial", "_f", prob, "prune_bar", least=warmup, rows_per_task=rows_per_task, store=store)
     return d.withColumn("prune", F.coalesce(F.col("_f") > F.col("prune_bar"), F.lit(False))).drop("_f")

@@ -170,3 +170,25 @@ def test_running_percentile_of_drifting_values_in_bounded_tasks(spark, drift):
         seen = v[:t][np.isfinite(v[:t])]
         want = np.quantile(seen, 0.6) if t >= least and len(seen) else np.nan
         np.testing.assert_allclose(got["p"][t], want, rtol=1e-12, atol=1e-9, err_msg=str(t))
+
+
+def test_prune_bar_in_bounded_tasks(spark):
+    """Screens that are NULL, NaN or infinite count for the warm-up only; one node owns most trials."""
+    rng = np.random.default_rng(4)
+    rows = [("hot" if t % 10 else "cold", t, float(x)) for t, x in enumerate(np.round(rng.random(1500), 3))]
+    rows = [(k, t, None if t % 7 == 0 else float("nan") if t % 11 == 0 else float("inf") if t % 13 == 0 else x) for k, t, x in rows]
+    rows += [("few", t, 0.5) for t in range(9)]
+    df = spark.createDataFrame(rows, "node string, trial long, screen_score double").repartition(3)
+    out = bd.prune_bar(df, ["node"], rows_per_task=300).withColumn("at", F.spark_partition_id())
+    got = {(r["node"], r["trial"]): (r["prune_bar"], r["prune"]) for r in out.collect()}
+    assert len(got) == len(rows) and out.select("at").distinct().count() > 4
+    seen, before = {}, {}
+    for k, t, x in sorted(rows, key=lambda r: r[1]):
+        past = seen.setdefault(k, [])
+        bar = np.quantile(past, 0.6) if before.get(k, 0) >= 8 and past else None
+        finite = x is not None and np.isfinite(x)
+        assert (got[k, t][0] is None) == (bar is None) and (bar is None or abs(got[k, t][0] - bar) < 1e-12), (k, t)
+        assert got[k, t][1] == bool(finite and bar is not None and x > got[k, t][0]), (k, t)
+        before[k] = before.get(k, 0) + 1
+        if finite:
+            past.append(x)
